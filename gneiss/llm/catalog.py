@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import queries_native as native
+from . import queries_python as python
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": python.op2_packing,
+        "op4_token_codes": python.op4_token_codes,
         "op5_line_dedup": native.op5_line_dedup,
+        "op6_decontamination": python.op6_decontamination,
+        "op7_media_columns": python.op7_media_columns,
+        "op8_quality_classifier": python.op8_quality_classifier,
         "op9_sharding": native.op9_sharding,
         "op10_secret_scans": native.op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": native.OP5_SQL, "op9_sharding": native.OP9_SQL, "op10_secret_scans": native.OP10_SQL}
+    return {"op5_line_dedup": native.OP5_SQL, "op6_decontamination": python.OP6_SQL, "op9_sharding": native.OP9_SQL, "op10_secret_scans": native.OP10_SQL}
