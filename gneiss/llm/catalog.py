@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_models as models
 from . import queries_native as native
 from . import queries_python as python
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": models.op1_lm_scoring,
         "op2_packing": python.op2_packing,
+        "op3_jaccard_join": models.op3_jaccard_join,
         "op4_token_codes": python.op4_token_codes,
         "op5_line_dedup": native.op5_line_dedup,
         "op6_decontamination": python.op6_decontamination,
@@ -20,8 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": python.op8_quality_classifier,
         "op9_sharding": native.op9_sharding,
         "op10_secret_scans": native.op10_secret_scans,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": native.OP5_SQL, "op6_decontamination": python.OP6_SQL, "op9_sharding": native.OP9_SQL, "op10_secret_scans": native.OP10_SQL}
+    return {"op3_jaccard_join": models.OP3_SQL, "op5_line_dedup": native.OP5_SQL, "op6_decontamination": python.OP6_SQL, "op9_sharding": native.OP9_SQL, "op10_secret_scans": native.OP10_SQL}
