@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
+def local_session(cores: str = "*", partitions: int = 8, more: dict[str, str] | None = None) -> SparkSession:
     """A UTC session for tests and benchmarks; a cluster brings its own session."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -16,6 +16,7 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(map=more or {})
         .getOrCreate()
     )
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-gneiss-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir. Only a session without that setting gets a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gneiss-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", "") or _own_folder()
     return f"{base.rstrip('/')}/gneiss-{uuid.uuid4().hex}"
 
 

@@ -5,6 +5,4 @@ from gneiss.session import local_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = local_session("4", 4)
-    s.conf.set("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
-    yield s
+    yield local_session("4", 4, {"spark.checkpoint.dir": "file://" + str(tmp_path_factory.mktemp("shared"))})
