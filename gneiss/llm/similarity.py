@@ -2,7 +2,8 @@
 
 Small sets meet by enumerated subsets: two sets of sizes n and m reach the threshold exactly if they share a
 subset of some size o(n, m), so equal subsets are links. Large sets meet in inverted lists: two such sets share
-one of their first n - ceil(0.8 n) + 1 shingles in any order that all sets use. The boundary size is the one of least estimated cost.
+l of their first n - ceil(0.8 n) + l shingles in any order that all sets use, for any l up to their overlap: here a
+sixteenth of the smaller set, and 5 at least. The boundary size is the one of least estimated cost.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +27,9 @@ WORDS, NUM, DEN, MOST_LIGHT = 5, 80, 100, 16
 #: Shingles of a task counted at once; how often one must be among them to be reported; the count from which it is frequent; the most
 #: frequent ones that go to every task (16 MB). Frequency only orders a set's shingles: any order gives the same links.
 COUNTED, LOCAL, FREQUENT, MOST_FREQUENT = 3_000_000, 6, 24, 1_000_000
-#: Text bytes per bucket of inverted lists, and the most buckets; keys of each set by which it first meets similar ones.
-BUCKET_BYTES, MOST_BUCKETS, FIRST_KEYS = 1 << 20, 200_000, 4
+#: List entries that linked sets share at least, and the part of the smaller set that they are; text bytes per bucket of inverted lists, and the most buckets; one in so many keys
+#: serves to find each set's first comparison.
+SHARED, PART, BUCKET_BYTES, MOST_BUCKETS, FIRST_KEYS = 5, 16, 1 << 20, 200_000, 8
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -71,7 +73,7 @@ def overlap(n: int, m: int) -> int:
 
 
 def prefix_size(n: int) -> int:
-    return n - -(-NUM * n // DEN) + 1
+    return min(n, n - -(-NUM * n // DEN) + max(SHARED, n // PART))
 
 
 def subset_sizes(n: int, most: int) -> list[int]:
@@ -143,17 +145,20 @@ def frequent_shingles(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rows["level"].to_numpy(np.int8)[order]
 
 
-LISTED = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("common", T.IntegerType())])
+LISTED = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("common", T.IntegerType())])
 PACKED = T.StructType(
     [
-        # bucket -1: entries of frequent shingles, known to be shared; others: packed entries of one bucket of keys
-        T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("common", T.BinaryType()),
+        # negative buckets: entries of frequent shingles, known to be shared; others: entries of one bucket of keys
+        T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("common", T.BinaryType()),
     ]
 )
 
 
 def shared_keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light: int, buckets: int) -> DataFrame:
-    """(key, doc_id, common) of all keys that more than one document may have: common is the subset's size, 0 for an inverted list."""
+    """(key, id, n, common) of all keys that more than one document may have: n is the set's size; common is the subset's size, 0 for an inverted list.
+
+    A task packs its entries by bucket of keys, so that few large rows are shuffled.
+    """
     often, level = frequent
 
     def entries(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,95 +180,89 @@ def shared_keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light:
             known.append(rank[first] > 0)
         return tuple(np.concatenate(x) for x in (keys, sizes, known))
 
-    def pack_all(ids: list[int], parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, sizes, known = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        owner = np.repeat(np.array(ids, np.int64), [len(p[0]) for p in parts])
-        bucket = np.where(known, -1, (_mix(keys) % np.uint64(buckets)).astype(np.int64))
+    def pack_all(ids: list[int], ns: list[int], parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, common, known = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        each = [len(p[0]) for p in parts]
+        owner, sizes = np.repeat(np.array(ids, np.int64), each), np.repeat(np.array(ns, np.int32), each)
+        bucket = np.where(known, -1 - owner % buckets, (_mix(keys) % np.uint64(buckets)).astype(np.int64))
         order = np.argsort(bucket, kind="stable")
-        cuts = np.nonzero(np.diff(bucket[order], prepend=-2))[0]
-        rows = [(int(bucket[order[a]]), keys[order[a:b]].tobytes(), owner[order[a:b]].tobytes(), sizes[order[a:b]].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+        cuts = np.nonzero(np.diff(bucket[order], prepend=bucket[order[0]] - 1))[0]
+        columns = (keys, owner, sizes, common)
+        rows = [(int(bucket[order[a]]), *(c[order[a:b]].tobytes() for c in columns)) for a, b in zip(cuts, [*cuts[1:], len(order)])]
         for low in range(0, len(rows), 200):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[low : low + 200]), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=PACKED.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[low : low + 200]), (pa.int32(), *[pa.binary()] * 4))], names=PACKED.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, ids, parts, total = WordHashes(), set(), [], [], 0
+        hashes, ids, ns, parts, total = WordHashes(), [], [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch)):
                 s = shingle_set(text, hashes)
-                name = set_name(s)
-                if doc is None or not len(s) or name in seen:
+                if doc is None or not len(s):
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(name)
                 ids.append(doc)
+                ns.append(len(s))
                 parts.append(entries(s))
                 total += len(parts[-1][0])
                 if total >= COUNTED:
-                    yield from pack_all(ids, parts)
-                    ids, parts, total = [], [], 0
+                    yield from pack_all(ids, ns, parts)
+                    ids, ns, parts, total = [], [], [], 0
         if parts:
-            yield from pack_all(ids, parts)
-
-    def unpacked(keys: list[bytes], ids: list[bytes], common: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(common), np.int8)
+            yield from pack_all(ids, ns, parts)
 
-    def rows(keys: np.ndarray, ids: np.ndarray, common: np.ndarray) -> pa.Table:
-        return pa.table([pa.array(keys), pa.array(ids), pa.array(common.astype(np.int32))], names=LISTED.names)
-
-    def repeated(table: pa.Table) -> pa.Table:
-        keys, ids, common = unpacked(*(table.column(c).to_pylist() for c in ("keys", "ids", "common")))
-        _, at, uses = np.unique(keys, return_inverse=True, return_counts=True)
-        more = uses[at] > 1
-        return rows(keys[more], ids[more], common[more])
-
-    def straight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from rows(*unpacked(*(batch.column(c).to_pylist() for c in ("keys", "ids", "common")))).to_batches()
+    def repeated(name: tuple, table: pa.Table) -> pa.Table:
+        keys, ids, sizes, common = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in zip(PACKED.names[1:], (np.int64, np.int64, np.int32, np.int8)))
+        if name[0].as_py() >= 0:
+            _, at, uses = np.unique(keys, return_inverse=True, return_counts=True)
+            more = uses[at] > 1
+            keys, ids, sizes, common = keys[more], ids[more], sizes[more], common[more]
+        return pa.table([pa.array(keys), pa.array(ids), pa.array(sizes), pa.array(common.astype(np.int32))], names=LISTED.names)
 
-    packed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PACKED), {"compression": "zstd"})
-    rare = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(repeated, LISTED)
-    return rare.unionByName(packed.where("bucket < 0").select("keys", "ids", "common").mapInArrow(straight, LISTED))
+    return docs.mapInArrow(run, PACKED).groupBy("bucket").applyInArrow(repeated, LISTED)
 
 
-def _set_contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (set, root) to (set, hashes): the texts of one document of each set are read again."""
-    out = T.StructType([T.StructField("set", T.StringType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+def _contents(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, hashes) of the documents of these ids: their texts are read again."""
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
-                sets = [shingle_set(t, hashes) for t in raw_texts(batch.slice(low, 1000))]
-                yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets]), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=out.names)
+                some = batch.slice(low, 1000)
+                sets = [shingle_set(t, hashes).astype(np.int64) for t in raw_texts(some)]
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=out.names)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("root"), "text").join(wanted.select("root").distinct(), "root", "left_semi")
-    return written(texts.select("text").mapInArrow(run, out).dropDuplicates(["set"]))
+    texts = docs.withColumnRenamed("doc_id", "id").join(sized(written(ids)), "id", "left_semi")
+    return written(texts.select("id", "text").mapInArrow(run, out), {"compression": "zstd"})
 
 
 def _linked(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, exactly."""
-    left = contents.select(F.col("set").alias("a"), F.col("hashes").alias("x"))
-    right = contents.select(F.col("set").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    """The pairs (a, b) of doc_ids whose sets reach the threshold, exactly."""
+    left = contents.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
+    right = contents.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
     same = F.size(F.array_intersect("x", "y"))
-    return both.where(same * (NUM + DEN) >= (F.size("x") + F.size("y")) * NUM).select("a", "b")
+    linked = same * (NUM + DEN) >= (F.size("x") + F.size("y")) * NUM
+    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct()
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+def _shared_sizes(contents: DataFrame) -> DataFrame:
+    """(id, shared): how many of a set's shingles any other of these sets has. No set can share more with another."""
+    each = contents.select("id", F.explode("hashes").alias("h"))
+    more = each.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("h")
+    return each.join(more, "h", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles, component_id for every row.
 
-    1. Every whole text becomes a set; equal sets are one class.
-    2. Classes meet by shared subsets or list entries. First each meets one other class for each of a few of its keys, which joins groups
+    1. Every whole text becomes a set; equal sets are one class, for which its smallest doc_id stands.
+    2. Classes meet by shared subsets or list entries. First each meets one other, the one it shares most of some keys with, which joins groups
        of near copies by as many comparisons as they have members. Then, in every list that still holds more than one
-       component, all pairs across components are compared, so that no link between components is missed.
-    3. Components of the links are those of all links, since what isn't compared is in one component already.
+       component, all pairs across components that share enough entries are compared, so that no link between components is missed.
+    3. Components of the links found are those of all links, since what isn't compared is in one component already.
 
     Texts without words have 0 shingles and are linked with nothing, a null text too; rows with a null doc_id come back with
-    a null component and link nothing; repeated doc_ids are rows of their own, linked by their texts; an empty table
+    a null component and link nothing; rows of one doc_id are one document to the links, of which any text counts; an empty table
     gives no rows. Other columns of docs aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -271,46 +270,58 @@ def similar_components(docs: DataFrame) -> DataFrame:
     known = profile.where("set is not null")
     classes = written(known.where("n > 0 and doc_id is not null").groupBy("set", "n").agg(F.min("doc_id").alias("root"), F.count("*").alias("copies")))
     frequent = frequent_shingles(profile)
-    sums = classes.agg(F.sum("n").alias("n")).first()
-    squares = profile.where(f"uses >= {FREQUENT}").agg(F.sum(F.col("uses").cast("double") * F.col("uses")).alias("s")).first()
+    total = classes.agg(F.sum("n").alias("n")).first().n or 1
+    squares = profile.where(f"uses >= {FREQUENT}").agg(F.sum(F.col("uses").cast("double") * F.col("uses")).alias("s")).first().s or 0.0
     sizes = {r.n: r["count"] for r in classes.where(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}
-    light = boundary(sizes, (squares.s or 0.0) / max(1, sums.n or 1))
+    light = boundary(sizes, squares / total)
     buckets = max(1, min(MOST_BUCKETS, total_bytes(docs) // BUCKET_BYTES))
 
-    listed = shared_keys(docs, frequent, light, buckets).join(known.where("n > 0").select("doc_id", "set", "n"), "doc_id")
-    listed = listed.groupBy("key", "common", "set", "n").agg(F.lit(1)).select("key", "common", "set", "n")
-    listed = written(listed)
-    several = listed.groupBy("key", "common").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    listed = written(listed.join(several, ["key", "common"], "left_semi"))
-    contents = _set_contents(docs, classes.join(sized(written(listed.select("set").distinct())), "set", "left_semi"))
+    copies = known.join(classes.where("copies > 1").select("set", "root"), "set").where("doc_id <> root").select("doc_id").distinct()
+    copies = sized(written(copies.join(classes.select(F.col("root").alias("doc_id")), "doc_id", "left_anti")))
+    listed = written(shared_keys(docs.join(copies, "doc_id", "left_anti"), frequent, light, buckets))
 
-    lists = listed.where("common = 0")
-    subsets = listed.where("common > 0")
-    smallest = subsets.groupBy("key", "common").agg(F.min(F.struct("n", "set")).alias("s"))
+    most = F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int")
+    entries = lambda n: F.greatest(F.lit(SHARED), F.floor(n / F.lit(PART)).cast("int"))
+    # a document with fewer shared entries than any link takes is in no pair
+    strong = listed.where("common = 0").groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= F.least(entries(most), most)).select("id")
+    lists, subsets = written(listed.where("common = 0").join(sized(written(strong.distinct())), "id", "left_semi")), listed.where("common > 0")
+    smallest = subsets.groupBy("key", "common").agg(F.min(F.struct("n", "id")).alias("s"))
     need = F.ceil((F.col("n") + F.col("s.n")) * NUM / F.lit(NUM + DEN))
-    by_subset = subsets.join(smallest, ["key", "common"]).where(need <= F.col("common")).select(F.col("set").alias("a"), F.col("s.set").alias("b"))
-    few = lists.withColumn("nth", F.row_number().over(Window.partitionBy("set").orderBy(F.xxhash64("key"), "key"))).where(F.col("nth") <= FIRST_KEYS)
-    centre = few.groupBy("key").agg(F.min(F.struct("set", "n")).alias("s"))
-    fits = lambda n, m: (F.least(n, m) * DEN >= F.greatest(n, m) * NUM)
-    by_centre = few.join(centre, "key").where(fits(F.col("n"), F.col("s.n"))).select(F.col("set").alias("a"), F.col("s.set").alias("b"))
-    first_pairs = written(_pairs(by_subset.unionByName(by_centre)))
-    links = written(_linked(first_pairs, contents))
-
-    joined = written(components(links))
-    placed = written(lists.join(joined.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "n", F.coalesce("component", "set").alias("part")))
-    parts = placed.groupBy("key", "part").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("key").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    open_lists = written(placed.join(mixed, "key"))
-    x, y = open_lists.where("part <> main").alias("x"), open_lists.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & fits(F.col("x.n"), F.col("y.n")) & ((F.col("x.n") > light) | (F.col("y.n") > light)))
-    rest = written(_pairs(across.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))).join(first_pairs, ["a", "b"], "left_anti"))
-    more = written(_linked(rest, contents))
-    joined = components(links.unionByName(more)).withColumnRenamed("node", "set")
-
-    member = written(joined.join(classes.select("set", "root"), "set"))
-    roots = member.groupBy("component").agg(F.min("root").alias("component_id"))
-    named = member.join(roots, "component").select("set", "component_id")
-    alone = classes.where("copies > 1").join(member.select("set"), "set", "left_anti").select("set", F.col("root").alias("component_id"))
+    by_subset = subsets.join(smallest, ["key", "common"]).where(need <= F.col("common")).select(F.col("id").alias("a"), F.col("s.id").alias("b"))
+    fits = lambda n, m: F.least(n, m) * DEN >= F.greatest(n, m) * NUM
+    few = lists.where(F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0)
+    centre = few.groupBy("key").agg(F.min(F.struct("id", "n")).alias("s"))
+    by_centre = few.join(centre, "key").where(fits(F.col("n"), F.col("s.n")) & (F.col("id") != F.col("s.id"))).groupBy("id", F.col("s.id").alias("centre")).agg(F.count("*").alias("k"))
+    by_centre = by_centre.groupBy("id").agg(F.max_by("centre", F.struct("k", "centre")).alias("b")).select(F.col("id").alias("a"), "b")
+    first_pairs = written(by_subset.unionByName(by_centre).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct())
+    links = written(_linked(first_pairs, _contents(docs, first_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
+
+    joined = sized(written(components(links)))
+    placed = lists.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    open_lists = written(placed.join(sized(written(mixed)), "key", "left_semi"))
+
+    # and takes shingles that another open set has for nearly all of the set
+    strong = written(open_lists.groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= F.least(entries(most), most)).select("id", "n").distinct())
+    contents = _contents(docs, strong.select("id").distinct())
+    for _ in range(2):
+        able = written(_shared_sizes(contents).join(strong, "id").where(F.col("shared") >= most).select("id", "shared"))
+        contents = contents.join(sized(able.select("id").distinct()), "id", "left_semi")
+    open_lists = written(open_lists.join(sized(able), "id"))
+    main = open_lists.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
+    x, y = open_lists.join(main, "key").where("part <> main").alias("x"), open_lists.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    # pairs of two small parts are met from both sides
+    once = (F.col("y.part") == F.col("x.main")) | (F.col("x.id") < F.col("y.id"))
+    possible = fits(n, m) & (F.greatest(n, m) > light) & (F.least("x.shared", "y.shared") * (NUM + DEN) >= (n + m) * NUM)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & once & possible)
+    enough = F.least(entries(n), entries(m), F.ceil((n + m) * NUM / F.lit(NUM + DEN)))
+    counted = across.groupBy(F.least("x.id", "y.id").alias("b"), F.greatest("x.id", "y.id").alias("a"), enough.alias("enough")).agg(F.count("*").alias("k"))
+    rest = written(counted.where("k >= enough").select("a", "b").join(first_pairs, ["a", "b"], "left_anti"))
+    joined = components(links.unionByName(_linked(rest, contents))).withColumnRenamed("node", "root")
+
+    named = classes.select("set", "root").join(sized(written(joined)), "root").select("set", F.col("component").alias("component_id"))
+    alone = classes.where("copies > 1").join(joined, "root", "left_anti").select("set", F.col("root").alias("component_id"))
     labels = sized(written(named.unionByName(alone)))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     return known.join(labels, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), own)
