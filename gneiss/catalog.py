@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.plans import state, text
+
+NAMES = {
+    text: "sentence_split chunk_packing conversation_sections turn_context document_frequency extractive_summary lexical_top hash_embedding content_ids html_text",
+    state: "dense_lane section_children fused_sections diverse_hits entity_degree one_hop eligible_facts competing_facts admission_classes canonical_registry "
+    "projection_states missing_projections census heartbeats order_state outbox_stream windowed_stream quality_metrics",
+}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return text.lexical_top(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: getattr(module, name) for module, names in NAMES.items() for name in names.split()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """A query's SQL is the constant of its name in capitals."""
+    return {name: getattr(module, name.upper()) for module, names in NAMES.items() for name in names.split() if hasattr(module, name.upper())}

@@ -1,0 +1,16 @@
+"""Vector expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """0 if either vector is zero."""
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)

@@ -1,0 +1,88 @@
+import pytest
+from pyspark.sql import functions as F
+
+from gneiss.functions.text import content_tokens, normal_surface, sentences
+from gneiss.operators.admission import reference_class, registry
+from gneiss.operators.chunking import pack_sentences, summaries
+from gneiss.operators.control import reconcile
+from gneiss.operators.graph import conflicts, endpoints, hop
+from gneiss.operators.ranking import fuse_first, fuse_hits, mmr
+from gneiss.sources.html import text_of
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_sentences_split_at_ends_and_newlines(spark):
+    df = spark.createDataFrame([(1, 'One two. Three "four"! five? Six.\n\nseven'), (2, ""), (3, None)], "doc_id int, text string")
+    got = {r.doc_id: r.s for r in df.select("doc_id", sentences(F.col("text")).alias("s")).collect()}
+    assert got == {1: ["One two.", 'Three "four"! five?', "Six.", "seven"], 2: [], 3: []}
+
+
+def test_tokens_and_surfaces(spark):
+    df = spark.createDataFrame([("The Re-use of ETL_jobs, the re-use",)], "t string")
+    assert df.select(content_tokens(F.col("t"))).first()[0] == ["re-use", "etl_jobs"]
+    assert df.select(normal_surface(F.lit("  (Acme   CORP.) "))).first()[0] == "acme corp"
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 17])
+def test_packing_never_splits_a_sentence(spark, partitions):
+    long = "A" * 1500 + "."
+    df = spark.createDataFrame([(1, f"Short one. {long} Tail here."), (2, "")], "doc_id long, text string").repartition(partitions)
+    got = [(r.chunk_index, len(r.text), r.n_sentences) for r in pack_sentences(df).orderBy("chunk_index").collect()]
+    assert got == [(0, 10, 1), (1, 1501, 1), (2, 10, 1)]
+
+
+def test_summary_keeps_document_order_and_lead(spark):
+    df = spark.createDataFrame([(1, "\n".join(f"Line number {i} about rivers." for i in range(9)))], "doc_id long, text string")
+    assert summaries(df, 2).first().summary == "Line number 0 about rivers. Line number 1 about rivers."
+
+
+def test_consensus_beats_a_lone_first_place(spark):
+    lanes = spark.createDataFrame([(1, "a", "x", 0), (1, "a", "y", 1), (1, "b", "y", 1), (1, "b", "y", 2)], "q int, lane string, item string, rank long")
+    first = {r.item: r.score for r in fuse_first(lanes, ["q"], "item").collect()}
+    every = {r.item: r.score for r in fuse_hits(lanes, ["q"], "item").collect()}
+    assert first["y"] == pytest.approx(2 / 62) and first["y"] > first["x"] and every["y"] > first["y"]
+
+
+def test_mmr_with_full_weight_is_relevance_order(spark):
+    c = spark.createDataFrame([(1, 1, 0.9, [1.0, 0.0]), (1, 2, 0.8, [1.0, 0.0]), (1, 3, 0.7, [0.0, 1.0])], "q long, i long, r double, v array<double>")
+    place = lambda w: [x.i for x in mmr(c, "q", "i", "r", "v", 3, w).orderBy("place").collect()]
+    assert place(1.0) == [1, 2, 3] and place(0.3) == [1, 3, 2]
+
+
+def test_graph_steps(spark):
+    f = spark.createDataFrame([("f1", "a", "p", "b"), ("f2", "c", "p", "b"), ("f3", "a", "q", "b"), ("f4", "d", "p", "d")], "fact string, subject string, predicate string, object string")
+    assert rows(endpoints(f).groupBy("entity").count()) == [("a", 2), ("b", 3), ("c", 1), ("d", 1)]
+    assert rows(hop(f, spark.createDataFrame([("b",), ("d",)], "seed string")).select("seed", "fact")) == [("b", "f1"), ("b", "f2"), ("b", "f3"), ("d", "f4")]
+    assert rows(conflicts(f).select("fact")) == [("f1",), ("f2",), ("f3",)]
+
+
+def test_reconcile_has_all_eight_states(spark):
+    k = lambda *v: spark.createDataFrame([(x,) for x in v] or [(0,)], "key int")
+    got = dict(rows(reconcile(k(1, 2, 3, 4), k(1, 2, 5, 6), k(1, 3, 5, 7))))
+    assert got == {1: "ok", 2: "lost", 3: "missing_receipt", 4: "pending", 5: "orphan", 6: "orphan_receipt", 7: "untracked"}
+
+
+@pytest.mark.parametrize(
+    "surface, wanted",
+    [
+        ("NASA", "GLOBAL"), ("Acme", "GLOBAL"), ("v2", "GLOBAL"), ("our platform", "DOCUMENT_SCOPED"), ("the system", "MENTION_ONLY"),
+        ("System 3", "CORPUS_SCOPED"), ("system 3", "MENTION_ONLY"), ("gradient descent method", "CORPUS_SCOPED"), ("new engine", "MENTION_ONLY"), ("", "MENTION_ONLY"),
+    ],
+)
+def test_reference_classes(spark, surface, wanted):
+    assert spark.range(1).select(reference_class(F.lit(surface))).first()[0] == wanted
+
+
+def test_registry_merges_only_mergeable_types(spark):
+    e = spark.createDataFrame([(1, "PRODUCT", "Blue bolt"), (2, "PRODUCT", "blue  BOLT."), (3, "PERSON", "Ann"), (4, "PERSON", "ann"), (5, "", "")], "entity int, core_type string, surface string")
+    got = {r.entity: r for r in registry(e, "c").collect()}
+    assert got[1].canonical_id == got[2].canonical_id and got[1].decision == "SAME_AS"
+    assert got[3].canonical_id != got[4].canonical_id and got[3].decision == "SELF" and got[5].decision == "UNRESOLVED"
+
+
+def test_html_text():
+    assert text_of("<head><title>x</title></head><p>a &amp; b<br>c</p><script>no</script><div> d </div>") == "a & b\n\nc\n\nd"
+    assert text_of(None) == "" and text_of("<p>unclosed <b>bold") == "unclosed bold"
