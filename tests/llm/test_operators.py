@@ -1,0 +1,317 @@
+"""Each operator against a plain version, and nulls, empties, ties, clashing names and empty tables."""
+
+import hashlib
+import random
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gneiss.llm import lattice as L
+from gneiss.llm.direct_codes import Codes, pack as pack_ids, read_codes, word_encoder, write_codes
+from gneiss.llm.line_chunks import remove_repeated_chunks
+from gneiss.llm.media import area_resize, as_media, decode, difference_hash, encode_pgm, tiles
+from gneiss.llm.packing import best_bounds, pack
+from gneiss.llm.phrase_index import benchmark_hits, words_of
+from gneiss.llm.quality import score_quality
+from gneiss.llm.secrets import findings, scan_unseen
+from gneiss.llm.shards import byte_shards
+from gneiss.llm.similarity import boundary, overlap, similar_components, subset_sizes
+
+DOCS = "doc_id long, text string"
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, blanks, repeated rows, ties, one very long text."""
+    return frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, ""), (4, " \n\n "), (None, "lost id here now"), (5, "long word " * 30_000), (6, "a b c d e f")])
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# lattice
+
+
+def tiny():
+    return L.pieces([("▁ab", -1.0), ("▁a", -2.0), ("b", -1.5), ("c", -2.5), ("bc", -1.2), ("▁▁", -1.0)])
+
+
+def all_paths(v, word):
+    """The sum over all segmentations, by recursion over strings."""
+    table = {}
+    for p in ("ab", "a", ""):
+        i = np.nonzero(v.keys == L._hash(p, True))[0]
+        table["^" + p] = v.log_p[v.slots[i[0]]]
+    for p in ("b", "c", "bc"):
+        table[p] = v.log_p[v.slots[np.nonzero(v.keys == L._hash(p, False))[0][0]]]
+
+    def rest(s):
+        if not s:
+            return np.exp(v.log_p[v.stop])
+        total = np.exp(sum(v.log_p[v.byte0 + b] for b in s[0].encode())) * rest(s[1:])
+        return total + sum(np.exp(lp) * rest(s[len(p):]) for p, lp in table.items() if p[0] != "^" and s.startswith(p))
+
+    return np.log(sum(np.exp(lp) * rest(word[len(p) - 1:]) for p, lp in table.items() if p[0] == "^" and word.startswith(p[1:])))
+
+
+@pytest.mark.parametrize("word", ["a", "ab", "abc", "abcbc", "é", "x", "日本b", "😀c"])
+def test_forward_sums_all_segmentations(word):
+    v = tiny()
+    assert L.Lattice(v).log_probabilities([word])[0] == pytest.approx(all_paths(v, word), rel=1e-9)
+
+
+def test_expected_uses_are_counts_and_weights_are_distributions():
+    v, into = tiny(), np.zeros(len(tiny().log_p))
+    lattice = L.Lattice(v)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for some, codes, size in lattice.batches(["abc", "bc", "é"]):
+            lattice.expect(codes, size, np.array([2.0] * len(some)), into)
+    assert into[v.begins].sum() == pytest.approx(6.0) and into[v.stop] == pytest.approx(6.0)
+    assert np.exp(v.log_p[v.begins]).sum() == pytest.approx(1) and np.exp(v.log_p[~v.begins]).sum() == pytest.approx(1)
+
+
+def test_base_score_and_tokens(spark):
+    docs = frame(spark, [(1, "A b"), (2, "b"), (3, "b zz"), (4, None)])
+    got = {r.doc_id: r for r in L.score_texts(docs, F.col("doc_id") > 2, [("▁a", -1.0), ("b", -2.0)]).collect()}
+    base = lambda c: np.log10((c + 0.1) / (5 + 0.1 * 4))
+    assert got[3].train_tokens == 5 and got[3].n_tokens == 3 and got[3].n_known == 2 and got[3].held_out
+    assert got[3].base_score == pytest.approx(base(2) + base(0) + base(2)) and got[4].n_tokens == 1
+    assert all(r.score < 0 for r in got.values())
+
+
+def test_lattice_edge_cases(spark, odd, none):
+    got = L.score_texts(odd, F.lit(False), [("▁a", -1.0)]).collect()
+    assert len(got) == 8 and all(np.isfinite(r.score) for r in got)
+    assert all(np.isfinite(r.score) for r in L.score_texts(odd, F.lit(True), [("▁a", -1.0)]).collect())
+    assert L.score_texts(none, F.lit(False), [("▁a", -1.0)]).count() == 0
+
+
+# packing
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bounds_are_optimal(seed):
+    r = random.Random(seed)
+    lengths = sorted(r.sample(range(1, 60), 9))
+    counts = [r.randint(1, 20) for _ in lengths]
+    cost = lambda bounds: sum(c * (min(b for b in bounds if b >= x) - x) for x, c in zip(lengths, counts))
+    for k in (1, 2, 3, 4, 12):
+        best = min(cost([*some, lengths[-1]]) for n in range(min(k, 9)) for some in combinations(lengths[:-1], n))
+        got = best_bounds(lengths, counts, k)
+        assert cost(got) == best and len(got) <= k
+
+
+def test_batches_keep_the_budget(spark, none):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(700)).alias("n_tokens"), F.lit("x").alias("batch"))
+    got = pack(rows, buckets=4, budget=1000)
+    per = got.groupBy("bucket", "batch").agg(F.count("*").alias("n"), F.first("bucket_tokens").alias("t"), F.max("batch_slot").alias("s"), F.sum("padding").alias("p")).collect()
+    assert got.count() == 3000 and all(r.n * r.t <= 1000 and r.s == r.n - 1 for r in per)
+    assert got.agg(F.min("padding")).first()[0] >= 0
+    assert pack(none.select("doc_id", F.lit(1).alias("n_tokens"))).count() == 0
+    assert pack(spark.createDataFrame([(1, None), (None, 5), (None, 5)], "doc_id long, n_tokens long")).count() == 3
+
+
+# similarity
+
+
+def plain_components(rows):
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            i, j = sorted((find(a), find(b)))
+            parent[j] = i
+    return {(d, len(s), find(d)) for d, s in sets.items()}
+
+
+def test_similarity_equals_all_pairs(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for d in range(150):
+        if rows and r.random() < 0.6:
+            w = rows[r.randrange(len(rows))][1].split()
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(len(w))] = r.choice(words)
+            w = w + [r.choice(words)] * r.randint(0, 2)
+        else:
+            w = [r.choice(words) for _ in range(r.choice([1, 3, 6, 9, 14, 20, 40, 120]))]
+        rows.append((d, " ".join(w)))
+    got = {tuple(x) for x in similar_components(frame(spark, rows)).collect()}
+    assert got == plain_components(rows)
+
+
+def test_similarity_edge_cases(spark, odd, none):
+    got = sorted((tuple(r) for r in similar_components(odd).collect()), key=str)
+    assert got.count((1, 2, 1)) == 2 and (6, 2, 1) in got and (2, 0, 2) in got and (3, 0, 3) in got and (None, 1, None) in got
+    assert similar_components(none).count() == 0
+
+
+def test_subset_sizes_and_boundary():
+    assert overlap(9, 9) == 8 and subset_sizes(9, 16) == sorted({overlap(9, m) for m in range(8, 12)})
+    assert boundary({3: 10, 10: 5}, 0.0) <= 16 and boundary({}, 0.0) == 0
+
+
+# token codes
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
+def test_codes_round_trip_and_access(n):
+    ids = np.random.default_rng(n).integers(0, 1 << np.random.default_rng(n).integers(1, 32, n), dtype=np.uint64).astype(np.uint32) if n else np.zeros(0, np.uint32)
+    codes = Codes(pack_ids(ids))
+    assert len(codes) == n and (codes.all() == ids).all()
+    assert all(codes[i] == ids[i] for i in range(0, n, max(1, n // 97)))
+
+
+def test_written_codes_equal_whole_text_encoding(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = ["Hello, world! it's", None, "", "á é\n\tNAÏVE  x<|endoftext|>y 12", "日本 語　z  ", "don't've " * 500]
+    docs = frame(spark, [(10 - i, t) for i, t in enumerate(texts)])
+    path = P.path("word_bpe_49k.json")
+    got = read_codes(write_codes(docs, lambda: word_encoder(path), 2), lambda ids: zlib.crc32(ids.astype("<u4").tobytes())).orderBy("doc_id").collect()
+    tokenizer, start = Tokenizer.from_file(path), 0
+    for row, text in zip(got, reversed(texts)):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        assert (row.start, row.n_tokens, row.digest) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_code_edge_cases(odd, none):
+    plain = lambda: lambda texts: [np.frombuffer(t, np.uint8).astype(np.uint32) for t in texts]
+    assert read_codes(write_codes(odd, plain, 2), len).count() == 8
+    assert read_codes(write_codes(none, plain, 2), len).count() == 0
+
+
+# line chunks
+
+
+def test_repeated_chunks_go_once(spark, odd, none):
+    shared = "\n".join(f"shared line {i}" for i in range(200))
+    docs = frame(spark, [(i, f"own {i}\n{shared}\nend {i}", "x") for i in range(4)], DOCS + ", chunks_removed string")
+    got = {r.doc_id: r for r in remove_repeated_chunks(docs).collect()}
+    assert got[0].chunks_removed == 0 and got[0].text.count("shared") == 200
+    for i in (1, 2, 3):
+        assert got[i].chunks_removed > 0 and f"own {i}" in got[i].text and f"end {i}" in got[i].text and got[i].text.count("shared") < 60
+    assert sorted(r.text or "" for r in remove_repeated_chunks(odd).collect()) == sorted(r.text or "" for r in odd.collect())
+    assert remove_repeated_chunks(none).count() == 0
+
+
+# phrase index
+
+
+def test_hits_equal_a_scan(spark, odd, none):
+    r = random.Random(3)
+    vocabulary = [f"t{i}" for i in range(6)]
+    docs = [(d, " ".join(r.choice(vocabulary) for _ in range(60))) for d in range(40)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(n))) for i, n in enumerate([1, 3, 4, 4, 5, 7, 0])]
+    got = {x.doc_id: (x.n_words, [list(s) for s in x.spans], x.items) for x in benchmark_hits(frame(spark, docs), frame(spark, items, "item_id long, text string"), 4).collect()}
+    for d, text in docs:
+        w, hit, ids = words_of(text.encode()), set(), set()
+        for i, t in items:
+            q = words_of(t.encode())
+            for k in range(max(1, len(q) - 3) if q else 0):
+                part = q[k : k + 4]
+                for p in range(len(w) - len(part) + 1):
+                    if w[p : p + len(part)] == part:
+                        hit |= set(range(p, p + len(part)))
+                        ids.add(str(i))
+        assert got[d][0] == 60 and {p for a, b in got[d][1] for p in range(a, b)} == hit and got[d][2] == sorted(ids)
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert benchmark_hits(odd, empty).count() == 8 and benchmark_hits(none, empty).count() == 0
+    near = benchmark_hits(frame(spark, [(1, "x a q b y"), (2, "a q q q b")]), frame(spark, [(1, "b a")], "item_id long, text string"), near=2).collect()
+    assert {r.doc_id: bool(r.items) for r in near} == {1: True, 2: False}
+
+
+# media
+
+
+def test_media_decode_and_resize(spark, odd, none):
+    rgb = np.random.default_rng(1).integers(0, 256, (5, 7, 3)).astype(np.uint8)
+    gray = rgb[:, :, 0]
+    assert (decode(encode_pgm(gray)) == gray).all()
+    assert (decode(b"P6 # note\n7 5\n255\n" + rgb.tobytes()) == rgb).all()
+    assert (decode(b"P2\n7 5\n255\n" + b" ".join(b"%d" % x for x in gray.ravel())) == gray).all()
+    assert (decode(b"P1\n3 1\n1 0 1\n") == [[0, 1, 0]]).all()
+    row = b"".join(rgb[y, :, ::-1].tobytes() + b"\0" * (-21 % 4) for y in reversed(range(5)))
+    header = b"BM" + (54 + len(row)).to_bytes(4, "little") + b"\0" * 4 + (54).to_bytes(4, "little")
+    info = (40).to_bytes(4, "little") + (7).to_bytes(4, "little") + (5).to_bytes(4, "little") + b"\x01\0\x18\0" + b"\0" * 24
+    assert (decode(header + info + row) == rgb).all()
+    big = np.kron(gray, np.ones((12, 16)))
+    assert np.allclose(area_resize(big, 5, 7), gray) and area_resize(gray, 2, 3).mean() == pytest.approx(gray.mean())
+    assert difference_hash(np.tile(np.arange(18), (16, 1))) == "ff" * 8
+    got = tiles(as_media(odd)).collect()
+    assert len(got) == 8 and all(r.error is None and len(r.pixels) % 576 == 0 and len(r.pixels) >= 576 for r in got)
+    broken = tiles(frame(spark, [(1, bytearray(b"P5 2 2 255\n")), (2, None)], "media_id long, media binary")).collect()
+    assert all(r.error and r.pixels is None for r in broken) and tiles(as_media(none)).count() == 0
+
+
+# quality
+
+
+def test_quality_separates_held_out(spark, odd, none):
+    r = random.Random(9)
+    words = "the of river stone is and with over light from many".split()
+    good = lambda: " ".join(r.choice(words) for _ in range(60)) + "."
+    bad = lambda: " ".join(r.choice(words) + r.choice(["###", "%%%", "&&&"]) for _ in range(60))
+    rows = [(i, bad() if i % 5 == 0 else good()) for i in range(1000)]
+    positives = spark.createDataFrame([(i,) for i in range(500) if i % 5], "doc_id long")
+    got = {x.doc_id: x.score for x in score_quality(frame(spark, rows), positives).collect()}
+    assert np.mean([(got[i] >= 0.3) == bool(i % 5) for i in range(500, 1000)]) > 0.97
+    assert all(0 <= x.score <= 1 for x in score_quality(odd, positives).collect()) and score_quality(odd, positives).count() == 8
+    assert score_quality(none, positives).count() == 0
+    assert all(x.score > 0.5 for x in score_quality(odd, positives.limit(0)).collect())
+
+
+# shards
+
+
+def test_shards_are_contiguous_and_near_equal(spark, odd, none):
+    rows = [(i * 7 % 1000, "é" * (i % 90)) for i in range(1000)]
+    got = sorted((r.doc_id, r.shard, r.slot, r.size, r.text_crc32) for r in byte_shards(frame(spark, rows), 7).collect())
+    assert [x[1] for x in got] == sorted(x[1] for x in got)
+    texts = dict(rows)
+    for s in range(7):
+        own = [x for x in got if x[1] == s]
+        assert [x[2] for x in own] == list(range(len(own))) and abs(sum(x[3] for x in own) - sum(x[3] for x in got) / 7) <= 2 * 194
+    assert all(x[3] == len(texts[x[0]].encode()) + 16 and x[4] == zlib.crc32(texts[x[0]].encode()) for x in got)
+    assert byte_shards(odd, 40).count() == 8 and byte_shards(none, 40).count() == 0
+
+
+# secrets
+
+
+def test_ledger_scans_only_unseen_blobs(spark, odd, none):
+    v1 = frame(spark, [("a", 'api_key = "abcdef12" x'), ("b", 'api_key = "abcdef12" x'), ("c", "AKIA" + "Z" * 16 + " " + "0a" * 12)], "path string, text string")
+    first = scan_unseen(v1)
+    assert first.count() == 2
+    v2 = v1.unionByName(frame(spark, [("a", "Token: abc secret=token: abcdefgh"), ("d", None)], "path string, text string"))
+    second = scan_unseen(v2, first)
+    assert second.count() == 2 and scan_unseen(v2, first.unionByName(second)).count() == 0
+    found = {(r.path, hashlib.sha256((r.blob or "").encode()).hexdigest()): [(s.kind, s.start, s.end) for s in r.spans] for r in findings(v2, first.unionByName(second)).collect()}
+    spans = sorted(map(tuple, found.values()), key=str)
+    assert (("assign", 0, 19),) in spans and (("access", 0, 20), ("hex", 21, 45)) in spans and () in spans and len(found) == 5
+    odd = odd.withColumnRenamed("doc_id", "path")
+    assert findings(odd, scan_unseen(odd)).count() == 8
+    none = none.withColumnRenamed("doc_id", "path")
+    assert findings(none, scan_unseen(none)).count() == 0
