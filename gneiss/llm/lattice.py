@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .common import raw_texts, total_bytes, written
 
 #: EM passes over the distinct training words; discount of seen words; bytes of text in a block; words counted before a task passes them on.
-PASSES, DISCOUNT, BLOCK_BYTES, HELD_WORDS = 3, 0.75, 12_000_000, 300_000
+PASSES, DISCOUNT, BLOCK_BYTES, HELD_WORDS = 3, 0.75, 24_000_000, 300_000
 #: Cells of one lattice batch; longest piece in characters.
 CELLS, LONGEST = 400_000, 16
 START, BASE, CELL = "▁", np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
