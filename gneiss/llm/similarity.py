@@ -30,6 +30,8 @@ COUNTED, LOCAL, FREQUENT, MOST_FREQUENT = 3_000_000, 6, 24, 1_000_000
 #: List entries that linked sets share at least, and the part of the smaller set that they are; text bytes per bucket of inverted lists, and the most buckets; one in so many keys
 #: serves to find each set's first comparison.
 SHARED, PART, BUCKET_BYTES, MOST_BUCKETS, FIRST_KEYS = 5, 16, 1 << 20, 200_000, 8
+#: 64-bit words of a set's parity sketch; at most so many rows with one are broadcast (20 MB).
+SKETCH, BROADCAST_SKETCHES = 8, 150_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -62,6 +64,12 @@ def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
     return np.unique(_mix(total))
 
 
+def parity_sketch(hashes: np.ndarray) -> list[int]:
+    """One bit of 64 * SKETCH for each class of hashes: is the number of members odd? Two sets differ in at least as many members as their sketches in bits."""
+    odd = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def set_name(hashes: np.ndarray) -> str:
     """128 bits that tell sets apart; equal sets are one class."""
     return xxhash.xxh3_128_hexdigest(hashes.tobytes()) if len(hashes) else ""
@@ -221,16 +229,18 @@ def shared_keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light:
 
 
 def _contents(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, hashes) of the documents of these ids: their texts are read again."""
-    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    """(id, hashes, sketch) of the documents of these ids: their texts are read again."""
+    longs = T.ArrayType(T.LongType())
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("hashes", longs), T.StructField("sketch", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 some = batch.slice(low, 1000)
-                sets = [shingle_set(t, hashes).astype(np.int64) for t in raw_texts(some)]
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=out.names)
+                sets = [shingle_set(t, hashes) for t in raw_texts(some)]
+                columns = [s.astype(np.int64) for s in sets], [parity_sketch(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([some.column("id"), *(pa.array(c, pa.list_(pa.int64())) for c in columns)], names=out.names)
 
     texts = docs.withColumnRenamed("doc_id", "id").join(sized(written(ids)), "id", "left_semi")
     return written(texts.select("id", "text").mapInArrow(run, out), {"compression": "zstd"})
@@ -307,13 +317,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
     for _ in range(2):
         able = written(_shared_sizes(contents).join(strong, "id").where(F.col("shared") >= most).select("id", "shared"))
         contents = contents.join(sized(able.select("id").distinct()), "id", "left_semi")
-    open_lists = written(open_lists.join(sized(able), "id"))
+    able = written(able.join(contents.select("id", "sketch"), "id"))
+    open_lists = written(open_lists.join(sized(able, BROADCAST_SKETCHES), "id"))
     main = open_lists.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
     x, y = open_lists.join(main, "key").where("part <> main").alias("x"), open_lists.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     # pairs of two small parts are met from both sides
     once = (F.col("y.part") == F.col("x.main")) | (F.col("x.id") < F.col("y.id"))
     possible = fits(n, m) & (F.greatest(n, m) > light) & (F.least("x.shared", "y.shared") * (NUM + DEN) >= (n + m) * NUM)
+    # and so are pairs whose sketches differ in more bits than linked sets differ in shingles
+    bits = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    possible &= (n + m - bits) * (NUM + DEN) >= (n + m) * 2 * NUM
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & once & possible)
     enough = F.least(entries(n), entries(m), F.ceil((n + m) * NUM / F.lit(NUM + DEN)))
     counted = across.groupBy(F.least("x.id", "y.id").alias("b"), F.greatest("x.id", "y.id").alias("a"), enough.alias("enough")).agg(F.count("*").alias("k"))

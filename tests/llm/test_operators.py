@@ -18,7 +18,7 @@ from gneiss.llm.phrase_index import benchmark_hits, words_of
 from gneiss.llm.quality import score_quality
 from gneiss.llm.secrets import findings, scan_unseen
 from gneiss.llm.shards import byte_shards
-from gneiss.llm.similarity import boundary, overlap, similar_components, subset_sizes
+from gneiss.llm.similarity import boundary, overlap, parity_sketch, similar_components, subset_sizes
 
 DOCS = "doc_id long, text string"
 
@@ -160,6 +160,15 @@ def test_similarity_equals_all_pairs(spark):
     assert got == plain_components(rows)
 
 
+def test_parity_sketches_never_differ_more_than_their_sets():
+    r = np.random.default_rng(5)
+    for size in (0, 1, 20, 300, 5000):
+        x = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < 0.9], r.integers(0, 2**63, size // 10).astype(np.uint64)]))
+        bits = sum((a ^ b).bit_count() for a, b in zip(*([v & 0xFFFFFFFFFFFFFFFF for v in parity_sketch(s)] for s in (x, y))))
+        assert bits <= len(np.setxor1d(x, y))
+
+
 def test_similarity_edge_cases(spark, odd, none):
     got = sorted((tuple(r) for r in similar_components(odd).collect()), key=str)
     assert got.count((1, 2, 1)) == 2 and (6, 2, 1) in got and (2, 0, 2) in got and (3, 0, 3) in got and (None, 1, None) in got
