@@ -226,6 +226,19 @@ def test_repeated_chunks_go_once(spark, odd, none):
     assert remove_repeated_chunks(none).count() == 0
 
 
+def test_passages_go_to_their_ends(spark):
+    line = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    alone, short = line("alone", 66), line("short", 50)
+    passage = [line(f"part{k}", 20) for k in range(3)]
+    docs = [(i, "\n".join([line(f"a{i}x", 5), alone, line(f"b{i}x", 5), short, line(f"c{i}x", 5), *passage[:1 + i % 2], "" if i else " ", *passage[1 + i % 2 :], line(f"d{i}x", 5)])) for i in range(12)]
+    got = {r.doc_id: r.text.split("\n") for r in remove_repeated_chunks(frame(spark, docs)).collect()}
+    assert got[0] == docs[0][1].split("\n")
+    for i in range(1, 12):
+        assert got[i] == [line(f"a{i}x", 5), line(f"b{i}x", 5), short, line(f"c{i}x", 5), line(f"d{i}x", 5)]
+    same = frame(spark, [(1, "\n".join([line("s", 30)] * 6))])
+    assert remove_repeated_chunks(same, spacing=10**9).first().text.split("\n") == [line("s", 30)] * 2
+
+
 # phrase index
 
 
