@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.vectors import cosine
@@ -14,12 +14,16 @@ from gneiss.session import table
 from gneiss.streaming.outbox import deliver_once, run_to_end, windowed_counts
 
 
+def _likeness() -> Column:
+    return F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score")
+
+
 def dense_lane(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
     """The n vectors most like each vector whose id is divisible by 100, itself left out."""
     v = table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     # the stated query set against all rows
-    scored = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    scored = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", _likeness())
     return top_per(scored, ["query_id"], n, F.desc("score"), F.asc("vec_id"))
 
 
@@ -34,10 +38,13 @@ DENSE_LANE = f"WITH {DENSE_CTE} SELECT * FROM dense"
 
 
 def section_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the dense lane: the two best sections (labels) of each query, and three children of each."""
+    """The two best sections (labels) of each query in the dense lane, and the three best children of each among all vectors of the section."""
     hits = dense_lane(spark, sf_dir)
     sections = top_per(hits.groupBy("query_id", "label").agg(F.min("rank").alias("best")), ["query_id"], 2, F.asc("best"), F.asc("label"), name="section_rank")
-    return top_per(hits.join(sections.select("query_id", "label", "section_rank"), ["query_id", "label"]), ["query_id", "label"], 3, F.asc("rank"), F.asc("vec_id"), name="child_rank").select("query_id", "label", "section_rank", "vec_id", "child_rank")
+    v = table(spark, sf_dir, "embeddings")
+    asked = sections.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").select("query_id", "label", "section_rank", "q")
+    scored = v.join(asked, "label").where("vec_id <> query_id").select("query_id", "label", "section_rank", "vec_id", _likeness())
+    return top_per(scored, ["query_id", "label"], 3, F.desc("score"), F.asc("vec_id"), name="child_rank").select("query_id", "label", "section_rank", "vec_id", "child_rank")
 
 
 SECTION_CHILDREN = f"""

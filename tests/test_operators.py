@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from gneiss.operators.chunking import pack_sentences, summaries
 from gneiss.operators.control import reconcile
 from gneiss.operators.graph import conflicts, endpoints, hop
 from gneiss.operators.ranking import fuse_first, fuse_hits, mmr
+from gneiss.plans import state
 from gneiss.sources.html import text_of
 
 
@@ -86,3 +89,12 @@ def test_registry_merges_only_mergeable_types(spark):
 def test_html_text():
     assert text_of("<head><title>x</title></head><p>a &amp; b<br>c</p><script>no</script><div> d </div>") == "a & b\n\nc\n\nd"
     assert text_of(None) == "" and text_of("<p>unclosed <b>bold") == "unclosed bold"
+
+
+def test_children_come_from_the_whole_section(spark, tmp_path):
+    # 50 hits: 49 of section 1 and the best of section 2, which has more behind them
+    angle = lambda i: i if i < 50 else 49.5 if i == 150 else i + 10
+    vecs = [(i, 1 if i < 50 or i > 160 else 2, [math.cos(angle(i) / 200), math.sin(angle(i) / 200)]) for i in [*range(50), *range(150, 170)]]
+    spark.createDataFrame(vecs, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.label, r.child_rank): (r.section_rank, r.vec_id) for r in state.section_children(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): (0, 1), (1, 1): (0, 2), (1, 2): (0, 3), (2, 0): (1, 150), (2, 1): (1, 151), (2, 2): (1, 152)}
