@@ -11,7 +11,7 @@ from gneiss.operators.control import heartbeat_sessions, latest_attempts, reconc
 from gneiss.operators.graph import conflicts, eligible, endpoints, hop
 from gneiss.operators.ranking import fuse_first, fuse_hits, mmr, ranked, top_per
 from gneiss.session import table
-from gneiss.streaming.outbox import deliver_once, run_to_end, windowed_counts
+from gneiss.streaming.outbox import deliver_once, last_result, run_to_end, windowed_counts
 
 
 def _likeness() -> Column:
@@ -226,11 +226,14 @@ OUTBOX_STREAM = "SELECT event_type, count(*) AS events, count(DISTINCT event_id)
 
 
 def windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts per type through a stream in complete mode of its last batch: all windows."""
+    """Daily counts per type through a stream in complete mode: all windows, as of its last batch."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     counts = windowed_counts(spark.readStream.schema(schema).parquet(f"{path[:-1]}[t]"), "ts", "event_type", "1 day")
-    return run_to_end(counts.select(F.unix_seconds("w.start").alias("day_s"), "event_type", "count"))
+    return last_result(counts.select(F.unix_seconds("w.start").alias("day_s"), "event_type", "count"))
+
+
+WINDOWED_STREAM = "SELECT epoch(date_trunc('day', ts))::BIGINT AS day_s, event_type, count(*) AS count FROM events WHERE ts IS NOT NULL GROUP BY ALL"
 
 
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,10 @@ def test_children_come_from_the_whole_section(spark, tmp_path):
     spark.createDataFrame(vecs, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r.label, r.child_rank): (r.section_rank, r.vec_id) for r in state.section_children(spark, str(tmp_path)).collect()}
     assert got == {(1, 0): (0, 1), (1, 1): (0, 2), (1, 2): (0, 3), (2, 0): (1, 150), (2, 1): (1, 151), (2, 2): (1, 152)}
+
+
+def test_windowed_stream_has_open_windows(spark, tmp_path):
+    events = spark.createDataFrame([(1, "a", "2024-01-03 10:00:00"), (2, "a", "2024-01-01 01:00:00"), (3, "b", "2024-01-03 23:59:59"), (4, "a", "2024-01-03 00:00:00")], "event_id long, event_type string, at string")
+    events.select("event_id", "event_type", F.to_timestamp("at").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    first = 1704067200
+    assert rows(state.windowed_stream(spark, str(tmp_path)).select("day_s", "event_type", "count")) == [(first, "a", 1), (first + 2 * 86400, "a", 2), (first + 2 * 86400, "b", 1)]
