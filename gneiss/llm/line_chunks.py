@@ -91,11 +91,11 @@ def remove_repeated_chunks(docs: DataFrame, spacing: int = SPACING, least: int =
     passages are compared, each with the kept occurrence. Under one hash with unequal bytes nothing goes.
 
     A null text stays null and an empty one empty; a document whose chunks all go has an empty text; a
-    null doc_id or repeated ids are handled by row (each row gets an own key). Blank chunks stay.
+    null doc_id or repeated ids, and repeated rows, are handled by row (each row gets an own key, and of a null id the first row stays whole). Blank chunks stay.
     """
     docs = docs.drop("chunks_removed")
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64(F.coalesce("text", F.lit("")))))
-    keyed = docs.withColumn("__key", key)
+    # a row's number is fixed by writing it
+    keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()))
     count = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1
     none = F.lit(None).cast("int")
     parts = F.concat(
@@ -105,7 +105,7 @@ def remove_repeated_chunks(docs: DataFrame, spacing: int = SPACING, least: int =
         ),
         F.transform(_lines(F.col("text")), lambda x, i: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), x["words"].alias("words"), i.alias("idx"))),
     )
-    parts = written(docs.select("doc_id", key.alias("key"), F.explode(parts).alias("p")).select("doc_id", "key", "p.*"))
+    parts = written(keyed.select("doc_id", F.col("__key").alias("key"), F.explode(parts).alias("p")).select("doc_id", "key", "p.*"))
     where = parts.where("idx IS NULL").select("doc_id", "key", "pos", "hash")
     first = where.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "pos")).alias("first")).where("n > 1")
     chunks = (
@@ -119,7 +119,7 @@ def remove_repeated_chunks(docs: DataFrame, spacing: int = SPACING, least: int =
     places = written(later.select(*place).distinct())
     wanted = places.groupBy(F.col("first_key").alias("__key")).agg(F.collect_list(F.struct("first_start", "first_stop")).alias("__wanted"))
     wanted = F.broadcast(wanted) if places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
-    held = keyed.join(wanted, "__key").dropDuplicates(["__key"]).select("__key", "__wanted", "text", _chunks(F.col("text"), spacing).alias("__chunks"))
+    held = keyed.join(wanted, "__key").select("__key", "__wanted", "text", _chunks(F.col("text"), spacing).alias("__chunks"))
     chunk_at = lambda w: F.get(F.filter("__chunks", lambda c: c["line"] == w["first_start"]), F.lit(0))["chunk"]
     firsts = held.select(F.col("__key").alias("first_key"), F.explode(F.transform("__wanted", lambda w: F.struct(w["first_start"].alias("first_start"), w["first_stop"].alias("first_stop"), F.when(w["first_stop"].isNull(), chunk_at(w)).otherwise(_run(F.col("text"), w["first_start"], w["first_stop"])).alias("first_text")))).alias("f")).select("first_key", "f.*")
     # a chunk has no stop

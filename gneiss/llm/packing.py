@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 BUCKETS, BUDGET = 16, 65_536
-#: Lengths up to EXACT are bucketed as they are; above, rounded up to one of STEPS per doubling, so that the histogram is bounded.
-EXACT, STEPS = 1 << 16, 256
 #: Rows of one (bucket, salt) group, about.
 GROUP_ROWS = 100_000
 
@@ -20,12 +19,6 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
 
 
-def grid(length: Column) -> Column:
-    """The length, rounded up to the grid of lengths that the histogram has."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(EXACT)))) - int(np.log2(STEPS))).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("long") * step)
-
-
 def best_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """The upper bounds of at most `buckets` buckets over ascending lengths that minimise total padding.
 
@@ -40,7 +33,7 @@ def best_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int
         t.append(t[-1] + length * c)
     cost, back = [0] + [None] * m, []
     for _ in range(min(buckets, m)):
-        hull, row, at, new = [], [None] * (m + 1), 0, [None] * (m + 1)
+        hull, row, at, new = [], array("q", [0]) * (m + 1), 0, [None] * (m + 1)
         for j in range(1, m + 1):
             i = j - 1
             if cost[i] is not None:
@@ -72,32 +65,33 @@ def best_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int
 def pack(rows: DataFrame, length: str = "n_tokens", key: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """rows with bucket, bucket_tokens (its bound), batch (from 0 in each bucket), batch_slot and padding.
 
-    The histogram of all lengths goes to the driver (at most EXACT rows and STEPS per doubling above), and a dynamic program
-    over it finds the bounds. Every batch holds floor(budget / bound) documents, at least 1 (one document longer than the
+    The histogram of all lengths goes to the driver (16 bytes a distinct length: of t tokens in all there are at most sqrt(2 t) of
+    them), and a dynamic program over it finds the bounds of least padding. Every batch holds floor(budget / bound) documents, at least 1 (one document longer than the
     budget makes a batch of its own); the last of each bucket may hold fewer. Within a bucket rows are counted
-    by salt, then key: groups of a bounded size are numbered apart and shifted by the counts of those before.
+    by salt (a hash of the row's number), then key: groups of a bounded size are numbered apart and shifted by the counts of those before.
 
-    A null length counts as 0; length 0 is a length as any other; equal or null keys are ordered by hash of
-    the whole row; rows with columns of the added names lose those; an empty table gives an empty result.
+    A null length counts as 0; length 0 is a length as any other; equal or null keys are in any
+    order; rows with columns of the added names lose those; an empty table gives an empty result.
     """
     added = ("bucket", "bucket_tokens", "batch", "batch_slot", "padding")
     rows = rows.drop(*added)
     own = [c for c in rows.columns if c != length]
-    known = rows.select(*(F.col(f"`{c}`") for c in own), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias(length))
-    hist = written(known.groupBy(grid(F.col(length)).alias("len")).count())
-    at = sorted((r["len"], r["count"]) for r in hist.collect())
-    total = sum(c for _, c in at)
-    bounds = best_bounds([x for x, _ in at], [c for _, c in at], buckets) or [0]
+    # a row's number is fixed by writing it
+    known = written(rows.select(*(F.col(f"`{c}`") for c in own), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias(length)).withColumn("__row", F.monotonically_increasing_id()))
+    hist = written(known.groupBy(F.col(length).alias("len")).count())
+    at = hist.toArrow().sort_by("len")
+    counts = at.column("count").to_pylist()
+    bounds = best_bounds(at.column("len").to_pylist(), counts, buckets) or [0]
+    total = sum(counts)
     groups = max(1, -(-total // GROUP_ROWS))
 
     limits = F.array(*(F.lit(b).cast("long") for b in bounds))
-    bucket = F.size(F.filter(limits, lambda b: b < grid(F.col(length))))
-    ties = F.xxhash64(*(F.col(f"`{c}`") for c, kind in known.dtypes if not kind.startswith(("map", "variant"))))
-    salted = known.withColumn("bucket", bucket).withColumn("bucket_tokens", F.get(limits, F.col("bucket"))).withColumn("__salt", F.pmod(F.xxhash64(F.col(key), F.col(length)), F.lit(groups)))
+    bucket = F.size(F.filter(limits, lambda b: b < F.col(length)))
+    salted = known.withColumn("bucket", bucket).withColumn("bucket_tokens", F.get(limits, F.col("bucket"))).withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(groups)))
     # one row per bucket and salt: the salts grow with the rows, by GROUP_ROWS of them
     before = Window.partitionBy("bucket").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("bucket", "__salt").count().select("bucket", "__salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("bucket", "__salt").orderBy(key, ties)
+    inside = Window.partitionBy("bucket", "__salt").orderBy(key, "__row")
     nth = salted.withColumn("__nth", F.row_number().over(inside) - 1).join(offsets, ["bucket", "__salt"]).withColumn("__nth", F.col("__nth") + F.col("__before"))
     size = F.greatest(F.lit(1), F.expr(f"{budget} div greatest(1, bucket_tokens)"))
     return nth.select(

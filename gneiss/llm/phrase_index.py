@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import raw_texts, written
 
 #: Words of one segment at least (but for a task's last); words of test items searched at once.
-SEGMENT_WORDS, BLOCK_WORDS = 400_000, 2_000_000
+SEGMENT_WORDS, BLOCK_WORDS = 400_000, 500_000
 #: A-Z to a-z; 0-9, a-z and bytes from 128 stay; all else separates words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 INDEX = T.StructType(
     [
-        # terms: distinct words, one a line; ends: where each term's postings end; postings: positions,
+        # segment: its number; terms: distinct words, one a line; ends: where each term's postings end; postings: positions,
         # ascending by term, 32 bits; doc_ids and doc_ends: documents and where their positions end.
-        T.StructField("terms", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("postings", T.BinaryType()),
+        T.StructField("segment", T.LongType()), T.StructField("terms", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("postings", T.BinaryType()),
         T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("doc_ends", T.BinaryType()),
     ]
 )
@@ -40,12 +44,13 @@ def build_index(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
         keys, ends, terms, total = [], [], [], 0
+        serial = count(TaskContext.get().partitionId() << 33)
 
         def segment() -> pa.RecordBatch:
             term = np.concatenate(terms) if terms else np.zeros(0, np.int32)
             order = np.argsort(term, kind="stable").astype(np.int32)
-            values = (b"\n".join(number), np.cumsum(np.bincount(term, minlength=len(number))).astype(np.int32).tobytes(), order.tobytes(), keys, np.array(ends, np.int64).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()))], names=INDEX.names)
+            values = (next(serial), b"\n".join(number), np.cumsum(np.bincount(term, minlength=len(number))).astype(np.int32).tobytes(), order.tobytes(), keys, np.array(ends, np.int64).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()))], names=INDEX.names)
 
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch)):
@@ -106,41 +111,47 @@ class Segment:
 
 FOUND = T.StructType(
     [
-        T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()),
+        # segment and place: the document's row
+        T.StructField("segment", T.LongType()), T.StructField("place", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType())),
     ]
 )
 
 
 def search(index: DataFrame, items: list[tuple[str, bytes]], window: int, near: int | None = None) -> DataFrame:
-    """All documents of the index with the spans [first word, end) where windows of the items occur, and those items.
+    """All documents of the index, a row each, with the spans [first word, end) where windows of the items occur, and those items.
 
     Windows are every `window` consecutive words of an item, or the whole of a shorter one. With
-    `near`, spans are instead the places of a window's rarest word with all its words within `near`.
+    `near`, spans are instead the places of a window's rarest word with all its words within `near`. A segment looks only at the
+    windows whose anchor it has: the word of the window that the fewest windows have.
     """
     asked: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
         words = words_of(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
             asked.setdefault(tuple(words[i : i + window]), set()).add(item)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+    windows = Counter(w for words in asked for w in set(words))
+    anchored: dict[bytes, list[tuple[bytes, ...]]] = {}
+    for words in asked:
+        anchored.setdefault(min(words, key=lambda w: (windows[w], w)), []).append(words)
+    schema = pa.schema([("segment", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                terms, ends, postings, keys, doc_ends = (batch.column(c)[row].as_py() for c in INDEX.names)
+                segment, terms, ends, postings, keys, doc_ends = (batch.column(c)[row].as_py() for c in INDEX.names)
                 seg = Segment(terms, ends, postings, doc_ends)
                 spans, hits = [[] for _ in keys], [set() for _ in keys]
                 begins = np.concatenate([[0], seg.doc_ends[:-1]])
-                for words, of in asked.items():
+                for words in (x for anchor in anchored.keys() & seg.number.keys() for x in anchored[anchor]):
                     if any(w not in seg.number for w in words):
                         continue
                     found = seg.phrase(list(words)) if near is None else seg.near(list(words), near)
                     for p, d in zip(found.tolist(), seg.doc_of(found).tolist()):
                         spans[d].append((p - int(begins[d]), p - int(begins[d]) + (len(words) if near is None else 1)))
-                        hits[d] |= of
+                        hits[d] |= asked[words]
                 merged = [_union(s) for s in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((keys, seg.doc_ends - begins, merged, [sorted(h) for h in hits]), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([segment] * len(keys), range(len(keys)), keys, seg.doc_ends - begins, merged, [sorted(h) for h in hits]), schema)], schema=schema)
 
     return index.mapInArrow(run, FOUND)
 
@@ -156,7 +167,7 @@ def _union(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
-    """The test items, in blocks of about block_words words; one block is on the driver at a time."""
+    """The test items, in blocks of about block_words words."""
     block, n = [], 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").toLocalIterator():
         block.append((r.item_id, r.text.encode()))
@@ -167,26 +178,32 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
     yield block
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, near: int | None = None) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, near: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, spans (merged word spans inside occurrences), items (ids, sorted as strings).
 
+    The items are searched in blocks, each in one pass over the index whose hits are written, so that a block is all that the
+    driver and a task hold of the benchmark. Hits of several blocks meet by the document's row in the index.
+
     Null texts have no words; null items and items without words match nothing; repeated items count by
-    id; an empty benchmark hits nothing; repeated or null doc_ids stay separate rows only while
-    the benchmark is one block. Other columns of either table aren't read.
+    id; an empty benchmark hits nothing; repeated or null doc_ids stay separate rows. Other columns of either table aren't read.
     """
     index = build_index(docs)
-    parts = [search(index, items, window, near) for items in item_blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    grouped = every.groupBy("doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.aggregate(
-        "all", F.expr("cast(array() as array<array<bigint>>)"),
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))[1] >= s[0]),
-            F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.array(F.try_element_at(out, F.lit(-1))[0], F.greatest(F.try_element_at(out, F.lit(-1))[1], s[1])))),
-        ).otherwise(F.concat(out, F.array(s))),
+    blocks = item_blocks(benchmark, block_words)
+    every = search(index, next(blocks), window, near)
+    more = [written(search(index, items, window, near).where(F.size("items") > 0)) for items in blocks if items]
+    if more:
+        every = written(every)
+        row = ["segment", "place"]
+        found = reduce(DataFrame.unionByName, more, every.where(F.size("items") > 0))
+        found = found.groupBy(*row).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"))
+        every = every.join(found, row, "left").select("doc_id", "n_words", F.when(F.col("all").isNotNull(), _joined("all")).otherwise(F.col("spans")).alias("spans"), F.coalesce("found", "items").alias("items"))
+    return every.select("doc_id", "n_words", "spans", "items")
+
+
+def _joined(spans: str) -> Column:
+    """Ascending spans, those that meet joined."""
+    last = lambda out: F.try_element_at(out, F.lit(-1))
+    return F.aggregate(
+        spans, F.expr("cast(array() as array<array<bigint>>)"),
+        lambda out, s: F.when((F.size(out) > 0) & (last(out)[1] >= s[0]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.array(last(out)[0], F.greatest(last(out)[1], s[1]))))).otherwise(F.concat(out, F.array(s))),
     )
-    return grouped.select("doc_id", "n_words", joined.alias("spans"), "items")

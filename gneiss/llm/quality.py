@@ -99,14 +99,14 @@ class Model:
 
 
 def _newton(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, statistics, objective) -> np.ndarray:
-    """Newton steps, one pass over all rows each. A step that doesn't lower the risk, or leaves where it holds, is halved."""
+    """Newton steps, one pass over all rows each. A step that doesn't lower the risk is halved."""
     d = N_FEATURES + 1
     w, step, last = np.zeros(d), None, math.inf
     for _ in range(STEPS):
         at = w.copy()
         s = _sums(rows, lambda x, p, at=at: statistics(_z(x, mean, scale), p, at), 2 * (d + d * d + 3) + d)
         risk, gradient, hessian = objective(s, w)
-        if risk is None or risk > last + 1e-12:
+        if risk > last + 1e-12:
             step = step / 2
             w = before + step
             continue
@@ -116,7 +116,7 @@ def _newton(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, statistics, ob
         step = -np.linalg.solve(hessian + RIDGE * np.eye(d), gradient + RIDGE * w)
         step *= min(1.0, 12 / max(1e-9, float(np.abs(step).max())))
         w = before + step
-    return before if risk is None or risk > last + 1e-12 else w
+    return before if risk > last + 1e-12 else w
 
 
 def _statistics(z: np.ndarray, positive: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -143,8 +143,7 @@ def fit(rows: DataFrame) -> Model:
 
     The first tells positives from unlabelled rows; the class prior is the least share of unlabelled to
     positive rows above a threshold on its score, at the threshold with the least upper confidence bound. The second minimises
-    prior * E+[l(f)] + max(0, E[l(-f)] - prior * E+[l(-f)]) for the logistic loss l, keeping the
-    bracket from going below 0. No labels but the trusted positives are used.
+    prior * E+[l(f)] + max(0, E[l(-f)] - prior * E+[l(-f)]) for the logistic loss l. No labels but the trusted positives are used.
 
     Without positives, or without rows, the model scores every text 1 (nothing is known to be bad).
     """
@@ -168,7 +167,8 @@ def fit(rows: DataFrame) -> Model:
         (_, p_near, p_away, p_grad, p_hess), (_, u_near, _, u_grad, u_hess) = _parts(s)[0]
         positive_mean = _parts(s)[1]
         if u_near - prior * p_near < 0:
-            return None, None, None
+            # the bracket counts as 0
+            return prior * p_away + RIDGE * (w @ w) / 2, prior * (p_grad - positive_mean), prior * p_hess
         # l(f) - l(-f) = -f: the positives' two terms are linear together
         return u_near - prior * p_near + prior * p_away + RIDGE * (w @ w) / 2, u_grad - prior * positive_mean, u_hess
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_folder, table
 from .line_chunks import remove_repeated_chunks
-from .secrets import findings, scan_unseen
+from .secrets import BASE, findings, update_ledger
 from .shards import byte_shards
 
 SHARDS = 40
@@ -43,10 +43,11 @@ FROM cut
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    found = findings(versions, scan_unseen(versions))
+    found = findings(versions, update_ledger(shared_folder(spark), versions))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select(F.col("path").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(shown.cast("binary"), 256).alias("base_sha256"), shown.alias("spans"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*(r.kind for r in BASE)))
+    return found.select(F.col("path").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
 def _found_sql(kind: str, order: int, pattern: str, group: int, least: int) -> str:
@@ -66,14 +67,16 @@ _ANY_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in
 _ASSIGN = rf"""({_ANY_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 OP10_SQL = f"""
 WITH spans AS ({_found_sql('assign', 0, _ASSIGN, 2, 6)} UNION ALL {_found_sql('access', 1, 'AKIA[A-Z0-9]+', 0, 20)}
-  UNION ALL {_found_sql('hex', 2, '[0-9a-f]+', 0, 24)}),
+  UNION ALL {_found_sql('hex', 2, '[0-9a-f]+', 0, 24)} UNION ALL {_found_sql('private', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1)}
+  UNION ALL {_found_sql('jwt', 4, 'eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+', 0, 40)} UNION ALL {_found_sql('bearer', 5, '(Bearer\x20+)([A-Za-z0-9._~+/=-]+)', 2, 20)}),
 by_doc AS (
   SELECT doc_id, count(*) FILTER (ord = 0) AS a, count(*) FILTER (ord = 1) AS k, count(*) FILTER (ord = 2) AS h,
+         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, ord) FILTER (ord < 3) AS base,
          string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, ord) AS spans
   FROM spans GROUP BY doc_id
 )
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN by_doc USING (doc_id)
 """
 

@@ -19,7 +19,7 @@ END_ID = 2
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("n_tokens"))
-    return pack(written(lengths))
+    return pack(lengths)
 
 
 def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Each operator against a plain version, and nulls, empties, ties, clashing names and empty tables."""
 
-import hashlib
 import random
+import re
 import zlib
 from itertools import combinations
 
@@ -16,7 +16,7 @@ from gneiss.llm.media import area_resize, as_media, decode, difference_hash, enc
 from gneiss.llm.packing import best_bounds, pack
 from gneiss.llm.phrase_index import benchmark_hits, words_of
 from gneiss.llm.quality import score_quality
-from gneiss.llm.secrets import findings, scan_unseen
+from gneiss.llm.secrets import BASE, findings, scan_unseen, update_ledger
 from gneiss.llm.shards import byte_shards
 from gneiss.llm.similarity import boundary, overlap, parity_sketch, similar_components, subset_sizes
 
@@ -117,6 +117,9 @@ def test_batches_keep_the_budget(spark, none):
     assert got.count() == 3000 and all(r.n * r.t <= 1000 and r.s == r.n - 1 for r in per)
     assert got.agg(F.min("padding")).first()[0] >= 0
     assert pack(none.select("doc_id", F.lit(1).alias("n_tokens"))).count() == 0
+    long = [(i, n) for i, n in enumerate([70_001, 70_003, 70_003, 90_000, 5, 5, 7, 200_001])]
+    padding = [r.padding for r in pack(spark.createDataFrame(long, "doc_id long, n_tokens long"), buckets=4).collect()]
+    assert sum(padding) == 2 + 2 + 2  # 5, 5 to 7 and 70001 to 70003
     assert pack(spark.createDataFrame([(1, None), (None, 5), (None, 5)], "doc_id long, n_tokens long")).count() == 3
 
 
@@ -222,6 +225,8 @@ def test_repeated_chunks_go_once(spark, odd, none):
     assert got[0].chunks_removed == 0 and got[0].text.count("shared") == 200
     for i in (1, 2, 3):
         assert got[i].chunks_removed > 0 and f"own {i}" in got[i].text and f"end {i}" in got[i].text and got[i].text.count("shared") < 60
+    twice = remove_repeated_chunks(frame(spark, [(None, shared), (None, shared)])).collect()
+    assert sorted(r.chunks_removed > 0 for r in twice) == [False, True]
     assert sorted(r.text or "" for r in remove_repeated_chunks(odd).collect()) == sorted(r.text or "" for r in odd.collect())
     assert remove_repeated_chunks(none).count() == 0
 
@@ -261,6 +266,11 @@ def test_hits_equal_a_scan(spark, odd, none):
         assert got[d][0] == 60 and {p for a, b in got[d][1] for p in range(a, b)} == hit and got[d][2] == sorted(ids)
     empty = spark.createDataFrame([], "item_id long, text string")
     assert benchmark_hits(odd, empty).count() == 8 and benchmark_hits(none, empty).count() == 0
+    several = {x.doc_id: (x.n_words, [list(s) for s in x.spans], x.items) for x in benchmark_hits(frame(spark, docs), frame(spark, items, "item_id long, text string"), 4, block_words=3).collect()}
+    assert several == got
+    again = frame(spark, [(None, "t1 t2"), (None, "t1 t2"), (None, "t3"), (7, docs[0][1]), (7, docs[0][1])])
+    one, more = ([(x.doc_id, x.n_words, x.spans, x.items) for x in benchmark_hits(again, frame(spark, items, "item_id long, text string"), 4, block_words=n).collect()] for n in (10**6, 3))
+    assert len(one) == len(more) == 5 and sorted(one, key=str) == sorted(more, key=str)
     near = benchmark_hits(frame(spark, [(1, "x a q b y"), (2, "a q q q b")]), frame(spark, [(1, "b a")], "item_id long, text string"), near=2).collect()
     assert {r.doc_id: bool(r.items) for r in near} == {1: True, 2: False}
 
@@ -323,17 +333,32 @@ def test_shards_are_contiguous_and_near_equal(spark, odd, none):
 # secrets
 
 
-def test_ledger_scans_only_unseen_blobs(spark, odd, none):
+def test_ledger_scans_only_unseen_pairs(spark, odd, none, tmp_path):
     v1 = frame(spark, [("a", 'api_key = "abcdef12" x'), ("b", 'api_key = "abcdef12" x'), ("c", "AKIA" + "Z" * 16 + " " + "0a" * 12)], "path string, text string")
-    first = scan_unseen(v1)
-    assert first.count() == 2
-    v2 = v1.unionByName(frame(spark, [("a", "Token: abc secret=token: abcdefgh"), ("d", None)], "path string, text string"))
-    second = scan_unseen(v2, first)
-    assert second.count() == 2 and scan_unseen(v2, first.unionByName(second)).count() == 0
-    found = {(r.path, hashlib.sha256((r.blob or "").encode()).hexdigest()): [(s.kind, s.start, s.end) for s in r.spans] for r in findings(v2, first.unionByName(second)).collect()}
-    spans = sorted(map(tuple, found.values()), key=str)
-    assert (("assign", 0, 19),) in spans and (("access", 0, 20), ("hex", 21, 45)) in spans and () in spans and len(found) == 5
-    odd = odd.withColumnRenamed("doc_id", "path")
+    base, path = {"base-1": BASE}, f"file://{tmp_path}/ledger"
+    assert update_ledger(path, v1, base).count() == 2 and update_ledger(path, v1, base).count() == 2
+    v2 = v1.unionByName(frame(spark, [("a", "Token: abc secret=token: abcdefgh"), ("d", None), ("e", "x Bearer " + "k" * 24)], "path string, text string"))
+    new = scan_unseen(v2, spark.read.parquet(path))
+    # three new blobs under both versions, two old ones under the new version
+    assert sorted(r["count"] for r in new.groupBy("rule_version").count().collect()) == [3, 5]
+    ledger = update_ledger(path, v2)
+    assert ledger.count() == 10 and scan_unseen(v2, ledger).count() == 0
+    found = sorted(((r.path, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in findings(v2, ledger).collect()), key=str)
+    key = (("assign", 0, 19),)
+    assert found == sorted([("a", key), ("b", key), ("c", (("access", 0, 20), ("hex", 21, 45))), ("a", ()), ("d", ()), ("e", (("bearer", 2, 33),))], key=str)
+    assert [len(r.spans) for r in findings(v2, ledger, base).where("path = 'e'").collect()] == [0]
+    odd = odd.withColumnRenamed("doc_id", "path").withColumn("blob", F.lit(1)).withColumn("spans", F.lit("x"))
     assert findings(odd, scan_unseen(odd)).count() == 8
     none = none.withColumnRenamed("doc_id", "path")
     assert findings(none, scan_unseen(none)).count() == 0
+
+
+def test_secret_spans_of_long_texts_equal_a_plain_scan(spark):
+    r, patterns = random.Random(4), {"assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24)}
+    bits = ["Secret: ", "token=", "é😀", "AKIA", "0f" * 13, "ABCDEFGH12345678", "abc", " ", "\n", "pass word"]
+    texts = ["".join(r.choice(bits) for _ in range(n)) for n in (0, 5, 60, 300, 9000)]
+    versions = frame(spark, list(enumerate(texts)), "path long, text string")
+    got = {x.path: [(s.kind, s.start, s.end) for s in x.spans] for x in findings(versions, scan_unseen(versions)).collect()}
+    for i, text in enumerate(texts):
+        spans = [(m.start(), k, kind, m.end()) for k, (kind, (p, group, least)) in enumerate(patterns.items()) for m in re.finditer(p, text) if len(m.group(group)) >= least]
+        assert got[i] == [(kind, a, b) for a, _, kind, b in sorted(spans)]
