@@ -22,14 +22,23 @@ from gneiss.llm.similarity import similar_components
 from gneiss.storage import shared_folder
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rows of rejected doc_ids; rows with a null doc_id stay."""
-    return docs.join(sized(written(rejected.select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with a number __row for each row, fixed by writing them, and the same as doc_id (that number) and text."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    return rows, rows.select(F.col("__row").alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Numbered rows without those whose numbers are the doc_ids of `rejected`, and without the number."""
+    gone = sized(written(rejected.select(F.col("doc_id").alias("__row"))))
+    return rows.join(gone, "__row", "left_anti").drop("__row")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier rejects go."""
-    return _without(docs, score_quality(docs, trusted(spark, sf_dir)).where(F.col("score") < THRESHOLD))
+    rows, texts = _numbered(docs)
+    positives = rows.select("doc_id", "__row").join(trusted(spark, sf_dir), "doc_id", "left_semi").select(F.col("__row").alias("doc_id"))
+    return _without(rows, score_quality(texts, positives).where(F.col("score") < THRESHOLD))
 
 
 def unique_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,18 +49,24 @@ def unique_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest doc_id stays."""
-    return _without(docs, similar_components(docs).where("component_id <> doc_id"))
+    """Of each component of similar documents one row with the smallest doc_id stays; a null doc_id is the largest."""
+    rows, texts = _numbered(docs)
+    of = written(similar_components(texts).select(F.col("doc_id").alias("__row"), "component_id"))
+    shared = of.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = written(of.join(sized(written(shared)), "component_id", "left_semi").join(rows.select("doc_id", "__row"), "__row"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row")).select("__row")
+    return _without(rows, members.join(first, "__row", "left_anti").select(F.col("__row").alias("doc_id")))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return _without(docs, benchmark_hits(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0))
+    rows, texts = _numbered(docs)
+    return _without(rows, benchmark_hits(texts, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and each document's length bucket, batch and place in it."""
-    return pack(written(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens"))))
+    return pack(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
