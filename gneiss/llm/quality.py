@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import raw_texts, written
+from .components import sized
 
 #: Newton steps of a fit at most; L2 weight; cells of the histogram that the class prior is read from; confidence.
 STEPS, RIDGE, CELLS, DELTA = 14, 1e-3, 400, 0.1
@@ -21,14 +23,76 @@ _CLASS = np.zeros(256, np.int64)  # 0: other punctuation
 for _b in range(256):
     _c = chr(_b)
     _CLASS[_b] = 1 if _b >= 128 or "a" <= _c <= "z" else 2 if "A" <= _c <= "Z" else 3 if "0" <= _c <= "9" else 4 if _c in " \t\r\n\v\f" else 5 if _c in "#$%&*@^~" else 6 if _c in "|<>{}[]\\/_=+" else 7 if _c in "!?" else 0
-N_FEATURES = 30
+#: Characters (bytes) of an n-gram, and hashed n-grams told apart.
+GRAM, GRAMS = 5, 1 << 15
+N_FEATURES = 33
+
+
+def gram_shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed n-grams of the text, A-Z lower-cased, and the share of each; a text shorter than one n-gram has none."""
+    b = np.frombuffer(text.lower(), np.uint8).astype(np.uint32)
+    if len(b) < GRAM:
+        return np.zeros(0, np.int64), np.zeros(0)
+    h = np.zeros(len(b) - GRAM + 1, np.uint32)
+    for i in range(GRAM):
+        h = h * np.uint32(0x01000193) ^ b[i : len(b) - GRAM + 1 + i]
+    h = (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - 15)
+    if len(h) >= GRAMS // 4:
+        shares = np.bincount(h, minlength=GRAMS)
+        at = np.nonzero(shares)[0]
+        return at, shares[at] / len(h)
+    at, counts = np.unique(h, return_counts=True)
+    return at.astype(np.int64), counts / len(h)
+
+
+def gram_weights(docs: DataFrame) -> np.ndarray:
+    """docs (text, positive): the log ratio of each hashed n-gram's mean share in trusted positives to that in all texts, from each half of the texts.
+
+    A text's half is told by its bytes, and it takes its weights from the other half, so that none is scored by what was learnt from itself.
+    Two sums per n-gram and half reach the driver.
+    """
+    out = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2 * GRAMS + 2))
+        for batch in batches:
+            for text, positive in zip(raw_texts(batch), batch.column("positive").to_pylist()):
+                (at, shares), own = gram_shares(text), total[half(text)]
+                own[at] += shares
+                own[2 * GRAMS] += 1
+                if positive:
+                    own[GRAMS + at] += shares
+                    own[2 * GRAMS + 1] += 1
+        total = total.ravel()
+        used = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["k", "v"])
+
+    got = np.zeros(2 * (2 * GRAMS + 2))
+    for r in docs.select("text", "positive").mapInArrow(run, out).groupBy("k").agg(F.sum("v").alias("v")).collect():
+        got[r.k] = r.v
+    out = np.zeros((2, GRAMS))
+    for own, weights in zip(got.reshape(2, -1), out):
+        if own[-1]:
+            weights[:] = np.log((own[GRAMS : 2 * GRAMS] / own[-1] + 0.02 / GRAMS) / (own[:GRAMS] / own[-2] + 0.02 / GRAMS))
+    return out
+
+
+def half(text: bytes) -> int:
+    return zlib.crc32(text) & 1
+
+
+def gram_features(text: bytes, weights: np.ndarray) -> list[float]:
+    """The mean weight of the text's n-grams, and the shares of those that trusted texts have far less and far more."""
+    at, shares = gram_shares(text)
+    w = weights[1 - half(text)][at]
+    return [float(shares @ w), float(shares[w < -0.7].sum()), float(shares[w > 0.3].sum())]
 
 
 def features(text: bytes) -> list[float]:
     """Shares of byte classes and of repeated words and lines, and lengths; each also as a root, which tells small shares apart. Empty: all 0."""
     n = len(text)
     if not n:
-        return [0.0] * N_FEATURES
+        return [0.0] * (N_FEATURES - 3)
     kinds = np.bincount(_CLASS, weights=np.bincount(np.frombuffer(text, np.uint8), minlength=256), minlength=8) / n
     words = text.lower().split()
     lines = [x for x in text.split(b"\n") if x.strip()]
@@ -45,16 +109,16 @@ def features(text: bytes) -> list[float]:
     return [*shares, *(math.sqrt(x) for x in shares), *sizes]
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """Write doc_id and the features of each whole text as packed doubles."""
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x", T.BinaryType())])
+def featured(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Write doc_id, positive and the features of each whole text as packed doubles."""
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("positive", T.BooleanType()), T.StructField("x", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [np.array(features(t)).tobytes() for t in raw_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(x, pa.binary())], names=["doc_id", "x"])
+            x = [np.array([*features(t), *gram_features(t, weights)]).tobytes() for t in raw_texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(x, pa.binary())], names=out.names)
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, out), {"compression": "zstd"})
+    return written(docs.select("doc_id", "positive", "text").mapInArrow(run, out), {"compression": "zstd"})
 
 
 def _sums(rows: DataFrame, of, size: int) -> np.ndarray:
@@ -193,12 +257,15 @@ def estimate_prior(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, weights
 def score_quality(docs: DataFrame, positives: DataFrame) -> DataFrame:
     """Learn from all texts of docs and the doc_ids in `positives`; return doc_id and score in [0, 1] of every row.
 
+    A text's features are shares of bytes, words and lines, and how much more trusted texts use its hashed n-grams than all texts do.
+
     Null and empty texts have all-zero features and a score like any other; rows with a null doc_id are
     scored and never trusted; repeated rows count as often as they occur; an empty docs gives no rows. Other
     columns of docs are never read.
     """
     known = positives.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("positive", F.lit(True))
-    rows = written(featured(docs).join(known, "doc_id", "left").select("doc_id", "x", F.coalesce("positive", F.lit(False)).alias("positive")))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(written(known)), "doc_id", "left").select("doc_id", "text", F.coalesce("positive", F.lit(False)).alias("positive"))
+    rows = featured(marked, gram_weights(marked))
     model = fit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
