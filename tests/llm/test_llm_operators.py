@@ -1,8 +1,10 @@
 """Each operator against a plain version, and nulls, empties, ties, clashing names and empty tables."""
 
+import functools
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -49,11 +51,11 @@ def all_paths(v, word):
     """The sum over all segmentations, by recursion over strings."""
     table = {}
     for p in ("ab", "a", ""):
-        i = np.nonzero(v.keys == L._hash(p, True))[0]
-        table["^" + p] = v.log_p[v.slots[i[0]]]
+        table["^" + p] = v.log_p[np.nonzero(v.keys == L.hash_of(p, True))[0][0]]
     for p in ("b", "c", "bc"):
-        table[p] = v.log_p[v.slots[np.nonzero(v.keys == L._hash(p, False))[0][0]]]
+        table[p] = v.log_p[np.nonzero(v.keys == L.hash_of(p, False))[0][0]]
 
+    @functools.cache
     def rest(s):
         if not s:
             return np.exp(v.log_p[v.stop])
@@ -72,10 +74,14 @@ def test_forward_sums_all_segmentations(word):
 def test_expected_uses_are_counts_and_weights_are_distributions():
     v, into = tiny(), np.zeros(len(tiny().log_p))
     lattice = L.Lattice(v)
-    with np.errstate(over="ignore", invalid="ignore"):
-        for some, codes, size in lattice.batches(["abc", "bc", "é"]):
-            lattice.expect(codes, size, np.array([2.0] * len(some)), into)
-    assert into[v.begins].sum() == pytest.approx(6.0) and into[v.stop] == pytest.approx(6.0)
+    with np.errstate(over="ignore"):
+        for _, codes in lattice.batches(["abc", "bc", "é", "abcab", "b" * 40]):
+            lattice.expect(codes, into)
+    assert into[v.begins].sum() == pytest.approx(5.0) and into[v.stop] == pytest.approx(5.0)
+    # an expected use is how the log probability changes with the piece's
+    k, words = int(np.nonzero(v.keys == L.hash_of("bc", False))[0][0]), ["abc", "bc", "é", "abcab", "b" * 40]
+    moved = [L.Lattice(v.weighted(v.log_p + step * (np.arange(len(v.log_p)) == k))).log_probabilities(words).sum() for step in (-1e-5, 1e-5)]
+    assert (moved[1] - moved[0]) / 2e-5 == pytest.approx(into[k], rel=1e-4)
     assert np.exp(v.log_p[v.begins]).sum() == pytest.approx(1) and np.exp(v.log_p[~v.begins]).sum() == pytest.approx(1)
 
 
@@ -88,6 +94,24 @@ def test_base_score_and_tokens(spark):
     assert all(r.score < 0 for r in got.values())
 
 
+def test_scores_equal_a_plain_model(spark):
+    r = random.Random(8)
+    words = ["ab", "abc", "bc", "é", "c" * 30, "abab", "xyz", "a"] + ["ab" + "c" * i for i in range(20)]
+    docs = [(i, " ".join(r.choice(words).upper() for _ in range(r.choice([0, 1, 7, 40])))) for i in range(60)] + [(None, "ab new"), (None, "ab new"), (61, None)]
+    scored = [("▁ab", -1.0), ("▁a", -2.0), ("b", -1.5), ("c", -2.5), ("bc", -1.2)]
+    got = L.score_texts(frame(spark, docs), F.coalesce(F.col("doc_id") % 4 == 0, F.lit(True)), scored, passes=0).collect()
+    held = lambda d: d is None or d % 4 == 0
+    low = lambda t: (t or "").lower().split()
+    c = Counter(w for d, t in docs if not held(d) for w in low(t))
+    ends, once, twice = sum(not held(d) for d, _ in docs), sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+    n, d = sum(c.values()) + ends, once / (once + 2 * twice) if once and twice else L.DISCOUNT
+    q = lambda w: np.exp(all_paths(L.pieces(scored), w))
+    p = lambda w: (max(c[w] - d, 0) + d * len(c) * q(w)) / n
+    want = sorted((str(i), sum(np.log10(p(w)) for w in low(t)) + np.log10(ends / n), sum(c[w] > 0 for w in low(t)) + 1, len(low(t)) + 1) for i, t in docs)
+    got = sorted((str(x.doc_id), x.score, x.n_known, x.n_tokens) for x in got)
+    assert len(got) == len(want) and all(a[0] == b[0] and a[2:] == b[2:] and a[1] == pytest.approx(b[1], rel=1e-9) for a, b in zip(got, want))
+
+
 def test_lattice_edge_cases(spark, odd, none):
     got = L.score_texts(odd, F.lit(False), [("▁a", -1.0)]).collect()
     assert len(got) == 8 and all(np.isfinite(r.score) for r in got)
