@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.plans import state, text
+from gneiss.plans import retrieval, state, text
 
 NAMES = {
-    text: "sentence_split chunk_packing conversation_sections turn_context document_frequency extractive_summary lexical_top hash_embedding content_ids html_text",
-    state: "dense_lane section_children fused_sections diverse_hits entity_degree one_hop eligible_facts competing_facts admission_classes canonical_registry "
+    text: "sentence_split chunk_packing parent_chunks conversation_sections turn_context document_frequency extractive_summary child_summaries lexical_top hash_embedding content_ids html_text",
+    retrieval: "fast_lanes fused_documents fast_evidence hybrid_evidence legacy_documents legacy_children section_addresses document_addresses concept_terms reach_evidence",
+    state: "dense_lane section_children diverse_hits entity_degree one_hop eligible_facts competing_facts admission_classes canonical_registry "
     "projection_states missing_projections census heartbeats order_state outbox_stream windowed_stream quality_metrics",
 }
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.functions.text import STOPWORDS, WORD, content_id, sentences
+from gneiss.functions.text import SUMMARY_STOPWORDS, WORD, content_id, content_tokens, jaccard, sentences, telling_sentences, truncated
 
 TARGET, FANOUT, LEAD = 1200, 4, 0.6
 
@@ -37,22 +37,116 @@ def pack_sentences(docs: DataFrame, target: int = TARGET) -> DataFrame:
     )
 
 
-def summaries(docs: DataFrame, most: int = 4) -> DataFrame:
-    """doc_id, summary: the best sentences in document order.
+def parents(chunks: DataFrame) -> DataFrame:
+    """doc_id, parent_index, parent_id, children (their ids in order), text (their texts, a line each): FANOUT chunks a parent."""
+    line = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text")))
+    rows = chunks.groupBy("doc_id", "parent_index").agg(line.alias("c"))
+    text = F.array_join(F.transform("c", lambda x: x["text"]), "\n")
+    return rows.select("doc_id", "parent_index", parent_id(text).alias("parent_id"), F.transform("c", lambda x: x["chunk_id"]).alias("children"), text.alias("text"))
+
+
+def parent_id(text) -> Column:
+    return content_id("chunk_", d=F.col("doc_id").cast("string"), i=F.concat(F.lit("parent:"), "parent_index"), t=text)
+
+
+def linked_chunks(chunks: DataFrame) -> DataFrame:
+    """chunks with the id of their parent."""
+    ids = parents(chunks).select("doc_id", "parent_index", "parent_id")
+    return chunks.join(ids, ["doc_id", "parent_index"])
+
+
+def summaries(texts: DataFrame, keys: list[str], most: int = 4, most_chars: int = 900) -> DataFrame:
+    """keys, summary: the best sentences of each text (keys, text) in its order, cut to most_chars before a word.
 
     A sentence's score is the mean weight of its content words plus LEAD / (1 + idx); a word's weight is its number of sentences over all
-    words times ln((n + 1) / (1 + that number) + 1). Earlier sentences win ties.
+    words times ln((n + 1) / (1 + that number) + 1). Earlier sentences win ties. Texts without sentences give no row. All steps
+    group by the keys (and more), so rows are shuffled once.
     """
-    rows = sentence_rows(docs)
-    content = F.filter(F.transform(F.regexp_extract_all("sentence", F.lit(WORD), F.lit(0)), F.lower), lambda w: ~w.isin(STOPWORDS))
+    rows = texts.repartition(*keys).select(*keys, F.posexplode(sentences(F.col("text"))).alias("idx", "sentence"))
+    content = F.filter(F.transform(F.regexp_extract_all("sentence", F.lit(WORD), F.lit(0)), F.lower), lambda w: ~w.isin(SUMMARY_STOPWORDS))
     rows = rows.withColumn("words", content)
-    each = rows.select("doc_id", "idx", F.explode("words").alias("w"))
-    uses = each.groupBy("doc_id", "w", "idx").agg(F.count("*").alias("k"))
-    df = uses.groupBy("doc_id", "w").agg(F.count("*").alias("df"))
-    sizes = rows.groupBy("doc_id").agg(F.sum(F.size("words")).alias("total"), F.count("*").alias("n"))
+    each = rows.select(*keys, "idx", F.explode("words").alias("w"))
+    uses = each.groupBy(*keys, "w", "idx").agg(F.count("*").alias("k"))
+    df = uses.groupBy(*keys, "w").agg(F.count("*").alias("df"))
+    sizes = rows.groupBy(*keys).agg(F.sum(F.size("words")).alias("total"), F.count("*").alias("n"))
     weight = F.col("df") / F.col("total") * F.log((F.col("n") + 1) / (1 + F.col("df")) + 1.0)
-    scored = uses.join(df, ["doc_id", "w"]).join(sizes, "doc_id").groupBy("doc_id", "idx").agg(F.sum(F.col("k") * weight).alias("sum"), F.sum("k").alias("length"))
+    scored = uses.join(df, [*keys, "w"]).join(sizes, keys).groupBy(*keys, "idx").agg(F.sum(F.col("k") * weight).alias("sum"), F.sum("k").alias("length"))
     content_score = F.when(F.col("length").isNotNull(), F.col("sum") / F.col("length") + F.lit(LEAD) / (1 + F.col("idx"))).otherwise(0.0)
-    ranked = rows.join(scored, ["doc_id", "idx"], "left").withColumn("score", F.round(content_score, 9))
-    best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "idx"))).where(F.col("r") <= most)
-    return best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "sentence"))), lambda s: s["sentence"]), " ").alias("summary"))
+    ranked = rows.drop("words").join(scored, [*keys, "idx"], "left").withColumn("score", F.round(content_score, 9))
+    best = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "idx"))).where(F.col("r") <= most)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "sentence"))), lambda s: s["sentence"]), " ")
+    return best.groupBy(*keys).agg(joined.alias("text")).select(*keys, truncated(F.col("text"), most_chars).alias("summary"))
+
+
+def section_summaries(chunks: DataFrame) -> DataFrame:
+    """doc_id, parent_index, summary: of each child its best sentence, and of these, a line a child, the best three."""
+    children = summaries(chunks.select("doc_id", "parent_index", "chunk_index", "text"), ["doc_id", "parent_index", "chunk_index"], 1, 220)
+    line = F.array_sort(F.collect_list(F.struct("chunk_index", "summary")))
+    texts = children.groupBy("doc_id", "parent_index").agg(F.array_join(F.transform(line, lambda x: x["summary"]), "\n").alias("text"))
+    return summaries(texts, ["doc_id", "parent_index"], 3, 600)
+
+
+# retrieval summaries: addresses of sections and documents
+
+SECTION_SENTENCES, SECTION_CHARS, DOC_SENTENCES, DOC_CHARS, NEAR = 4, 600, 12, 1600, 0.8
+
+
+def salience(tokens: Column, df: Column | None = None) -> Column:
+    """Mean over a sentence's tokens of 1 + 1 / (how many texts have it); without that map, as if one had each. 0 without tokens."""
+    times = lambda t: F.greatest(F.lit(1), F.coalesce(F.try_element_at(df, t), F.lit(1))) if df is not None else F.lit(1)
+    total = F.aggregate(F.array_sort(tokens), F.lit(0.0), lambda s, t: s + 1 + 1 / times(t))
+    return F.when(F.size(tokens) > 0, F.round(total / F.size(tokens), 12)).otherwise(0.0)
+
+
+def without_near_copies(sentences: Column) -> Column:
+    """Of structs with text and tokens, in order, those that are at least NEAR to none kept before."""
+    near = lambda kept, s: F.exists(kept, lambda k: jaccard(k["tokens"], s["tokens"]) >= NEAR)
+    return F.aggregate(sentences, F.slice(sentences, 1, 0), lambda kept, s: F.when(near(kept, s), kept).otherwise(F.concat(kept, F.array(s))))
+
+
+def _chosen(selected: Column) -> Column:
+    """The selected whose texts are among those that are no near copies: an equal text stays as often as it was selected."""
+    kept = F.transform(without_near_copies(selected), lambda s: s["text"])
+    return F.filter(selected, lambda s: F.array_contains(kept, s["text"]))
+
+
+def section_addresses(chunks: DataFrame) -> DataFrame:
+    """doc_id, parent_index, summary, sources: of each child its share of SECTION_SENTENCES, the longest first, without near copies.
+
+    Without a background all sentences that have tokens are equally salient. sources: the child of each sentence, and whether it is the section's only one.
+    """
+    every = F.transform(telling_sentences(F.col("text")), lambda s: F.struct(s.alias("text"), content_tokens(s).alias("tokens")))
+    ranked = F.array_sort(F.transform(every, lambda s, i: F.struct((-salience(s["tokens"])).alias("a"), (-F.length(s["text"])).alias("b"), i.alias("i"), s.alias("s"))))
+    rows = chunks.select("doc_id", "parent_index", "chunk_index", "chunk_id", ranked.alias("ranked"))
+    sections = rows.groupBy("doc_id", "parent_index").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "ranked"))).alias("children"))
+    share = F.greatest(F.lit(1), F.floor(SECTION_SENTENCES / F.size("children")).cast("int"))
+    selected = F.flatten(F.transform("children", lambda c: F.transform(F.slice(c["ranked"], F.lit(1), share), lambda x: F.struct(x["s"]["text"].alias("text"), x["s"]["tokens"].alias("tokens"), c["chunk_id"].alias("chunk_id")))))
+    kept = sections.select("doc_id", "parent_index", F.size("children").alias("n"), selected.alias("selected"))
+    sources = F.transform(_chosen(F.col("selected")), lambda s: F.struct(s["chunk_id"].alias("chunk_id"), (F.col("n") == 1).alias("only_child")))
+    text = F.array_join(F.transform(without_near_copies(F.col("selected")), lambda s: s["text"]), " ")
+    return kept.select("doc_id", "parent_index", truncated(text, SECTION_CHARS).alias("summary"), sources.alias("sources"))
+
+
+def document_addresses(sections: DataFrame) -> DataFrame:
+    """sections (doc_id, parent_index, text) to doc_id, summary, sources (parent_index of each sentence): every section has a say.
+
+    First the most salient sentence of each section; then, up to DOC_SENTENCES, the most salient of the rest, at most
+    max(2, DOC_SENTENCES / sections + 1) a section; then near copies go, and what is left stands in document order. All windows are over one document.
+    """
+    rows = sections.select("doc_id", "parent_index", "text")
+    df = rows.select("doc_id", F.explode(content_tokens(F.col("text"))).alias("t")).groupBy("doc_id", "t").count().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("t", F.col("count").cast("int")))).alias("df"))
+    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    each = rows.select("doc_id", "parent_index", F.posexplode(telling_sentences(F.col("text"))).alias("i", "s")).join(df, "doc_id", "left").join(sizes, "doc_id")
+    each = each.withColumn("tokens", content_tokens(F.col("s"))).withColumn("salience", salience(F.col("tokens"), F.coalesce("df", F.expr("map('', 0)")))).drop("df")
+    own = Window.partitionBy("doc_id", "parent_index")
+    each = each.withColumn("first", F.row_number().over(own.orderBy(F.desc("salience"), F.length("s"), "i")) == 1)
+    pool = [F.desc("salience"), F.asc("s"), F.asc("parent_index"), F.asc("i")]
+    cap = F.greatest(F.lit(2), F.floor(DOC_SENTENCES / F.col("n")) + 1)
+    each = each.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "parent_index", "first").orderBy(*pool))).where(F.col("first") | (F.col("nth") < cap))
+    each = each.withColumn("firsts", F.sum(F.col("first").cast("int")).over(Window.partitionBy("doc_id")))
+    each = each.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "first").orderBy(*pool))).where(F.col("first") | (F.col("place") <= DOC_SENTENCES - F.col("firsts")))
+    turn = F.when(F.col("first"), F.struct(F.lit(0).alias("x"), F.col("parent_index").cast("long").alias("y"))).otherwise(F.struct(F.lit(1).alias("x"), F.col("place").cast("long").alias("y")))
+    chosen = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(turn.alias("turn"), F.col("s").alias("text"), "tokens", "parent_index"))).alias("selected"))
+    ordered = F.array_sort(F.transform(_chosen(F.col("selected")), lambda s, i: F.struct(s["parent_index"].alias("parent_index"), i.alias("i"), s["text"].alias("text"))))
+    done = chosen.select("doc_id", ordered.alias("o"))
+    return done.select("doc_id", truncated(F.array_join(F.transform("o", lambda s: s["text"]), " "), DOC_CHARS).alias("summary"), F.transform("o", lambda s: s["parent_index"]).alias("sources"))

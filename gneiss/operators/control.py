@@ -32,7 +32,14 @@ def heartbeat_sessions(beats: DataFrame, owner: str, at: str, tie: str, gap_seco
     return numbered.groupBy(owner, "session").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("beats"))
 
 
+#: Order keys of one block of a state hash.
+SPAN = 1024
+
+
 def state_hash(rows: DataFrame, by: str, *order: str) -> DataFrame:
-    """Per group of bounded size: SHA-256 over its rows' JSON in order."""
+    """Per group: SHA-256 over the digests of its blocks in order; a block is the rows whose first order column, an integer, has the same quotient by
+    SPAN, and its digest the SHA-256 over their JSON in order. So a group of any size is hashed in arrays of a block's rows, and of 64 bytes a block."""
     row = F.struct(*order)
-    return rows.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: F.to_json(r)), "\n"), 256).alias("state"))
+    lines = lambda xs, f: F.array_join(F.transform(F.array_sort(xs), f), "\n")
+    blocks = rows.withColumn("block", F.floor(F.col(order[0]) / SPAN)).groupBy(by, "block").agg(F.sha2(lines(F.collect_list(row), lambda r: F.to_json(r)), 256).alias("digest"))
+    return blocks.groupBy(by).agg(F.sha2(lines(F.collect_list(F.struct("block", "digest")), lambda b: b["digest"]), 256).alias("state"))

@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gneiss.functions.vectors import cosine
 from gneiss.operators.admission import reference_class, registry
 from gneiss.operators.control import heartbeat_sessions, latest_attempts, reconcile, state_hash
 from gneiss.operators.graph import conflicts, eligible, endpoints, hop
-from gneiss.operators.ranking import fuse_first, fuse_hits, mmr, ranked, top_per
+from gneiss.operators.nearest import array_vectors, nearest
+from gneiss.operators.ranking import mmr, top_per
 from gneiss.session import table
 from gneiss.streaming.outbox import deliver_once, last_result, run_to_end, windowed_counts
 
 
-def _likeness() -> Column:
-    return F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score")
+VECTOR = {"vec_id": T.LongType(), "label": T.IntegerType()}
+
+
+def _asked(v: DataFrame) -> DataFrame:
+    return v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def dense_lane(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
     """The n vectors most like each vector whose id is divisible by 100, itself left out."""
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    # the stated query set against all rows
-    scored = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", _likeness())
-    return top_per(scored, ["query_id"], n, F.desc("score"), F.asc("vec_id"))
+    best = nearest(v, VECTOR, array_vectors, _asked(v), n + 1).where("vec_id <> query_id")
+    return top_per(best.select("query_id", "vec_id", "label", "score"), ["query_id"], n, F.desc("score"), F.asc("vec_id"))
 
 
 DENSE_CTE = """
@@ -42,42 +44,18 @@ def section_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = dense_lane(spark, sf_dir)
     sections = top_per(hits.groupBy("query_id", "label").agg(F.min("rank").alias("best")), ["query_id"], 2, F.asc("best"), F.asc("label"), name="section_rank")
     v = table(spark, sf_dir, "embeddings")
-    asked = sections.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").select("query_id", "label", "section_rank", "q")
-    scored = v.join(asked, "label").where("vec_id <> query_id").select("query_id", "label", "section_rank", "vec_id", _likeness())
-    return top_per(scored, ["query_id", "label"], 3, F.desc("score"), F.asc("vec_id"), name="child_rank").select("query_id", "label", "section_rank", "vec_id", "child_rank")
+    best = nearest(v, VECTOR, array_vectors, _asked(v), 4, group="label").where("vec_id <> query_id").join(sections, ["query_id", "label"])
+    return top_per(best, ["query_id", "label"], 3, F.desc("score"), F.asc("vec_id"), name="child_rank").select("query_id", "label", "section_rank", "vec_id", "child_rank")
 
 
 SECTION_CHILDREN = f"""
 WITH {DENSE_CTE},
 sections AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, label) - 1 AS section_rank FROM (SELECT query_id, label, min(rank) AS best FROM dense GROUP BY ALL)),
-kids AS (SELECT query_id, label, section_rank, vec_id, row_number() OVER (PARTITION BY query_id, label ORDER BY rank, vec_id) - 1 AS child_rank FROM dense JOIN sections USING (query_id, label) WHERE section_rank < 2)
+kids AS (SELECT query_id, label, section_rank, vec_id, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) - 1 AS child_rank FROM scored JOIN sections USING (query_id, label) WHERE section_rank < 2)
 SELECT * FROM kids WHERE child_rank < 3
 """
 
 
-def fused_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections by two lanes (vectors, and vector ids as a second order), fused by first hits and by all hits."""
-    dense = dense_lane(spark, sf_dir).select("query_id", "label", "vec_id", "rank").withColumn("lane", F.lit("dense"))
-    other = ranked(dense.drop("rank"), ["query_id"], F.asc("vec_id")).withColumn("lane", F.lit("order"))
-    lanes = dense.unionByName(other)
-    first = fuse_first(lanes, ["query_id"], "label").withColumnRenamed("score", "first_score")
-    every = fuse_hits(lanes, ["query_id"], "label").withColumnRenamed("score", "all_score")
-    return first.join(every, ["query_id", "label"]).select("query_id", "label", F.round("first_score", 9).alias("first_score"), F.round("all_score", 9).alias("all_score"), "lanes", "best_rank")
-
-
-FUSED_SECTIONS = f"""
-WITH {DENSE_CTE},
-lanes AS (
-  SELECT 'dense' AS lane, query_id, label, rank FROM dense
-  UNION ALL SELECT 'order', query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) - 1 FROM dense
-),
-first AS (SELECT lane, query_id, label, min(rank) AS rank FROM lanes GROUP BY ALL),
-f AS (SELECT query_id, label, round(sum(1.0 / (61 + rank)), 9) AS first_score, count(*) AS lanes, min(rank) AS best_rank FROM first GROUP BY ALL),
-a AS (SELECT query_id, label, round(sum(1.0 / (61 + rank)), 9) AS all_score FROM lanes GROUP BY ALL)
-SELECT query_id, label, first_score, all_score, lanes, best_rank FROM f JOIN a USING (query_id, label)
-"""
-
-
 def diverse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five of each query's fifteen nearest by marginal relevance."""
     near = dense_lane(spark, sf_dir, 15).select("query_id", "vec_id", "score")
@@ -163,15 +141,15 @@ FROM g
 
 
 def projection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as what should be, returned lines as receipts, open lines as what is stored: each key's state."""
+    """Orders that are not finished as what should be, returned lines as receipts, open lines as what is stored: each key's state."""
     lines = table(spark, sf_dir, "lineitem")
     key = F.col("l_orderkey").alias("key")
-    desired = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("key"))
+    desired = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("key"))
     return reconcile(desired, lines.where("l_returnflag = 'R'").select(key), lines.where("l_linestatus = 'O'").select(key))
 
 
 PROJECTION_STATES = """
-WITH k AS (SELECT o_orderkey AS key, 'd' AS w FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT l_orderkey, 'r' FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, 's' FROM lineitem WHERE l_linestatus = 'O'),
+WITH k AS (SELECT o_orderkey AS key, 'd' AS w FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT l_orderkey, 'r' FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, 's' FROM lineitem WHERE l_linestatus = 'O'),
 m AS (SELECT key, bool_or(w = 'd') AS d, bool_or(w = 'r') AS r, bool_or(w = 's') AS s FROM k GROUP BY key)
 SELECT key, CASE WHEN d AND r AND s THEN 'ok' WHEN d AND r THEN 'lost' WHEN d AND s THEN 'missing_receipt' WHEN d THEN 'pending' WHEN r AND s THEN 'orphan' WHEN r THEN 'orphan_receipt' ELSE 'untracked' END AS state FROM m
 """
@@ -211,7 +189,10 @@ def order_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDER_STATE = """
-SELECT o_custkey, sha256(string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', chr(10) ORDER BY o_orderkey)) AS state FROM orders GROUP BY o_custkey
+WITH b AS (
+  SELECT o_custkey, o_orderkey // 1024 AS block, sha256(string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', chr(10) ORDER BY o_orderkey)) AS digest FROM orders GROUP BY ALL
+)
+SELECT o_custkey, sha256(string_agg(digest, chr(10) ORDER BY block)) AS state FROM b GROUP BY o_custkey
 """
 
 

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.functions.text import STOPWORDS, content_id, content_tokens, occurrences, query_tokens
-from gneiss.operators.chunking import pack_sentences, sentence_rows, summaries
+from gneiss.functions.text import STOPWORDS, SUMMARY_STOPWORDS, content_id, content_tokens
+from gneiss.operators.chunking import linked_chunks, pack_sentences, section_summaries, sentence_rows, summaries
+from gneiss.operators.lexical import lexical_hits
 from gneiss.operators.ranking import top_per
 from gneiss.session import table
 from gneiss.sources.html import materialize
 
-TOP, MOST_TERMS = 10, 100_000
-STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS) + "]"
-SENTENCES_CTE = r"""
-sentence_lists AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\n+', chr(1), 'g'),
-    '([.!?])[ \t\r\x0b\f]+([A-Z0-9"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '') AS s
-  FROM documents
-)"""
+TOP = 10
+STOP_SQL, SUMMARY_STOP_SQL = ("[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]" for words in (STOPWORDS, SUMMARY_STOPWORDS))
+TOKENS_SQL = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+(?:[-_][a-z0-9]+)*')"
+SENTENCE_LIST = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\n+', chr(1), 'g'),
+    '([.!?])[ \t\r\x0b\f]+([A-Z0-9"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"""
+SENTENCES_CTE = f"sentence_lists AS (SELECT doc_id, {SENTENCE_LIST} AS s FROM documents)"
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,17 +31,33 @@ def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sentences(table(spark, sf_dir, "documents"))
 
 
-CHUNK_PACKING = f"""
-WITH RECURSIVE {SENTENCES_CTE},
+CHUNKS_CTE = f"""
+{SENTENCES_CTE},
 walk AS (
   SELECT doc_id, s, 1 AS i, 0 AS chunk, length(s[1]) AS n FROM sentence_lists WHERE len(s) > 0
   UNION ALL
   SELECT doc_id, s, i + 1, chunk + (n + 1 + length(s[i + 1]) > 1200)::INT, CASE WHEN n + 1 + length(s[i + 1]) > 1200 THEN 0 ELSE n END + length(s[i + 1])
   FROM walk WHERE i < len(s)
 ),
-chunks AS (SELECT doc_id, chunk, string_agg(s[i], ' ' ORDER BY i) AS text, count(*) AS n FROM walk GROUP BY doc_id, chunk)
-SELECT doc_id, chunk AS chunk_index, 'chunk_' || sha256('{{"d":"' || doc_id || '","i":' || chunk || ',"t":' || to_json(text)::VARCHAR || '}}') AS chunk_id,
-       chunk // 4 AS parent_index, text, n AS n_sentences FROM chunks
+packed AS (
+  SELECT doc_id, chunk AS chunk_index, 'chunk_' || sha256('{{"d":"' || doc_id || '","i":' || chunk || ',"t":' || to_json(text)::VARCHAR || '}}') AS chunk_id, chunk // 4 AS parent_index, text, n AS n_sentences
+  FROM (SELECT doc_id, chunk, string_agg(s[i], ' ' ORDER BY i) AS text, count(*) AS n FROM walk GROUP BY doc_id, chunk)
+)"""
+CHUNK_PACKING = f"WITH RECURSIVE {CHUNKS_CTE} SELECT * FROM packed"
+
+
+def parent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with its parent's id."""
+    return linked_chunks(pack_sentences(table(spark, sf_dir, "documents"))).select("doc_id", "chunk_index", "chunk_id", "parent_index", "parent_id")
+
+
+PARENT_CHUNKS = f"""
+WITH RECURSIVE {CHUNKS_CTE},
+up AS (
+  SELECT doc_id, parent_index, 'chunk_' || sha256('{{"d":"' || doc_id || '","i":"parent:' || parent_index || '","t":' || to_json(text)::VARCHAR || '}}') AS parent_id
+  FROM (SELECT doc_id, parent_index, string_agg(text, chr(10) ORDER BY chunk_index) AS text FROM packed GROUP BY ALL)
+)
+SELECT doc_id, chunk_index, chunk_id, parent_index, parent_id FROM packed JOIN up USING (doc_id, parent_index)
 """
 
 
@@ -51,7 +66,7 @@ def conversation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").withColumn("section", F.floor(F.col("turn") / 4))
     line = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     parents = turns.groupBy("conv_id", "section").agg(F.array_sort(F.collect_list(line)).alias("turns"), F.count("*").alias("n_turns"))
-    joined = parents.select("conv_id", "section", "n_turns", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n").alias("text"))
+    joined = parents.select("conv_id", "section", "n_turns", F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit(": "), t["text"])), "\n").alias("text"))
     from pyspark.sql import Window
 
     before = F.lag(F.sha2("text", 256)).over(Window.partitionBy("conv_id").orderBy("section"))
@@ -59,7 +74,7 @@ def conversation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONVERSATION_SECTIONS = """
-WITH p AS (SELECT conv_id, turn // 4 AS section, count(*) AS n_turns, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY ALL)
+WITH p AS (SELECT conv_id, turn // 4 AS section, count(*) AS n_turns, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY ALL)
 SELECT *, lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY section) AS previous FROM p
 """
 
@@ -68,9 +83,9 @@ def turn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn with the ids of its neighbours in the same section of four."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", F.xxhash64("text"))
     same = lambda c: F.when(F.floor(c / 4) == F.floor(F.col("turn") / 4), c)
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    turns = table(spark, sf_dir, "conversations")
     return turns.select("conv_id", "turn", "role", same(F.lag("turn").over(w)).alias("previous"), same(F.lead("turn").over(w)).alias("next"))
 
 
@@ -92,54 +107,69 @@ SELECT token, count(*) AS df FROM (
 
 
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries(table(spark, sf_dir, "documents"))
-
-
-EXTRACTIVE_SUMMARY = f"""
-WITH {SENTENCES_CTE},
-s AS (SELECT doc_id, unnest(range(len(s))) AS idx, unnest(s) AS sentence FROM sentence_lists),
-w AS (SELECT doc_id, idx, unnest(list_filter(list_transform(regexp_extract_all(sentence, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*'), lambda x: lower(x)), lambda x: NOT list_contains({STOP_SQL}, x))) AS w FROM s),
-uses AS (SELECT doc_id, idx, w, count(*) AS k FROM w GROUP BY ALL),
-df AS (SELECT doc_id, w, count(*) AS df FROM uses GROUP BY ALL),
-total AS (SELECT doc_id, count(*) AS total FROM w GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-scored AS (
-  SELECT doc_id, idx, sum(k * (df / total * ln((n + 1) / (1 + df) + 1.0))) / sum(k) + 0.6 / (1 + idx) AS score
-  FROM uses JOIN df USING (doc_id, w) JOIN total USING (doc_id) JOIN n USING (doc_id) GROUP BY doc_id, idx
+    return summaries(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+def summary_ctes(name: str, source: str, keys: str, most: int, most_chars: int) -> str:
+    """CTEs that end with `name` (keys, summary) of the texts of `source` (keys, text)."""
+    return f"""
+{name}_s AS (SELECT {keys}, unnest(range(len(s))) AS idx, unnest(s) AS sentence FROM (SELECT {keys}, {SENTENCE_LIST} AS s FROM {source})),
+{name}_w AS (SELECT {keys}, idx, unnest(list_filter(list_transform(regexp_extract_all(sentence, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*'), lambda x: lower(x)), lambda x: NOT list_contains({SUMMARY_STOP_SQL}, x))) AS w FROM {name}_s),
+{name}_u AS (SELECT {keys}, idx, w, count(*) AS uses FROM {name}_w GROUP BY ALL),
+{name}_df AS (SELECT {keys}, w, count(*) AS df FROM {name}_u GROUP BY ALL),
+{name}_total AS (SELECT {keys}, count(*) AS total FROM {name}_w GROUP BY ALL),
+{name}_n AS (SELECT {keys}, count(*) AS n FROM {name}_s GROUP BY ALL),
+{name}_scored AS (
+  SELECT {keys}, idx, sum(uses * (df / total * ln((n + 1) / (1 + df) + 1.0))) / sum(uses) + 0.6 / (1 + idx) AS score
+  FROM {name}_u JOIN {name}_df USING ({keys}, w) JOIN {name}_total USING ({keys}) JOIN {name}_n USING ({keys}) GROUP BY {keys}, idx
 ),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(score, 0), 9) DESC, idx) AS r FROM s LEFT JOIN scored USING (doc_id, idx))
-SELECT doc_id, string_agg(sentence, ' ' ORDER BY idx) AS summary FROM best WHERE r <= 4 GROUP BY doc_id
-"""
+{name}_best AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(coalesce(score, 0), 9) DESC, idx) AS r FROM {name}_s LEFT JOIN {name}_scored USING ({keys}, idx)),
+{name} AS (
+  SELECT {keys}, CASE WHEN length(t) <= {most_chars} THEN t ELSE coalesce(nullif(regexp_replace(regexp_replace(t[1:{most_chars}], ' [^ ]*$', ''), '[.,;:-]+$', ''), ''), t[1:{most_chars}]) END AS summary
+  FROM (SELECT {keys}, string_agg(sentence, ' ' ORDER BY idx) AS t FROM {name}_best WHERE r <= {most} GROUP BY {keys})
+)"""
+
 
+EXTRACTIVE_SUMMARY = f"WITH {summary_ctes('d', 'documents', 'doc_id', 4, 900)} SELECT * FROM d"
 
-def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, doc_id, score of all documents that hold any term of a benchmark text.
 
-    A text is scanned for each distinct term of all queries, as a query set in a block; only terms that occur go on. The terms are
-    broadcast while there are at most MOST_TERMS.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("body"))
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query_tokens(F.col("text")).alias("all"))
-    terms = queries.select("query_id", F.size("all").alias("n"), F.explode("all").alias("term")).where(~F.col("term").isin(STOPWORDS))
-    terms = terms.groupBy("query_id", "n", "term").agg(F.count("*").alias("times"))
-    distinct = terms.select("term").distinct()
-    distinct = F.broadcast(distinct) if distinct.limit(MOST_TERMS + 1).count() <= MOST_TERMS else distinct
-    found = docs.join(distinct, F.contains("body", "term")).select("doc_id", "term", occurrences(F.col("body"), F.col("term")).alias("c"))
-    weight = F.col("times") * (1 + F.log(1 + F.col("c")) * 1.2)
-    return found.join(terms, "term").groupBy("query_id", "doc_id", "n").agg(F.sum(weight).alias("sum")).select("query_id", "doc_id", F.round(F.col("sum") / F.col("n"), 9).alias("score"))
+def child_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_summaries(pack_sentences(table(spark, sf_dir, "documents")))
+
+
+SECTION_SUMMARIES_CTE = f"""{CHUNKS_CTE},
+{summary_ctes('kid', 'packed', 'doc_id, parent_index, chunk_index', 1, 220)},
+kid_lines AS (SELECT doc_id, parent_index, string_agg(summary, chr(10) ORDER BY chunk_index) AS text FROM kid GROUP BY ALL),
+{summary_ctes('section', 'kid_lines', 'doc_id, parent_index', 3, 600)}"""
+CHILD_SUMMARIES = f"WITH RECURSIVE {SECTION_SUMMARIES_CTE} SELECT * FROM section"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts as queries."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def lexical_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents that match each benchmark text best."""
-    return top_per(lexical_hits(spark, sf_dir), ["query_id"], TOP, F.desc("score"), F.asc("doc_id"))
+    hits = lexical_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], asked(spark, sf_dir))
+    return top_per(hits, ["query_id"], TOP, F.desc("score"), F.asc("doc_id"))
+
+
+QUERY_TERMS_CTE = f"""
+q AS (SELECT item_id AS query_id, {TOKENS_SQL.format('text')} AS terms FROM benchmark),
+t AS (SELECT query_id, len(terms) AS n, term, count(*) AS times FROM (SELECT query_id, terms, unnest(terms) AS term FROM q) WHERE NOT list_contains({STOP_SQL}, term) GROUP BY ALL)"""
+
+
+def lexical_ctes(name: str, source: str, keys: str) -> str:
+    """CTEs that end with `name` (query_id, keys, score) over the texts of `source`."""
+    return f"""
+{name}_d AS (SELECT {keys}, lower(coalesce(text, '')) AS body FROM {source}),
+{name}_f AS (SELECT {keys}, term, (length(body) - length(replace(body, term, ''))) / length(term) AS c FROM {name}_d, (SELECT DISTINCT term FROM t) WHERE contains(body, term)),
+{name} AS (SELECT query_id, {keys}, round(sum(times * (1 + ln(1 + c) * 1.2)) / n, 9) AS score FROM {name}_f JOIN t USING (term) GROUP BY query_id, {keys}, n)"""
 
 
 LEXICAL_TOP = f"""
-WITH q AS (SELECT item_id AS query_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:[-_][a-z0-9]+)*') AS terms FROM benchmark),
-t AS (SELECT query_id, len(terms) AS n, term, count(*) AS times FROM (SELECT query_id, terms, unnest(terms) AS term FROM q) WHERE NOT list_contains({STOP_SQL}, term) GROUP BY ALL),
-d AS (SELECT doc_id, lower(coalesce(text, '')) AS body FROM documents),
-f AS (SELECT doc_id, term, (length(body) - length(replace(body, term, ''))) / length(term) AS c FROM d, (SELECT DISTINCT term FROM t) WHERE contains(body, term)),
-s AS (SELECT query_id, doc_id, round(sum(times * (1 + ln(1 + c) * 1.2)) / n, 9) AS score FROM f JOIN t USING (term) GROUP BY query_id, doc_id, n),
+WITH {QUERY_TERMS_CTE}, {lexical_ctes('s', 'documents', 'doc_id')},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM s)
 SELECT * FROM r WHERE rank < 10
 """

@@ -7,7 +7,7 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose content is no text, and elements that end a line.
@@ -44,13 +44,24 @@ def text_of(html: str | None) -> str:
     return "\n\n".join(x for x in lines if x)
 
 
-def materialize(pages: DataFrame, least: int = 20) -> DataFrame:
-    """page_id, url, text, content_hash, status: OK, EMPTY or LOW_YIELD."""
+#: Characters, and characters a byte of the source, below which a text is too little.
+LEAST_CHARS, LEAST_YIELD = 20, 0.001
+
+
+def status(text: Column, source_bytes: Column) -> Column:
+    """OK, EMPTY or LOW_YIELD."""
+    low = (F.length(text) < LEAST_CHARS) | (F.length(text) < LEAST_YIELD * source_bytes)
+    return F.when(F.length(text) == 0, "EMPTY").when(low, "LOW_YIELD").otherwise("OK")
+
+
+def materialize(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, content_hash, source_hash, status."""
 
     @F.pandas_udf("string")
     def visible(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in html:
             yield part.map(text_of)
 
-    status = F.when(F.length("text") == 0, "EMPTY").when(F.length("text") < least, "LOW_YIELD").otherwise("OK")
-    return pages.select("page_id", "url", visible("html").alias("text")).select("*", F.sha2("text", 256).alias("content_hash"), status.alias("status"))
+    source = F.coalesce("html", F.lit(""))
+    read = pages.select("page_id", "url", visible("html").alias("text"), F.octet_length(source).alias("bytes"), F.sha2(source, 256).alias("source_hash"))
+    return read.select("page_id", "url", "text", F.sha2("text", 256).alias("content_hash"), "source_hash", status(F.col("text"), F.col("bytes")).alias("status"))

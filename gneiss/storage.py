@@ -15,8 +15,12 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir. Only a session without that setting gets a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or _own_folder()
+    """A new path below spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/gneiss-{uuid.uuid4().hex}"
 
 

@@ -1,14 +1,22 @@
 import math
+import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gneiss.functions.text import content_tokens, normal_surface, sentences
+from gneiss.functions.text import STOPWORDS, content_tokens, normal_surface, sentences, truncated
 from gneiss.operators.admission import reference_class, registry
-from gneiss.operators.chunking import pack_sentences, summaries
+from gneiss.operators import retrieval as R
+from gneiss.operators.chunking import document_addresses, pack_sentences, section_addresses, summaries
 from gneiss.operators.control import reconcile
 from gneiss.operators.graph import conflicts, endpoints, hop
-from gneiss.operators.ranking import fuse_first, fuse_hits, mmr
+from gneiss.operators.lexical import lexical_hits
+from gneiss.operators.nearest import array_vectors, hashed, nearest
+from gneiss.operators.ranking import fuse_first, fuse_hits, mmr, top_per
 from gneiss.plans import state
 from gneiss.sources.html import text_of
 
@@ -26,7 +34,138 @@ def test_sentences_split_at_ends_and_newlines(spark):
 def test_tokens_and_surfaces(spark):
     df = spark.createDataFrame([("The Re-use of ETL_jobs, the re-use",)], "t string")
     assert df.select(content_tokens(F.col("t"))).first()[0] == ["re-use", "etl_jobs"]
-    assert df.select(normal_surface(F.lit("  (Acme   CORP.) "))).first()[0] == "acme corp"
+    forms = {"  (Acme   CORP.) ": "acme corp", "Émile": "émile", "E\u0301mile!": "émile", "東京。": "東京", "_x_": "x", "": "", "--": ""}
+    got = spark.createDataFrame([(k,) for k in forms], "s string").select("s", normal_surface(F.col("s")).alias("n")).collect()
+    assert {r.s: r.n for r in got} == forms
+
+
+def test_truncation_ends_at_a_word(spark):
+    df = spark.createDataFrame([("one two, three",), ("onetwothree",), ("short",), (None,)], "t string")
+    assert [r[0] for r in df.select(truncated(F.col("t"), 9)).collect()] == ["one two", "onetwothr", "short", None]
+
+
+def plain_tokens(s):
+    return {t for t in re.findall(r"[a-z0-9]+(?:[-_][a-z0-9]+)*", s.lower()) if t not in STOPWORDS}
+
+
+def plain_sentences(text):
+    return [p.strip() for p in re.split(r"(?<=[.!?])\s+|\n+", text) if len(p.strip()) > 20]
+
+
+def plain_unlike(texts):
+    kept = []
+    for s in texts:
+        a = plain_tokens(s)
+        if not any(a and (b := plain_tokens(k)) and len(a & b) / len(a | b) >= 0.8 for k in kept):
+            kept.append(s)
+    return kept
+
+
+def made_sections(seed, sections):
+    r = random.Random(seed)
+    words = "river stone the light harbor engine of signal garden mountain over paper silver window ladder".split()
+    made, out = [], []
+    for _ in range(sections):
+        text = []
+        for _ in range(r.randint(0, 6)):
+            s = r.choice(made) if made and r.random() < 0.3 else " ".join(r.choice(words) for _ in range(r.randint(1, 11))).capitalize() + "."
+            made.append(s)
+            text.append(s)
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("sections", [1, 3, 7, 15])
+def test_document_addresses_equal_a_plain_version(spark, sections):
+    docs = {d: made_sections(d * 100 + sections, sections) for d in range(6)}
+    rows = [(d, i, t) for d, parts in docs.items() for i, t in enumerate(parts)]
+    got = {x.doc_id: (x.summary, x.sources) for x in document_addresses(spark.createDataFrame(rows, "doc_id long, parent_index long, text string").repartition(3)).collect()}
+    for d, parts in docs.items():
+        df = Counter(t for p in parts for t in plain_tokens(p))
+        salience = lambda s: round(sum(1 + 1 / max(1, df[t]) for t in sorted(plain_tokens(s))) / len(plain_tokens(s)), 12) if plain_tokens(s) else 0.0
+        ranked = [sorted(plain_sentences(p), key=lambda s: (-salience(s), len(s))) for p in parts]
+        chosen = [(p[0], i) for i, p in enumerate(ranked) if p]
+        pool = sorted(((s, i) for i, p in enumerate(ranked) for s in p[1:]), key=lambda x: (-salience(x[0]), x[0], x[1]))
+        counts, cap = Counter(i for _, i in chosen), max(2, 12 // len(parts) + 1)
+        for s, i in pool:
+            if len(chosen) < 12 and counts[i] < cap:
+                chosen.append((s, i))
+                counts[i] += 1
+        kept = plain_unlike([s for s, _ in chosen])
+        chosen = sorted(((i, n, s) for n, (s, i) in enumerate((s, i) for s, i in chosen if s in kept)), key=lambda x: x[:2])
+        if not chosen:
+            assert d not in got
+            continue
+        text = " ".join(s for _, _, s in chosen)
+        assert got[d][1] == [i for i, _, _ in chosen]
+        assert got[d][0] == text if len(text) <= 1600 else text.startswith(got[d][0])
+
+
+def test_section_addresses_share_children(spark):
+    a, b, c = "Alpha river stone garden light.", "Beta engine signal paper window ladder.", "Gamma harbor mountain silver."
+    rows = [(1, 0, 0, "x", f"{c} {a} {b}"), (1, 0, 1, "y", f"{a} short."), (2, 0, 0, "z", f"{a} {b} {a}")]
+    got = {r.doc_id: r for r in section_addresses(spark.createDataFrame(rows, "doc_id long, parent_index long, chunk_index int, chunk_id string, text string")).collect()}
+    assert got[1].summary == f"{b} {a}" and [(s.chunk_id, s.only_child) for s in got[1].sources] == [("x", False), ("x", False), ("y", False)]
+    assert got[2].summary == f"{b} {a}" and all(s.only_child for s in got[2].sources) and len(got[2].sources) == 3
+
+
+def test_nearest_keeps_the_best_of_each_group(spark):
+    r = np.random.default_rng(2)
+    v = r.integers(-3, 4, (300, 4)).astype(float)
+    rows = spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>").repartition(7)
+    q = spark.createDataFrame([(i, v[i].tolist(), [5, 6]) for i in range(5)], "query_id long, embedding array<double>, skip array<long>")
+    keep = {"vec_id": T.LongType(), "label": T.IntegerType()}
+    size = np.linalg.norm(v, axis=1)
+    for group, n in ((None, 7), ("label", 4)):
+        got = top_per(nearest(rows, keep, array_vectors, q.drop("skip"), n, group, block=2), ["query_id"] + ([group] if group else []), n, F.desc("score"), F.asc("vec_id"))
+        got = sorted((x.query_id, x.label if group else 0, x.rank, x.vec_id) for x in got.collect())
+        want = []
+        for i in range(5):
+            cos = [round(float(v[i] @ v[j] / (size[i] * size[j])), 6) if size[i] * size[j] else 0.0 for j in range(300)]
+            for g in range(3) if group else [0]:
+                own = sorted((-cos[j], j) for j in range(300) if not group or j % 3 == g)[:n]
+                want += [(i, g, k, j) for k, (_, j) in enumerate(own)]
+        assert got == sorted(want)
+    assert nearest(rows, keep, array_vectors, q.limit(0), 3).count() == 0
+
+
+def test_hashed_vectors_of_odd_texts():
+    assert hashed(None).sum() == 0 and hashed("ab").sum() == 0 and hashed("ab cd ef").sum() == 0
+    assert hashed("ÀbcDE f").sum() == 2 and (hashed("a-b.c") == hashed("ABC")).all()
+
+
+def test_lexical_hits_equal_a_plain_scan(spark):
+    r = random.Random(6)
+    bits = ["ab", "abc", "a", "b-c", "_", "-", " ", "é", "x1", ".", "aaa", "The"]
+    docs = [(d, "".join(r.choice(bits) for _ in range(25))) for d in range(40)] + [(90, None), (91, "")]
+    queries = [(1, "aa ab-c the abc abc"), (2, "x1_x1 a"), (3, "the of"), (4, None)]
+    got = {(x.query_id, x.doc_id): x.score for x in lexical_hits(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"], spark.createDataFrame(queries, "query_id long, text string")).collect()}
+    want = {}
+    for q, text in queries:
+        terms = re.findall(r"[a-z0-9]+(?:[-_][a-z0-9]+)*", (text or "").lower())
+        for d, body in docs:
+            counts = [(body or "").lower().count(t) for t in terms if t not in STOPWORDS]
+            if any(counts):
+                want[q, d] = sum(1 + 1.2 * math.log(1 + c) for c in counts if c) / len(terms)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_second_pass_leaves_first_documents_out(spark):
+    words = ["alpha", "beta", "gamma", "delta", "sigma", "omega"]
+    text = lambda d: " ".join(words[(d + i) % 6] + f" {words[(d + 2 * i) % 6]}" for i in range(5))
+    docs = spark.createDataFrame([(d, text(d)) for d in range(12)], "doc_id long, text string")
+    sections = docs.withColumn("parent_index", F.lit(0))
+    children = sections.withColumn("chunk_id", F.concat(F.lit("c"), "doc_id"))
+    reps = R.representations(docs, sections, children)
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "omega")], "query_id long, text string")
+    hits = R.lanes(reps, queries)
+    found = R.evidence(hits, reps, queries)
+    first = R.ranked_documents(hits).where("document_rank < 5").select("query_id", "doc_id")
+    terms = R.concept_state(found, first.join(docs, "doc_id").select("query_id", "text"), reps)
+    assert {r.reasons[0] for r in terms.collect()} == {"multi_child"} and terms.where("query_id = 1").count() == 6
+    more = R.reach(R.expanded(queries, terms), first, reps)
+    assert more.join(first, ["query_id", "doc_id"]).count() == 0 and more.groupBy("query_id").count().count() == 2
+    assert all(r["count"] <= 6 for r in more.groupBy("query_id").count().collect())
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 17])
@@ -39,7 +178,8 @@ def test_packing_never_splits_a_sentence(spark, partitions):
 
 def test_summary_keeps_document_order_and_lead(spark):
     df = spark.createDataFrame([(1, "\n".join(f"Line number {i} about rivers." for i in range(9)))], "doc_id long, text string")
-    assert summaries(df, 2).first().summary == "Line number 0 about rivers. Line number 1 about rivers."
+    assert summaries(df, ["doc_id"], 2).first().summary == "Line number 0 about rivers. Line number 1 about rivers."
+    assert summaries(df, ["doc_id"], 2, 40).first().summary == "Line number 0 about rivers. Line number"
 
 
 def test_consensus_beats_a_lone_first_place(spark):
