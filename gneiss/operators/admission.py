@@ -13,7 +13,9 @@ WEAK = "real new main other same some any all many several general basic simple
 DEICTIC = "our my your their its this that these those".split()
 DETERMINERS = "a an the".split()
 #: Types whose equal names are one thing, and types whose equal names may be many.
-MERGEABLE, HOMONYMS = ("ORGANIZATION", "LOCATION", "PRODUCT"), ("PERSON",)
+MERGEABLE = ("Organization", "Location", "Product", "Technology", "Document")
+HOMONYMS = ("Person", "Concept", "Event", "Method", "Process", "Measurement", "TimeReference")
+VERSION = "canonicalizer-v1"
 
 
 def reference_class(surface: Column) -> Column:
@@ -38,18 +40,65 @@ def reference_class(surface: Column) -> Column:
     )
 
 
-def registry(entities: DataFrame, corpus: str) -> DataFrame:
-    """entities (entity, core_type, surface) with normal name, canonical id, decision and the group's first member.
+def named_entities(entities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """entities (entity, core_type, surface) with own_name, name (that of the declared alias's canonical surface, else its own) and declared.
 
-    Equal names of a mergeable type are one canonical entity; of others each stays alone. Members are told by their
-    group's first member and size rather than by all pairs, which follow from them.
+    aliases: canonical, alias (surfaces; declared by a corpus, never guessed). An alias of several canonicals goes by the greatest.
     """
-    named = entities.withColumn("name", normal_surface(F.col("surface")))
+    own = entities.withColumn("own_name", normal_surface(F.col("surface")))
+    if aliases is None:
+        return own.withColumn("name", F.col("own_name")).withColumn("declared", F.lit(False))
+    pairs = aliases.select(normal_surface(F.col("canonical")).alias("canonical"), normal_surface(F.col("alias")).alias("alias"))
+    itself = pairs.select("canonical", F.col("canonical").alias("alias"))
+    to = pairs.unionByName(itself).groupBy(F.col("alias").alias("own_name")).agg(F.max("canonical").alias("canonical"))
+    declared = pairs.select(F.col("canonical").alias("name"), F.lit(True).alias("is")).distinct()
+    met = own.join(to, "own_name", "left").withColumn("name", F.coalesce("canonical", "own_name")).drop("canonical")
+    return met.join(declared, "name", "left").withColumn("declared", F.coalesce("is", F.lit(False))).drop("is")
+
+
+def registry(entities: DataFrame, corpus: str, aliases: DataFrame | None = None) -> DataFrame:
+    """entities (entity, core_type, surface) with normal name, canonical id, decision, basis and the group's first member and size.
+
+    Equal names of a mergeable type are one canonical entity, and so are those of other known types whose name is declared; of others each stays alone, and no name
+    is ever a name in common. Members are told by their group's first member and size rather than by all pairs, which follow from them.
+    """
+    named = named_entities(entities, aliases)
     groups = named.groupBy("name", "core_type").agg(F.min("entity").alias("first_member"), F.count("*").alias("members"))
-    merges = F.col("core_type").isin(*MERGEABLE)
+    known = F.coalesce(F.col("core_type").isin(*MERGEABLE, *HOMONYMS), F.lit(False))
+    mergeable = F.coalesce(F.col("core_type").isin(*MERGEABLE), F.lit(False))
+    empty, alone, alias = F.col("name") == "", F.col("members") == 1, F.col("own_name") != F.col("name")
+    merges = ~empty & (mergeable | (known & F.col("declared")))
     scope = F.when(merges, F.lit("")).otherwise(F.col("entity").cast("string"))
-    decision = (
-        F.when(merges & (F.col("members") == 1), "SELF").when(merges, "SAME_AS").when(F.col("name") == "", "UNRESOLVED").otherwise("SELF")
+    decision = F.when(empty, "UNRESOLVED").when(merges & ~alone & alias, "ALIAS_OF").when(merges & ~alone, "SAME_AS").otherwise("SELF")
+    basis = (
+        F.when(empty, "empty_surface").when(merges & alone, "singleton").when(merges & (alias | ~mergeable), "explicit_source_alias")
+        .when(merges, "normalized_exact_match,compatible_core_type,mergeable_type_class").when(known, "homonym_risk_type_class").otherwise("unknown_core_type")
+    )
+    joined = named.join(groups.withColumn("__type", F.col("core_type")).drop("core_type").withColumnRenamed("name", "__name"), (F.col("name") == F.col("__name")) & F.col("core_type").eqNullSafe(F.col("__type")))
+    return joined.select(
+        "entity", "core_type", "name", content_id("cent_", c=F.lit(corpus), e=scope, n=F.col("name"), t=F.col("core_type"), v=F.lit(VERSION)).alias("canonical_id"),
+        decision.alias("decision"), basis.alias("basis"), "first_member", "members",
     )
-    joined = named.join(groups, ["name", "core_type"])
-    return joined.select("entity", "core_type", "name", content_id("cent_", c=F.lit(corpus), e=scope, n=F.col("name"), t=F.col("core_type")).alias("canonical_id"), decision.alias("decision"), "first_member", "members")
+
+
+def group_decisions(entities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """name, core_type, other_type, decision, pairs, first_member, other_member: what holds between all members of a group (one name and type), or of two groups of one name and different types.
+
+    SAME_AS or ALIAS_OF in a group that merges, AMBIGUOUS where names may be many things, UNRESOLVED where the type is unknown, DISTINCT between types. `pairs` counts the pairs that
+    the row stands for. Types of one name are few, so pairs of groups are.
+    """
+    named = named_entities(entities, aliases).where("name <> ''")
+    groups = named.groupBy("name", F.coalesce("core_type", F.lit("")).alias("core_type"), "declared").agg(F.min("entity").alias("first_member"), F.count("*").alias("members"), F.max((F.col("own_name") != F.col("name")).cast("int")).alias("aliased"))
+    known, mergeable = F.col("core_type").isin(*MERGEABLE, *HOMONYMS), F.col("core_type").isin(*MERGEABLE)
+    within = F.when((mergeable | (known & F.col("declared"))) & (F.col("aliased") == 1), "ALIAS_OF").when(mergeable | (known & F.col("declared")), "SAME_AS").when(known, "AMBIGUOUS").otherwise("UNRESOLVED")
+    pairs = F.expr("members * (members - 1) div 2")
+    inside = groups.where("members > 1").select("name", "core_type", F.col("core_type").alias("other_type"), within.alias("decision"), pairs.alias("pairs"), "first_member", F.col("first_member").alias("other_member"))
+    other = groups.select("name", F.col("core_type").alias("other_type"), F.col("first_member").alias("other_member"), F.col("members").alias("n"))
+    between = groups.join(other, "name").where("core_type < other_type").select("name", "core_type", "other_type", F.lit("DISTINCT").alias("decision"), (F.col("members") * F.col("n")).alias("pairs"), "first_member", "other_member")
+    return inside.unionByName(between)
+
+
+def corpus_scope(entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """entities (entity, admission, ...) that are an end of a fact (subject, object) and neither mentions only nor of one document."""
+    ends = facts.select(F.explode(F.array("subject", "object")).alias("entity")).distinct()
+    return entities.where("admission IS NULL OR admission NOT IN ('MENTION_ONLY', 'DOCUMENT_SCOPED')").join(ends, "entity", "left_semi")

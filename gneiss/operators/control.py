@@ -32,6 +32,57 @@ def heartbeat_sessions(beats: DataFrame, owner: str, at: str, tie: str, gap_seco
     return numbered.groupBy(owner, "session").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("beats"))
 
 
+def stage_gaps(attempts: DataFrame, stages: list[str], tries: int = 3) -> DataFrame:
+    """attempts (run, stage, outcome, n: the latest outcome and how many) to run, state, gap, done: READY when all stages of the chain are ok, FAILED when the first that is not has
+    failed `tries` times, GAP otherwise, with that stage."""
+    ok = F.collect_set(F.when(F.col("outcome") == "ok", F.col("stage")))
+    worn = F.collect_set(F.when((F.col("outcome") != "ok") & (F.col("n") >= tries), F.col("stage")))
+    runs = attempts.groupBy("run").agg(ok.alias("ok"), worn.alias("worn"))
+    chain = F.array(*map(F.lit, stages))
+    gap = F.get(F.filter(chain, lambda s: ~F.array_contains("ok", s)), F.lit(0))
+    state = F.when(gap.isNull(), "READY").when(F.array_contains("worn", gap), "FAILED").otherwise("GAP")
+    return runs.select("run", state.alias("state"), gap.alias("gap"), F.size(F.array_intersect("ok", chain)).alias("done"))
+
+
+def funnel(reached: DataFrame, stages: list[str]) -> DataFrame:
+    """reached (item, stage) to stage, reached, first_lost: how many items have it and every stage before it, and for how many it is the first they lack."""
+    chain = F.array(*map(F.lit, stages))
+    own = reached.groupBy("item").agg(F.collect_set("stage").alias("has"))
+    first = F.get(F.filter(F.transform(chain, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: ~F.array_contains("has", x["s"])), F.lit(0))["i"]
+    lost = own.groupBy(F.coalesce(first, F.lit(len(stages))).alias("first")).count()
+    each = lost.withColumn("x", F.explode(F.transform(chain, lambda s, i: F.struct(s.alias("stage"), i.alias("i")))))
+    return each.groupBy("x.stage").agg(F.sum(F.when(F.col("first") > F.col("x.i"), F.col("count")).otherwise(0)).alias("reached"), F.sum(F.when(F.col("first") == F.col("x.i"), F.col("count")).otherwise(0)).alias("first_lost"))
+
+
+def merged_artifacts(rows: DataFrame, run: str, key: str, value: str, *order: str) -> DataFrame:
+    """run, artifact: its keys with their last values, as key=value lines by key."""
+    last = rows.groupBy(run, key).agg(F.max_by(value, F.struct(*order)).alias("v"))
+    line = F.concat(F.col(key), F.lit("="), F.coalesce(F.col("v").cast("string"), F.lit("")))
+    return last.groupBy(run).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("artifact"))
+
+
+def delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """key, change: KEPT, ADDED or LOST between two tables of keys."""
+    marked = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    met = marked(before, "b").join(marked(after, "a"), key, "full")
+    return met.select(key, F.when(F.col("b") & F.col("a"), "KEPT").when(F.col("a"), "ADDED").otherwise("LOST").alias("change"))
+
+
+def manifest_plan(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """entries (source, content_hash, enabled) of a manifest and known (source, content_hash, status) to source, action, in_manifest, known_hash.
+
+    INGEST what is new, UPDATE what changed, RETRY what failed, NOOP what is there, RETIRE what is known and no longer listed or disabled; DUPLICATE all but the first entry of one source.
+    """
+    first = entries.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("enabled"), "content_hash")))
+    met = first.select("source", F.col("content_hash").alias("new_hash"), "enabled", "n").join(known.select("source", F.col("content_hash").alias("known_hash"), "status"), "source", "full")
+    listed, there = F.coalesce(F.col("enabled"), F.lit(False)), F.col("status").isNotNull()
+    action = (
+        F.when(F.col("n") > 1, "DUPLICATE").when(~listed & there, "RETIRE").when(~listed, "SKIP").when(~there, "INGEST")
+        .when(F.col("new_hash") != F.col("known_hash"), "UPDATE").when(F.col("status") == "failed", "RETRY").otherwise("NOOP")
+    )
+    return met.select("source", action.alias("action"), F.col("n").isNotNull().alias("in_manifest"), "known_hash")
+
+
 #: Order keys of one block of a state hash.
 SPAN = 1024
 

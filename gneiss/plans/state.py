@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.operators.admission import reference_class, registry
+from gneiss.operators.admission import reference_class
 from gneiss.operators.control import heartbeat_sessions, latest_attempts, reconcile, state_hash
 from gneiss.operators.graph import conflicts, eligible, endpoints, hop
 from gneiss.operators.nearest import array_vectors, nearest
@@ -125,21 +125,6 @@ def admission_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", reference_class(F.concat_ws(" ", "p_name", F.lower("p_type"))).alias("reference_class"))
 
 
-def canonical_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    kind = F.when(F.col("p_type") == "ECONOMY", "PRODUCT").when(F.col("p_type") == "SMALL", "PERSON").otherwise("OTHER")
-    return registry(p.select(F.col("p_partkey").alias("entity"), kind.alias("core_type"), F.col("p_name").alias("surface")), "parts")
-
-
-CANONICAL_REGISTRY = """
-WITH e AS (SELECT p_partkey AS entity, CASE p_type WHEN 'ECONOMY' THEN 'PRODUCT' WHEN 'SMALL' THEN 'PERSON' ELSE 'OTHER' END AS core_type, lower(trim(p_name)) AS name FROM part),
-g AS (SELECT *, min(entity) OVER w AS first_member, count(*) OVER w AS members FROM e WINDOW w AS (PARTITION BY name, core_type))
-SELECT entity, core_type, name, 'cent_' || sha256('{"c":"parts","e":"' || CASE core_type WHEN 'PRODUCT' THEN '' ELSE entity::VARCHAR END || '","n":"' || name || '","t":"' || core_type || '"}') AS canonical_id,
-       CASE WHEN core_type = 'PRODUCT' AND members > 1 THEN 'SAME_AS' ELSE 'SELF' END AS decision, first_member, members
-FROM g
-"""
-
-
 def projection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that are not finished as what should be, returned lines as receipts, open lines as what is stored: each key's state."""
     lines = table(spark, sf_dir, "lineitem")
