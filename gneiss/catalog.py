@@ -14,7 +14,7 @@ NAMES = {
     state: "dense_lane section_children diverse_hits entity_degree one_hop eligible_facts competing_facts admission_classes "
     "projection_states missing_projections census heartbeats order_state outbox_stream windowed_stream quality_metrics",
     relations: "line_entities surface_candidates fact_provenance authorized_facts retired_residue graph_seeds graph_facts canonical_registry registry_decisions corpus_entities grounded_turns "
-    "event_funnel run_gaps run_artifacts fact_changes source_plan lane_metrics common_tokens order_predicates excerpts",
+    "event_funnel run_gaps run_artifacts fact_changes source_plan lane_metrics common_tokens order_predicates excerpts plain_sources",
 }
 
 

@@ -14,6 +14,7 @@ from gneiss.operators.admission import corpus_scope, group_decisions, registry
 from gneiss.plans.state import FACTS_CTE, dense_lane, facts
 from gneiss.plans.text import STOP_SQL, TOKENS_SQL, asked, lexical_top
 from gneiss.session import table
+from gneiss.sources.files import materialized
 
 # spans: capitalised words as entities, a few function words as triggers, lines as frames
 
@@ -371,3 +372,23 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = asked(spark, sf_dir).select("query_id", content_tokens(F.col("text")).alias("terms"))
     met = lexical_top(spark, sf_dir).select("query_id", "doc_id", "rank").join(terms, "query_id").join(docs, "doc_id")
     return met.select("query_id", "rank", "doc_id", E.excerpt(F.col("passage"), F.col("terms")).alias("excerpt"))
+
+
+# sources
+
+
+def plain_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of bytes with a mark, CRLF and several names, read back."""
+    body = F.concat(F.lit(b"\xef\xbb\xbf"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\r\n")).cast("binary"))
+    ending = F.element_at(F.array(*map(F.lit, (".txt", ".md", ".TXT", ".bin"))), F.pmod(F.col("doc_id"), F.lit(4)).cast("int") + 1)
+    files = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), ending).alias("path"), body.alias("content"), F.lit(None).cast("string").alias("media_type"))
+    return materialized(files).select("path", "format", "doc_id", "content_hash", "status", "error", F.get("parts", F.lit(0))["end"].alias("n_chars"))
+
+
+PLAIN_SOURCES = r"""
+WITH f AS (SELECT doc_id::VARCHAR || ['.txt', '.md', '.TXT', '.bin'][doc_id % 4 + 1] AS path, nfc_normalize(coalesce(text, '')) AS t, ['text', 'markdown', 'text', NULL][doc_id % 4 + 1] AS format FROM documents)
+SELECT path, format, 'doc_' || sha256(t) AS doc_id, CASE WHEN format IS NOT NULL THEN sha256(t) END AS content_hash,
+       CASE WHEN format IS NULL THEN 'FAILED' WHEN NOT regexp_matches(t, '\S') THEN 'EMPTY' ELSE 'OK' END AS status, CASE WHEN format IS NULL THEN 'UNSUPPORTED_FORMAT' END AS error,
+       CASE WHEN format IS NOT NULL THEN length(t) END AS n_chars
+FROM f
+"""

@@ -1,6 +1,8 @@
+import hashlib
 import math
 import random
 import re
+import zipfile
 from collections import Counter
 
 import numpy as np
@@ -21,6 +23,7 @@ from gneiss.operators.lexical import lexical_hits
 from gneiss.operators.nearest import array_vectors, hashed, nearest
 from gneiss.operators.ranking import fuse_first, fuse_hits, mmr, top_per
 from gneiss.plans import state
+from gneiss.sources.files import materialized, read_files
 from gneiss.sources.html import text_of
 
 
@@ -313,6 +316,29 @@ def test_manifests_and_gaps(spark):
     assert rows(K.stage_gaps(runs, ["x", "y"])) == [(1, "READY", None, 2), (2, "GAP", "y", 1), (3, "FAILED", "x", 0), (4, "GAP", "x", 1)]
 
 
+def test_files_of_all_formats(spark, tmp_path):
+    def archive(name, members):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for k, v in members.items():
+                z.writestr(k, v)
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    paragraph = lambda t, style="": f'<w:p><w:pPr>{style}</w:pPr><w:r><w:t>{t}</w:t><w:tab/></w:r></w:p>'
+    archive("a.docx", {"word/document.xml": f"<w:document {w}><w:body>{paragraph('Part one', '<w:pStyle w:val=&quot;Heading1&quot;/>'.replace('&quot;', chr(34)))}{paragraph(' some words  here ')}{paragraph(' ')}</w:body></w:document>"})
+    container = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>'
+    package = '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="x" href="x.html"/><item id="y" href="y.html"/></manifest><spine><itemref idref="y"/><itemref idref="x"/></spine></package>'
+    archive("b.epub", {"META-INF/container.xml": container, "o/p.opf": package, "o/x.html": "<p>last chapter words</p>", "o/y.html": "<p>first chapter words</p>"})
+    archive("c.epub", {"other": "x"})
+    for name, raw in {"d.md": b"\xef\xbb\xbf# T\r\nx\x00y", "e.txt": b"\xff\xfe", "f.pdf": b"%PDF", "g.txt": b" ", "h.htm": b"<p>hi", "i.markdown": "e\u0301".encode(), "j.docx": b"no zip"}.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path.rsplit("/", 1)[1]: r for r in materialized(read_files(spark, str(tmp_path))).collect()}
+    assert got["a.docx"].text == "Part one\n\nsome words here" and [(p.start, p.end, p.kind, p.location) for p in got["a.docx"].parts] == [(0, 8, "heading", "Part one"), (10, 25, "paragraph", "Part one")]
+    assert got["b.epub"].text == "first chapter words\n\nlast chapter words" and [p.label for p in got["b.epub"].parts] == ["y", "x"]
+    assert got["d.md"].text == "# T\nxy" and got["d.md"].doc_id == "doc_" + hashlib.sha256(b"# T\nx\x00y").hexdigest() and got["i.markdown"].text == "\u00e9" and got["h.htm"].text == "hi"
+    assert {k: v.status for k, v in got.items()} == {"a.docx": "OK", "b.epub": "OK", "c.epub": "FAILED", "d.md": "OK", "e.txt": "FAILED", "f.pdf": "FAILED", "g.txt": "EMPTY", "h.htm": "OK", "i.markdown": "OK", "j.docx": "FAILED"}
+    assert got["f.pdf"].error == "UNSUPPORTED_FORMAT" and got["e.txt"].error.startswith("CORRUPTED")
+
+
 def test_html_text():
     assert text_of("<head><title>x</title></head><p>a &amp; b<br>c</p><script>no</script><div> d </div>") == "a & b\n\nc\n\nd"
     assert text_of(None) == "" and text_of("<p>unclosed <b>bold") == "unclosed bold"
