@@ -10,11 +10,11 @@ from gneiss.plans import relations, retrieval, state, text
 
 NAMES = {
     text: "sentence_split chunk_packing parent_chunks conversation_sections turn_context document_frequency extractive_summary child_summaries lexical_top hash_embedding content_ids html_text",
-    retrieval: "fast_lanes fused_documents fast_evidence hybrid_evidence legacy_documents legacy_children section_addresses document_addresses concept_terms reach_evidence",
+    retrieval: "fast_lanes fused_documents fused_sections fast_evidence hybrid_evidence legacy_documents legacy_children section_addresses document_addresses concept_terms reach_evidence",
     state: "dense_lane section_children diverse_hits entity_degree one_hop eligible_facts competing_facts admission_classes "
     "projection_states missing_projections census heartbeats order_state outbox_stream windowed_stream quality_metrics",
     relations: "line_entities surface_candidates fact_provenance authorized_facts retired_residue graph_seeds graph_facts canonical_registry registry_decisions corpus_entities grounded_turns "
-    "event_funnel run_gaps run_artifacts fact_changes source_plan lane_metrics common_tokens order_predicates excerpts plain_sources",
+    "event_funnel run_gaps run_artifacts fact_changes source_plan lane_metrics common_tokens order_predicates excerpts plain_sources compiled_facts document_forms document_regions",
 }
 
 

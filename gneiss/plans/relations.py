@@ -10,6 +10,9 @@ from gneiss.operators import control as K
 from gneiss.operators import evidence as E
 from gneiss.operators import graph as G
 from gneiss.operators import spans as S
+from gneiss.functions.values import first_year, lookup_form, uuid5
+from gneiss.operators.rules import compiled
+from gneiss.operators.structure import regions
 from gneiss.operators.admission import corpus_scope, group_decisions, registry
 from gneiss.plans.state import FACTS_CTE, dense_lane, facts
 from gneiss.plans.text import STOP_SQL, TOKENS_SQL, asked, lexical_top
@@ -392,3 +395,64 @@ SELECT path, format, 'doc_' || sha256(t) AS doc_id, CASE WHEN format IS NOT NULL
        CASE WHEN format IS NOT NULL THEN length(t) END AS n_chars
 FROM f
 """
+
+
+# rules: candidates of lines, their types by initials, under a small pack
+
+PACK = [("precedes", "and", "Early", "Late", False), ("meets", "and", "Early", "Early", True), ("serves", "for", "Early", "Late", False), ("serves", "for", "Late", "Late", False), ("joins", "with", "Late", "Early", True)]
+
+
+def compiled_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of a line with the rule that it meets, or why it is no fact."""
+    found = S.candidates(*_spans(spark, sf_dir))
+    kind = lambda c: F.when(F.col(c).isNotNull(), F.when(F.upper(F.substring(c, 1, 1)) <= "L", "Early").otherwise("Late"))
+    rows = found.select(
+        F.concat_ws(":", "doc_id", "start", F.coalesce("object_start", F.lit(-1)), F.coalesce("subject_start", F.lit(-1))).alias("candidate"), F.trim("mark").alias("trigger"), "subject", kind("subject").alias("subject_type"), "object",
+        kind("object").alias("object_type"), F.lit("ASSERTED").alias("modality"), (F.trim("mark") == "for").alias("passive"), F.lit(None).cast("string").alias("sentence"),
+        F.when(F.length("subject") < 4, "MENTION_ONLY").alias("subject_class"), F.lit(None).cast("string").alias("object_class"),
+    )
+    rules = spark.createDataFrame(PACK, "predicate string, trigger string, subject_type string, object_type string, symmetric boolean")
+    return compiled(rows, rules).drop("year")
+
+
+COMPILED_FACTS = f"""
+WITH candidates AS ({SURFACE_CANDIDATES}),
+c AS (
+  SELECT doc_id || ':' || trigger_start || ':' || coalesce(object_start, -1) || ':' || coalesce(subject_start, -1) AS candidate, trim(mark) AS trigger, subject, object,
+         CASE WHEN subject IS NOT NULL THEN CASE WHEN subject[1] <= 'L' THEN 'Early' ELSE 'Late' END END AS st, CASE WHEN object IS NOT NULL THEN CASE WHEN object[1] <= 'L' THEN 'Early' ELSE 'Late' END END AS ot
+  FROM candidates
+),
+rules AS (SELECT * FROM (VALUES {", ".join(str(r) for r in PACK)}) r(predicate, trigger, a, b, sym)),
+t AS (SELECT *, trigger = 'for' AS passive, CASE WHEN trigger = 'for' THEN ot ELSE st END AS x, CASE WHEN trigger = 'for' THEN st ELSE ot END AS y FROM c),
+m AS (
+  SELECT t.*, r.predicate AS p1, r.sym AS s1, q.predicate AS p2, q.sym AS s2 FROM t LEFT JOIN rules r ON r.trigger = t.trigger AND r.a = x AND r.b = y LEFT JOIN rules q ON q.trigger = t.trigger AND q.a = y AND q.b = x
+),
+j AS (
+  SELECT *, CASE WHEN trigger NOT IN (SELECT trigger FROM rules) THEN 'TRIGGER_UNKNOWN' WHEN subject IS NULL OR object IS NULL THEN 'ENDPOINT_UNAVAILABLE' WHEN length(subject) < 4 THEN 'ENDPOINT_MENTION_ONLY'
+    WHEN p1 IS NULL AND p2 IS NULL THEN 'SIGNATURE_MISMATCH' ELSE 'ACCEPTED' END AS reason, passive <> (p1 IS NULL) AS swap, coalesce(s1, s2) AS sym FROM m
+),
+o AS (SELECT *, CASE WHEN swap THEN object ELSE subject END AS a, CASE WHEN swap THEN subject ELSE object END AS b, reason = 'ACCEPTED' AS ok FROM j),
+d AS (SELECT candidate, CASE WHEN ok THEN 'FACT' ELSE 'REJECT' END AS decision, reason, CASE WHEN ok THEN coalesce(p1, p2) END AS predicate, CASE WHEN ok THEN CASE WHEN sym THEN least(a, b) ELSE a END END AS subject,
+      CASE WHEN ok THEN CASE WHEN sym THEN greatest(a, b) ELSE b END END AS object, CASE WHEN ok THEN 'asserted' END AS certainty FROM o)
+SELECT *, CASE WHEN decision = 'FACT' THEN 'fact_' || sha256('{{"o":"' || object || '","p":"' || predicate || '","q":"asserted","s":"' || subject || '"}}') END AS fact_id FROM d
+"""
+
+
+def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document a name-based id, its first year and the lookup form of its first line."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", uuid5("00000000-0000-0000-0000-000000000000", F.concat(F.lit("documents:"), "doc_id")).alias("point"), first_year(text).alias("year"), lookup_form(F.substring_index(text, "\n", 1)).alias("form"))
+
+
+DOCUMENT_FORMS = r"""
+WITH s AS (SELECT doc_id, text, sha1(unhex(repeat('00', 16)) || ('documents:' || doc_id)::BLOB) AS x FROM documents)
+SELECT doc_id, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || lower(printf('%02x', (('0x' || x[17:18])::INT & 63) | 128)) || x[19:20] || '-' || x[21:32] AS point,
+       nullif(regexp_extract(' ' || coalesce(text, '') || ' ', '[^0-9A-Za-z]([12][0-9]{3})[^0-9A-Za-z]', 1), '')::INT AS year,
+       regexp_replace(trim(regexp_replace(regexp_replace(lower(string_split(coalesce(text, ''), chr(10))[1]), '[-_/]', ' ', 'g'), '\s+', ' ', 'g')), '^(?:the|a|an) ', '') AS form
+FROM s
+"""
+
+
+def document_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lines of one kind in every document."""
+    return regions(table(spark, sf_dir, "documents"))

@@ -22,6 +22,9 @@ from gneiss.operators.graph import conflicts, endpoints, hop
 from gneiss.operators.lexical import lexical_hits
 from gneiss.operators.nearest import array_vectors, hashed, nearest
 from gneiss.operators.ranking import fuse_first, fuse_hits, mmr, top_per
+from gneiss.functions import values as V
+from gneiss.operators.rules import compiled, passive
+from gneiss.operators.structure import headings, projected, regions
 from gneiss.plans import state
 from gneiss.sources.files import materialized, read_files
 from gneiss.sources.html import text_of
@@ -316,6 +319,53 @@ def test_manifests_and_gaps(spark):
     assert rows(K.stage_gaps(runs, ["x", "y"])) == [(1, "READY", None, 2), (2, "GAP", "y", 1), (3, "FAILED", "x", 0), (4, "GAP", "x", 1)]
 
 
+def test_regions_and_headings(spark):
+    text = "# One #\n\nSome prose\nmore\n- a\n- b\n\n```\n# no heading\n- no list\n```\n| x | y |\n| - | - |\nTwo\n---\nlast"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "## A\n## B\n\n\n~~~\nopen")], "doc_id long, text string")
+    got = [(r.doc_id, r.kind, text[r.start : r.end] if r.doc_id == 1 else None) for r in regions(df).orderBy("doc_id", "region").collect()]
+    assert got == [
+        (1, "heading", "# One #"), (1, "prose", "Some prose\nmore"), (1, "list", "- a\n- b"), (1, "code", "```\n# no heading\n- no list\n```"), (1, "table", "| x | y |\n| - | - |"),
+        (1, "heading", "Two\n---"), (1, "prose", "last"), (3, "heading", None), (3, "heading", None), (3, "code", None),
+    ]
+    assert [(r.doc_id, r.level, r.title) for r in headings(df).orderBy("doc_id", "start").collect()] == [(1, 1, "One"), (1, 2, "Two"), (3, 2, "A"), (3, 2, "B")]
+    parts = spark.createDataFrame([(1, "p", 10, 3000), (1, "q", 3000, 3100)], "doc_id long, kind string, start int, end int")
+    windows = spark.createDataFrame([(1, 0, 0, 20), (1, 1, 2900, 3050), (1, 2, 4000, 4100)], "doc_id long, window int, start int, end int")
+    assert rows(projected(parts, windows)) == [(1, 0, "p", 10, 20), (1, 1, "p", 0, 100), (1, 1, "q", 100, 150)]
+
+
+def test_value_forms(spark):
+    import uuid
+
+    names = ["", "a", "documents:7", "é"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(V.uuid5(str(uuid.NAMESPACE_DNS), F.col("n"))).collect()] == [str(uuid.uuid5(uuid.NAMESPACE_DNS, n)) for n in names]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(V.first_year(F.lit(t))) for t in ("in 1998, 2001", "x1998 21998", "")] == [1998, None, None]
+    arr = lambda *v: F.array(*map(F.lit, v))
+    assert [one(V.subsequence(arr(*a), arr("x", "y", "x", "z"))) for a in (("x", "z"), ("y", "x"), ("z", "x"), ("x", "x", "x"))] == [True, True, False, False]
+    assert one(V.pair_key(F.lit("b"), F.lit("a"))) == one(V.pair_key(F.lit("a"), F.lit("b"))) == "a|b"
+    assert one(V.has_key(F.lit('{"a": null}'), "a")) and not one(V.has_key(F.lit("{}"), "a")) and not one(V.has_key(F.lit(None).cast("string"), "a"))
+    assert one(V.merged_json(F.lit('{"b": "1", "a": "1"}'), F.lit('{"b": "2"}'))) == '{"a":"1","b":"2"}' and one(V.merged_json(F.lit(None).cast("string"), F.lit('{"b": "2"}'))) == '{"b":"2"}'
+    assert one(V.lookup_form(F.lit(" The re-use_of  X"))) == "re use of x"
+
+
+def test_rules_gate_in_order(spark):
+    pack = spark.createDataFrame([("uses", "use", "Org", "Tech", False), ("near", "near", "Org", "Org", True)], "predicate string, trigger string, subject_type string, object_type string, symmetric boolean")
+    cases = [
+        ("a", "use", "Acme", "Org", "Envoy", "Tech", "ASSERTED", False, "since 1999", None, None), ("b", "use", "Envoy", "Tech", "Acme", "Org", "ASSERTED", True, "", None, None),
+        ("c", "use", "Envoy", "Tech", "Acme", "Org", "SPECULATIVE", False, None, None, None), ("d", "near", "Zeta", "Org", "Acme", "Org", "ASSERTED", False, "", None, None),
+        ("e", "use", "Acme", "Org", "Zeta", "Org", "ASSERTED", False, "", None, None), ("f", "use", "Acme", "Org", "Envoy", "Tech", "REJECT_NEGATED", False, "", None, None),
+        ("g", "sell", "Acme", "Org", "Envoy", "Tech", "ASSERTED", False, "", None, None), ("h", "use", None, None, "Envoy", "Tech", "ASSERTED", False, "", None, None),
+        ("i", "use", "it", "Org", "Envoy", "Tech", "ASSERTED", False, "", "MENTION_ONLY", None),
+    ]
+    df = spark.createDataFrame(cases, "candidate string, trigger string, subject string, subject_type string, object string, object_type string, modality string, passive boolean, sentence string, subject_class string, object_class string")
+    got = {r.candidate: r for r in compiled(df, pack).collect()}
+    assert len(got) == 9 and {k: r.reason for k, r in got.items()} == {"a": "ACCEPTED", "b": "ACCEPTED", "c": "ACCEPTED", "d": "ACCEPTED", "e": "SIGNATURE_MISMATCH", "f": "REJECT_NEGATED", "g": "TRIGGER_UNKNOWN", "h": "ENDPOINT_UNAVAILABLE", "i": "ENDPOINT_MENTION_ONLY"}
+    assert [(got[k].subject, got[k].object) for k in "abcd"] == [("Acme", "Envoy")] * 3 + [("Acme", "Zeta")]
+    assert got["a"].fact_id == got["b"].fact_id != got["c"].fact_id and got["a"].year == 1999 and got["c"].certainty == "speculative" and got["e"].fact_id is None
+    assert spark.createDataFrame([("It is widely used by Acme",), ("Acme uses it",)], "s string").where(passive(F.col("s"))).count() == 1
+
+
 def test_files_of_all_formats(spark, tmp_path):
     def archive(name, members):
         with zipfile.ZipFile(tmp_path / name, "w") as z:
