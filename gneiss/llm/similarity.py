@@ -8,6 +8,7 @@ sixteenth of the smaller set, and 5 at least. The boundary size is the one of le
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -15,7 +16,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +28,11 @@ WORDS, NUM, DEN, MOST_LIGHT = 5, 80, 100, 16
 #: Shingles of a task counted at once; how often one must be among them to be reported; the count from which it is frequent; the most
 #: frequent ones that go to every task (16 MB). Frequency only orders a set's shingles: any order gives the same links.
 COUNTED, LOCAL, FREQUENT, MOST_FREQUENT = 3_000_000, 6, 24, 1_000_000
-#: List entries that linked sets share at least, and the part of the smaller set that they are; text bytes per bucket of inverted lists, and the most buckets; one in so many keys
+#: List entries that linked sets share at least, and the part of the smaller set that they are; text bytes per bucket of inverted lists, and the most buckets of that size; one in so many keys
 #: serves to find each set's first comparison.
 SHARED, PART, BUCKET_BYTES, MOST_BUCKETS, FIRST_KEYS = 5, 16, 1 << 20, 200_000, 8
+#: Rounds of joining at most; sets that a list offers in a round; which part of the links of the best round is few; members of a long list's pieces. Text bytes per bucket where there would be more than MOST_BUCKETS.
+MOST_ROUNDS, CENTRES, FEW, LIST_PIECE, LARGE_BUCKET = 12, 4, 32, 400, 1 << 24
 #: 64-bit words of a set's parity sketch; at most so many rows with one are broadcast (20 MB).
 SKETCH, BROADCAST_SKETCHES = 8, 150_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -262,13 +265,71 @@ def _shared_sizes(contents: DataFrame) -> DataFrame:
     return each.join(more, "h", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
 
 
+#: What a list says of a member.
+MEMBER = ("id", "n", "shared", "sketch")
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """In how many bits two members' sketches differ: they differ in at least as many shingles."""
+    return sum((F.bit_count(F.get(x["sketch"], F.lit(i)).bitwiseXOR(F.get(y["sketch"], F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+
+
+def _possible(x: Column, y: Column, light: int) -> Column:
+    """May two members be linked, by their sizes, by what each shares with any other set, and by their sketches?"""
+    n, m, bits = x["n"], y["n"], _differing(x, y)
+    by_size = (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (F.greatest(n, m) > light)
+    return by_size & (F.least(x["shared"], y["shared"]) * (NUM + DEN) >= (n + m) * NUM) & ((n + m - bits) * (NUM + DEN) >= (n + m) * 2 * NUM)
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The lists whose members are of several parts."""
+    several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    return placed.join(sized(written(several)), "key", "left_semi")
+
+
+def _joined_in_rounds(lists: DataFrame, contents: DataFrame, light: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join parts of the lists (key, id, n, part, shared, sketch), and the lists with the parts that are left.
+
+    In each round every list offers a few centres, one of its largest part and others drawn anew, to its members of other parts. A
+    member is compared with the offered set whose sketch is nearest to its own: as many comparisons as there are members, however
+    long the lists. Rounds end when one finds few links; they spare comparisons and decide nothing.
+    """
+    member, found, tried, most = F.struct(*MEMBER), [], None, 0
+    for number in range(MOST_ROUNDS):
+        drawn = [F.xxhash64("id", F.lit(number * CENTRES + i)) for i in range(CENTRES)]
+        at = F.struct(member.alias("centre"), F.col("part").alias("other"))
+        by_part = lists.groupBy("key", "part").agg(F.count("*").alias("k"), *(F.min_by(at, h).alias(f"c{i}") for i, h in enumerate(drawn)), *(F.min(h).alias(f"h{i}") for i, h in enumerate(drawn)))
+        centres = by_part.groupBy("key").agg(F.array(F.max_by("c0", F.struct("k", "part")), *(F.min_by(f"c{i}", f"h{i}") for i in range(1, CENTRES))).alias("of"))
+        met = lists.join(centres.select("key", F.explode("of").alias("of")), "key").where((F.col("part") != F.col("of.other")) & _possible(member, F.col("of.centre"), light))
+        pairs = met.select(F.col("id").alias("a"), F.col("of.centre.id").alias("b"), "part", F.col("of.other").alias("other"), (_differing(member, F.col("of.centre")) / (F.col("n") + F.col("of.centre.n"))).alias("far"))
+        pairs = pairs.dropDuplicates(["a", "b"]) if tried is None else pairs.dropDuplicates(["a", "b"]).join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs.groupBy("a").agg(F.min_by(F.struct("b", "part", "other"), F.struct("far", "b")).alias("of")).select("a", "of.*"))
+        new = written(_linked(pairs.select("a", "b"), contents))
+        found.append(new)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        size = new.count()
+        most = max(most, size)
+        if size * FEW <= most:
+            break
+        # a part takes the name of the least part it is linked to: equal names stay in one component, and the next rounds join what this leaves apart
+        ends = pairs.join(new, ["a", "b"]).select(F.explode(F.array(F.struct("part", "other"), F.struct(F.col("other").alias("part"), F.col("part").alias("other")))).alias("e")).select("e.*")
+        names = sized(written(ends.where("other < part").groupBy("part").agg(F.min("other").alias("name"))))
+        for _ in range(2):
+            names = sized(written(names.join(names.select(F.col("part").alias("name"), F.col("name").alias("least")), "name", "left").select("part", F.coalesce("least", "name").alias("name"))))
+        lists = lists.join(names, "part", "left").select("key", *MEMBER, F.coalesce("name", "part").alias("part"))
+        lists = written(_mixed(written(lists)))
+    empty = lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    return functools.reduce(DataFrame.unionByName, found, empty), lists
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles, component_id for every row.
 
     1. Every whole text becomes a set; equal sets are one class, for which its smallest doc_id stands.
     2. Classes meet by shared subsets or list entries. First each meets one other, the one it shares most of some keys with, which joins groups
-       of near copies by as many comparisons as they have members. Then, in every list that still holds more than one
-       component, all pairs across components that share enough entries are compared, so that no link between components is missed.
+       of near copies by as many comparisons as they have members; more such rounds, over lists that still hold more than one component,
+       join what is left of them. Last, in every list that holds several components even then, all pairs across components that share
+       enough entries are compared, so that no link between components is missed.
     3. Components of the links found are those of all links, since what isn't compared is in one component already.
 
     Texts without words have 0 shingles and are linked with nothing, a null text too; rows with a null doc_id come back with
@@ -284,7 +345,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     squares = profile.where(f"uses >= {FREQUENT}").agg(F.sum(F.col("uses").cast("double") * F.col("uses")).alias("s")).first().s or 0.0
     sizes = {r.n: r["count"] for r in classes.where(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}
     light = boundary(sizes, squares / total)
-    buckets = max(1, min(MOST_BUCKETS, total_bytes(docs) // BUCKET_BYTES))
+    size = total_bytes(docs)
+    buckets = max(1, min(MOST_BUCKETS, size // BUCKET_BYTES), size // LARGE_BUCKET)
 
     copies = known.join(classes.where("copies > 1").select("set", "root"), "set").where("doc_id <> root").select("doc_id").distinct()
     copies = sized(written(copies.join(classes.select(F.col("root").alias("doc_id")), "doc_id", "left_anti")))
@@ -308,8 +370,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     joined = sized(written(components(links)))
     placed = lists.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    open_lists = written(placed.join(sized(written(mixed)), "key", "left_semi"))
+    open_lists = written(_mixed(placed))
 
     # and takes shingles that another open set has for nearly all of the set
     strong = written(open_lists.groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= F.least(entries(most), most)).select("id", "n").distinct())
@@ -318,21 +379,23 @@ def similar_components(docs: DataFrame) -> DataFrame:
         able = written(_shared_sizes(contents).join(strong, "id").where(F.col("shared") >= most).select("id", "shared"))
         contents = contents.join(sized(able.select("id").distinct()), "id", "left_semi")
     able = written(able.join(contents.select("id", "sketch"), "id"))
-    open_lists = written(open_lists.join(sized(able, BROADCAST_SKETCHES), "id"))
-    main = open_lists.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
-    x, y = open_lists.join(main, "key").where("part <> main").alias("x"), open_lists.alias("y")
+    open_lists = written(_mixed(open_lists.join(sized(able, BROADCAST_SKETCHES), "id")))
+    found, open_lists = _joined_in_rounds(open_lists, contents, light)
+
+    sizes = open_lists.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.ceil(F.sum("k") / F.lit(LIST_PIECE)).cast("int").alias("pieces"))
+    sized_lists = open_lists.join(sizes, "key")
+    # long lists are split: a piece of one side meets the whole of the other
+    x = sized_lists.where("part <> main").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).alias("x")
+    y = sized_lists.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     # pairs of two small parts are met from both sides
     once = (F.col("y.part") == F.col("x.main")) | (F.col("x.id") < F.col("y.id"))
-    possible = fits(n, m) & (F.greatest(n, m) > light) & (F.least("x.shared", "y.shared") * (NUM + DEN) >= (n + m) * NUM)
-    # and so are pairs whose sketches differ in more bits than linked sets differ in shingles
-    bits = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    possible &= (n + m - bits) * (NUM + DEN) >= (n + m) * 2 * NUM
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & once & possible)
+    possible = _possible(*(F.struct(*(F.col(f"{side}.{c}") for c in MEMBER)) for side in "xy"), light)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.piece") == F.col("y.piece")) & (F.col("x.part") != F.col("y.part")) & once & possible)
     enough = F.least(entries(n), entries(m), F.ceil((n + m) * NUM / F.lit(NUM + DEN)))
     counted = across.groupBy(F.least("x.id", "y.id").alias("b"), F.greatest("x.id", "y.id").alias("a"), enough.alias("enough")).agg(F.count("*").alias("k"))
     rest = written(counted.where("k >= enough").select("a", "b").join(first_pairs, ["a", "b"], "left_anti"))
-    joined = components(links.unionByName(_linked(rest, contents))).withColumnRenamed("node", "root")
+    joined = components(links.unionByName(found).unionByName(_linked(rest, contents))).withColumnRenamed("node", "root")
 
     named = classes.select("set", "root").join(sized(written(joined)), "root").select("set", F.col("component").alias("component_id"))
     alone = classes.where("copies > 1").join(joined, "root", "left_anti").select("set", F.col("root").alias("component_id"))
