@@ -162,7 +162,8 @@ def word_encoder(tokenizer_file: str, most_cached: int = 800_000) -> Callable[[l
     added = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
     beyond = re.compile(rb"[\xC4-\xFF]")
     number: dict[str, int] = {}
-    pool, lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    # ids of all words one after another, with room to grow, and where each word's begin
+    pool, starts = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
 
     def plain(text: bytes) -> bytes:
         if not lowers or beyond.search(text):
@@ -171,7 +172,7 @@ def word_encoder(tokenizer_file: str, most_cached: int = 800_000) -> Callable[[l
         return text if any(t in low for t in added) else low
 
     def encode(texts: list[bytes]) -> list[np.ndarray]:
-        nonlocal pool, lengths
+        nonlocal pool, starts
         if not texts:
             return []
         split = pc.ascii_split_whitespace(pa.array([plain(t) for t in texts], pa.large_binary()).cast(pa.large_string()))
@@ -179,14 +180,17 @@ def word_encoder(tokenizer_file: str, most_cached: int = 800_000) -> Callable[[l
         names = words.dictionary.to_pylist()
         if len(number) > most_cached:
             number.clear()
-            pool, lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            starts = starts[:1]
         if new := [w for w in names if w not in number]:
             ids = [x.ids for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             number.update(zip(new, range(len(number), len(number) + len(new))))
-            lengths = np.concatenate([lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
-            pool = np.concatenate([pool, np.fromiter(chain.from_iterable(ids), np.uint32)])
+            used, flat = int(starts[-1]), np.fromiter(chain.from_iterable(ids), np.uint32)
+            starts = np.concatenate([starts, used + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+            if used + len(flat) > len(pool):
+                pool = np.concatenate([pool, np.zeros(max(len(pool), len(flat)), np.uint32)])
+            pool[used : used + len(flat)] = flat
         at = np.fromiter(map(number.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
-        n, starts = lengths[at], np.cumsum(lengths) - lengths
+        n = starts[at + 1] - starts[at]
         ends = np.concatenate([[0], np.cumsum(n)])
         flat = pool[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
         return np.split(flat, ends[np.cumsum(split.value_lengths().to_numpy())[:-1]])

@@ -50,13 +50,19 @@ def encode_pgm(pixels: np.ndarray) -> bytes:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 8 (gray or palette), 24 or 32 bits to an array of height x width (x 3, RGB)."""
+    """Uncompressed BMP of 8 (gray or palette), 16, 24 or 32 bits, also with bit masks, to an array of height x width (x 3, RGB). Others (1 or 4 bits, run lengths) raise ValueError."""
     (start,), (width, height, _, bits, packed) = struct.unpack_from("<I", data, 10), struct.unpack_from("<iiHHI", data, 18)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if packed not in (0, 3) or bits not in (8, 16, 24, 32) or packed == 3 and bits not in (16, 32):
         raise ValueError(f"BMP with {bits} bits and compression {packed}")
     row = (width * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)
     rows = rows[::-1] if height > 0 else rows
+    if bits == 16 or packed == 3:
+        # masks stand behind the first 40 bytes of the header; without them 16 bits are 5 a colour
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        values = rows[:, : width * bits // 8].copy().view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        low = [(m & -m).bit_length() - 1 for m in masks]
+        return np.stack([((values & m) >> s) * 255 // max(1, m >> s) for m, s in zip(masks, (max(0, s) for s in low))], axis=2).astype(np.uint8)
     if bits > 8:
         return rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1].copy()
     header = struct.unpack_from("<I", data, 14)[0]
@@ -94,9 +100,9 @@ def difference_hash(pixels: np.ndarray, side: int = HASH_SIDE) -> str:
 
 
 def npy_tile(pixels: np.ndarray, side: int = TILE) -> bytes:
-    """The image resized to side x side samples of 8 bits, as an NPY file."""
+    """The image resized to side x side samples of its own type (8 or 16 bits), as an NPY file."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(pixels, side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(area_resize(pixels, side, side)), 0, np.iinfo(pixels.dtype).max).astype(pixels.dtype), allow_pickle=False)
     return out.getvalue()
 
 

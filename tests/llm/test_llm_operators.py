@@ -1,8 +1,11 @@
 """Each operator against a plain version, and nulls, empties, ties, clashing names and empty tables."""
 
 import functools
+import hashlib
+import io
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -14,15 +17,16 @@ from pyspark.sql import functions as F
 from gneiss.llm import lattice as L
 from gneiss.llm.direct_codes import Codes, pack as pack_ids, read_codes, word_encoder, write_codes
 from gneiss.llm.line_chunks import remove_repeated_chunks
-from gneiss.llm.media import area_resize, as_media, decode, difference_hash, encode_pgm, tiles
-from gneiss.llm.packing import best_bounds, pack
+from gneiss.llm.media import area_resize, as_media, decode, difference_hash, encode_pgm, npy_tile, tiles
+from gneiss.llm.packing import BUCKETS, BUDGET, best_bounds, pack
 from gneiss.llm.phrase_index import benchmark_hits, words_of
 from gneiss.llm.quality import score_quality
+from gneiss.llm.queries_python import op2_packing, op7_media_columns, op8_quality_classifier
 from gneiss.llm.secrets import BASE, findings, scan_unseen, update_ledger
 from gneiss.llm.shards import byte_shards
 from gneiss.llm.similarity import boundary, overlap, parity_sketch, similar_components, subset_sizes
 
-DOCS = "doc_id long, text string"
+DOCS, SF_DIR = "doc_id long, text string", "/root/testdata/sf0.001"
 
 
 def frame(spark, rows, schema=DOCS):
@@ -144,6 +148,13 @@ def test_batches_keep_the_budget(spark, none):
     long = [(i, n) for i, n in enumerate([70_001, 70_003, 70_003, 90_000, 5, 5, 7, 200_001])]
     padding = [r.padding for r in pack(spark.createDataFrame(long, "doc_id long, n_tokens long"), buckets=4).collect()]
     assert sum(padding) == 2 + 2 + 2  # 5, 5 to 7 and 70001 to 70003
+    docs = {r.doc_id: len((r.text or "").encode().split()) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    packed = op2_packing(spark, SF_DIR).collect()
+    bounds = best_bounds(sorted(set(docs.values())), [n for _, n in sorted(Counter(docs.values()).items())], BUCKETS)
+    assert {r.doc_id: (r.n_tokens, r.bucket_tokens) for r in packed} == {d: (n, min(b for b in bounds if b >= n)) for d, n in docs.items()}
+    places = sorted((r.bucket, r.batch, r.batch_slot) for r in packed)
+    size = {r.bucket: max(1, BUDGET // max(1, r.bucket_tokens)) for r in packed}
+    assert places == [(b, i // size[b], i % size[b]) for b in sorted(size) for i in range(sum(r.bucket == b for r in packed))]
     assert pack(spark.createDataFrame([(1, None), (None, 5), (None, 5)], "doc_id long, n_tokens long")).count() == 3
 
 
@@ -313,18 +324,46 @@ def test_media_decode_and_resize(spark, odd, none):
     header = b"BM" + (54 + len(row)).to_bytes(4, "little") + b"\0" * 4 + (54).to_bytes(4, "little")
     info = (40).to_bytes(4, "little") + (7).to_bytes(4, "little") + (5).to_bytes(4, "little") + b"\x01\0\x18\0" + b"\0" * 24
     assert (decode(header + info + row) == rgb).all()
+    masked = np.array([[0x00FF8000, 0x000000FF]], "<u4")
+    fields = info[:4] + (2).to_bytes(4, "little") + (1).to_bytes(4, "little") + b"\x01\0\x20\0" + (3).to_bytes(4, "little") + info[20:]
+    head = header[:10] + (66).to_bytes(4, "little")
+    assert decode(head + fields + struct.pack("<III", 0xFF, 0xFF00, 0xFF0000) + masked.tobytes()).tolist() == [[[0, 128, 255], [255, 0, 0]]]
+    deep = np.random.default_rng(3).integers(0, 65536, (32, 32)).astype(np.uint16)
+    tile = np.load(io.BytesIO(npy_tile(decode(b"P5 32 32 65535\n" + deep.astype(">u2").tobytes()))))
+    assert tile.dtype == np.uint16 and (tile == np.rint(deep.reshape(16, 2, 16, 2).mean(axis=(1, 3)))).all()
     big = np.kron(gray, np.ones((12, 16)))
     assert np.allclose(area_resize(big, 5, 7), gray) and area_resize(gray, 2, 3).mean() == pytest.approx(gray.mean())
     assert difference_hash(np.tile(np.arange(18), (16, 1))) == "ff" * 8
     got = tiles(as_media(odd)).collect()
     assert len(got) == 8 and all(r.error is None and len(r.pixels) % 576 == 0 and len(r.pixels) >= 576 for r in got)
+    clash = odd.withColumn("tile", F.lit("mine")).withColumn("media", F.lit(1))
+    assert tiles(as_media(clash)).columns.count("tile") == 1 and tiles(as_media(clash)).count() == 8
     broken = tiles(frame(spark, [(1, bytearray(b"P5 2 2 255\n")), (2, None)], "media_id long, media binary")).collect()
     assert all(r.error and r.pixels is None for r in broken) and tiles(as_media(none)).count() == 0
 
 
+def test_media_query_keeps_every_byte(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op7_media_columns(spark, SF_DIR).collect()}
+    assert got.keys() == texts.keys()
+    for d, raw in texts.items():
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        stored = b"P5\n24 %d\n255\n" % (len(payload) // 24) + payload
+        r, hexed = got[d], lambda x: hashlib.sha256(x).hexdigest()
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hexed(payload), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hexed(stored)) and r.feature.split(":")[0] == difference_hash(np.frombuffer(payload, np.uint8).reshape(-1, 24))
+
+
 # quality
 
 
+def test_held_out_labels(spark):
+    got = {r.doc_id: r for r in op8_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for d, r in got.items())
+    assert np.mean([got[r.doc_id].predicted == r.quality for r in labels if got[r.doc_id].held_out]) > 0.94
+
+
 def test_quality_separates_held_out(spark, odd, none):
     r = random.Random(9)
     words = "the of river stone is and with over light from many".split()

@@ -98,3 +98,23 @@ def test_run_packs_what_is_left(spark, kept):
     packed = [(r.doc_id, r.n_tokens) for r in kept["pack"]]
     assert sorted(packed) == sorted((r.doc_id, r.n_tokens) for r in P.run(spark, SF_DIR).collect())
     assert sorted(d for d, _ in packed) == sorted(texts(kept["decontaminate"]))
+
+
+def test_stages_decide_by_row(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    same, other = " ".join(f"word{i}" for i in range(40)), " ".join(f"other{i}" for i in range(40))
+    leak = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first().text
+    rows = [(None, same), (None, same), (None, None), (1, same), (1, other), (1, other), (2, ""), (3, leak), (3, same), (None, leak), (4, "\n".join([other] * 2))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], names).repartition(3)
+    stages = dict(P.STAGES)
+    left = sorted(((r.doc_id, r.text) for r in stages["decontaminate"](spark, docs, SF_DIR).collect()), key=str)
+    assert left == sorted((x for x in rows if x[1] != leak), key=str)
+    left = [(r.doc_id, r.text) for r in stages["similar"](spark, docs, SF_DIR).collect()]
+    texts = [t for _, t in left]
+    assert texts.count(same) == 1 and texts.count(leak) == 1 and texts.count("") == 1 and texts.count(None) == 1 and (1, same) in left and (3, leak) in left
+    assert stages["pack"](spark, docs, SF_DIR).count() == len(rows)
+    assert stages["line_dedup"](spark, docs, SF_DIR).where("text IS NULL").count() == 1
+    none = docs.limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, none, SF_DIR).count() == 0
+    assert P.STAGES[0][1](spark, docs, SF_DIR).columns == docs.columns
