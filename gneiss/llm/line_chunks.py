@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .components import numbered
 
 #: One boundary in so many lines; a chunk of fewer lines than this goes only as part of a passage.
 SPACING, LEAST_LINES = 4, 2
@@ -45,9 +46,26 @@ def _lines(text: Column) -> Column:
     return F.filter(every, lambda x: x["words"] > 0)
 
 
-def _run(text: Column, first: Column, last: Column) -> Column:
+def _run(lines: Column, first: Column, last: Column) -> Column:
     """The lines from first to last that are not blank, as one string."""
-    return F.array_join(F.filter(F.slice(F.split(F.coalesce(text, F.lit("")), "\n", -1), first + 1, last - first + 1), lambda x: F.rlike(x, F.lit(r"\S"))), "\n")
+    return F.array_join(F.filter(F.slice(lines, first + 1, last - first + 1), lambda x: F.rlike(x, F.lit(r"\S"))), "\n")
+
+
+def _count(chunk: Column) -> Column:
+    """A chunk's lines."""
+    return F.length(chunk) - F.length(F.replace(chunk, F.lit("\n"), F.lit(""))) + 1
+
+
+def _once(values: dict[str, Column], use) -> Column:
+    """use(a struct of the values), each evaluated once a row: a column named in a lambda would be evaluated for every element."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), use), F.lit(0))
+
+
+def _parsed(spacing: int, use) -> Column:
+    """use(a struct of the text's lines, its chunks and, for each line, the number of its chunk)."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    of = lambda s: F.flatten(F.transform(s["chunks"], lambda c, k: F.array_repeat(k, _count(c["chunk"]))))
+    return _once({"lines": lines, "chunks": _chunks(F.col("text"), spacing)}, lambda s: _once({"lines": s["lines"], "chunks": s["chunks"], "of": of(s)}, use))
 
 
 def _later_passages(lines: DataFrame) -> DataFrame:
@@ -94,13 +112,11 @@ def remove_repeated_chunks(docs: DataFrame, spacing: int = SPACING, least: int =
     null doc_id or repeated ids, and repeated rows, are handled by row (each row gets an own key, and of a null id the first row stays whole). Blank chunks stay.
     """
     docs = docs.drop("chunks_removed")
-    # a row's number is fixed by writing it
-    keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()))
-    count = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1
+    keyed = numbered(docs, "__key")
     none = F.lit(None).cast("int")
     parts = F.concat(
         F.transform(
-            F.filter(_chunks(F.col("text"), spacing), lambda c: (count(c["chunk"]) >= least) & F.rlike(c["chunk"], F.lit(r"\S"))),
+            F.filter(_chunks(F.col("text"), spacing), lambda c: (_count(c["chunk"]) >= least) & F.rlike(c["chunk"], F.lit(r"\S"))),
             lambda c: F.struct(c["line"].alias("pos"), line_hash(c["chunk"]).alias("hash"), none.alias("words"), none.alias("idx")),
         ),
         F.transform(_lines(F.col("text")), lambda x, i: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), x["words"].alias("words"), i.alias("idx"))),
@@ -119,29 +135,35 @@ def remove_repeated_chunks(docs: DataFrame, spacing: int = SPACING, least: int =
     places = written(later.select(*place).distinct())
     wanted = places.groupBy(F.col("first_key").alias("__key")).agg(F.collect_list(F.struct("first_start", "first_stop")).alias("__wanted"))
     wanted = F.broadcast(wanted) if places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
-    held = keyed.join(wanted, "__key").select("__key", "__wanted", "text", _chunks(F.col("text"), spacing).alias("__chunks"))
-    chunk_at = lambda w: F.get(F.filter("__chunks", lambda c: c["line"] == w["first_start"]), F.lit(0))["chunk"]
-    firsts = held.select(F.col("__key").alias("first_key"), F.explode(F.transform("__wanted", lambda w: F.struct(w["first_start"].alias("first_start"), w["first_stop"].alias("first_stop"), F.when(w["first_stop"].isNull(), chunk_at(w)).otherwise(_run(F.col("text"), w["first_start"], w["first_stop"])).alias("first_text")))).alias("f")).select("first_key", "f.*")
+    held = keyed.join(wanted, "__key").select("__key", "__wanted", "text")
+    chunk_at = lambda s, at: F.get(s["chunks"], F.get(s["of"], at))
+    shown = lambda s, w: F.when(w["first_stop"].isNull(), chunk_at(s, w["first_start"])["chunk"]).otherwise(_run(s["lines"], w["first_start"], w["first_stop"]))
+    shown_all = _parsed(spacing, lambda s: F.transform("__wanted", lambda w: F.struct(w["first_start"].alias("first_start"), w["first_stop"].alias("first_stop"), shown(s, w).alias("first_text"))))
+    firsts = held.select(F.col("__key").alias("first_key"), F.explode(shown_all).alias("f")).select("first_key", "f.*")
     # a chunk has no stop
     none_as = lambda c: F.coalesce(F.col(c), F.lit(-1)).alias(c)
     firsts = firsts.select("first_key", "first_start", none_as("first_stop"), "first_text")
     edits = later.select("key", "start", "stop", "first_key", "first_start", none_as("first_stop")).join(firsts, place).groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "stop", "first_text")).alias("__edits"))
 
     touched = _sized(later.select(F.col("key").alias("__key")).distinct())
-    edited = keyed.join(touched, "__key", "left_semi").join(edits, "__key", "left").withColumn("__chunks", _chunks(F.col("text"), spacing))
-    cuts = F.filter("__edits", lambda e: e["stop"].isNotNull() & (_run(F.col("text"), e["start"], e["stop"]) == e["first_text"]))
-    edited = edited.withColumn("__whole", F.filter("__edits", lambda e: e["stop"].isNull())).withColumn("__cuts", F.transform(cuts, lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"))))
-    stay = F.transform(
-        "__chunks",
-        lambda c: F.when(F.exists("__whole", lambda e: (e["start"] == c["line"]) & (e["first_text"] == c["chunk"])), F.array().cast("array<string>")).otherwise(
-            F.filter(F.split(c["chunk"], "\n", -1), lambda x, i: ~F.exists("__cuts", lambda e: (c["line"] + i).between(e["start"], e["stop"])))
-        ),
-    )
-    edited = edited.withColumn("__stay", F.when(F.col("__edits").isNotNull(), stay))
-    lost = F.zip_with("__chunks", "__stay", lambda c, x: F.when(F.size(x) < count(c["chunk"]), 1).otherwise(0))
+    edited = keyed.join(touched, "__key", "left_semi").join(edits, "__key", "left")
+
+    def result(s: Column) -> Column:
+        """The text and the number of chunks that lost lines, from the lines that verified edits name."""
+        whole = lambda e: (chunk_at(s, e["start"])["line"] == e["start"]) & (chunk_at(s, e["start"])["chunk"] == e["first_text"])
+        same = F.filter("__edits", lambda e: F.when(e["stop"].isNull(), whole(e)).otherwise(_run(s["lines"], e["start"], e["stop"]) == e["first_text"]))
+        last = lambda e: F.coalesce(e["stop"], e["start"] + _count(e["first_text"]) - 1)
+        gone = F.array_distinct(F.flatten(F.transform(same, lambda e: F.sequence(e["start"], last(e)))))
+        kept = lambda g: F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), g)
+        return _once({"gone": gone}, lambda g: F.struct(
+            F.array_join(F.transform(kept(g["gone"]), lambda i: F.get(s["lines"], i)), "\n").alias("text"),
+            F.size(F.array_distinct(F.transform(g["gone"], lambda i: F.get(s["of"], i)))).alias("chunks_removed"),
+        ))
+
+    edited = edited.withColumn("__new", F.when(F.col("__edits").isNotNull(), _parsed(spacing, result)))
     edited = edited.select(
-        *(F.when(F.col("__stay").isNotNull(), F.array_join(F.flatten("__stay"), "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.when(F.col("__stay").isNotNull(), F.size(F.filter(lost, lambda x: x == 1))).otherwise(0).alias("chunks_removed"),
+        *(F.when(F.col("__new").isNotNull(), F.col("__new.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        F.coalesce("__new.chunks_removed", F.lit(0)).alias("chunks_removed"),
     )
     return keyed.join(touched, "__key", "left_anti").drop("__key").withColumn("chunks_removed", F.lit(0)).unionByName(edited)
 
