@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.common import table, written
-from gneiss.llm.components import sized
+from gneiss.llm.components import numbered, sized
 from gneiss.llm.line_chunks import remove_repeated_chunks
 from gneiss.llm.packing import pack, word_count
 from gneiss.llm.phrase_index import benchmark_hits
@@ -23,8 +23,8 @@ from gneiss.storage import shared_folder
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with a number __row for each row, fixed by writing them, and the same as doc_id (that number) and text."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    """docs with an own number __row for each row, and the same as doc_id (that number) and text."""
+    rows = numbered(docs)
     return rows, rows.select(F.col("__row").alias("doc_id"), "text")
 
 
