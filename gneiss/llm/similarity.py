@@ -31,8 +31,8 @@ COUNTED, LOCAL, FREQUENT, MOST_FREQUENT = 3_000_000, 6, 24, 1_000_000
 #: List entries that linked sets share at least, and the part of the smaller set that they are; text bytes per bucket of inverted lists, and the most buckets of that size; one in so many keys
 #: serves to find each set's first comparison.
 SHARED, PART, BUCKET_BYTES, MOST_BUCKETS, FIRST_KEYS = 5, 16, 1 << 20, 200_000, 8
-#: Rounds of joining at most; sets that a list offers in a round; which part of the links of the best round is few; members of a long list's pieces. Text bytes per bucket where there would be more than MOST_BUCKETS.
-MOST_ROUNDS, CENTRES, FEW, LIST_PIECE, LARGE_BUCKET = 12, 4, 32, 400, 1 << 24
+#: Rounds of joining at most; sets that a list offers in a round; which part of the links of the best round is few; how many pairs a member are few; members of a long list's pieces. Text bytes per bucket where there would be more than MOST_BUCKETS.
+MOST_ROUNDS, CENTRES, FEW, FEW_PAIRS, LIST_PIECE, LARGE_BUCKET = 12, 4, 32, 4, 400, 1 << 24
 #: 64-bit words of a set's parity sketch; at most so many rows with one are broadcast (20 MB).
 SKETCH, BROADCAST_SKETCHES = 8, 150_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -292,10 +292,14 @@ def _joined_in_rounds(lists: DataFrame, contents: DataFrame, light: int) -> tupl
 
     In each round every list offers a few centres, one of its largest part and others drawn anew, to its members of other parts. A
     member is compared with the offered set whose sketch is nearest to its own: as many comparisons as there are members, however
-    long the lists. Rounds end when one finds few links; they spare comparisons and decide nothing.
+    long the lists. Rounds end when the lists' pairs across parts are few for their members, or when one finds few links; they spare comparisons and decide nothing.
     """
     member, found, tried, most = F.struct(*MEMBER), [], None, 0
     for number in range(MOST_ROUNDS):
+        sizes = lists.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        work = sizes.agg(F.sum("n").alias("members"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+        if not work.members or work.pairs <= FEW_PAIRS * work.members:
+            break
         drawn = [F.xxhash64("id", F.lit(number * CENTRES + i)) for i in range(CENTRES)]
         at = F.struct(member.alias("centre"), F.col("part").alias("other"))
         by_part = lists.groupBy("key", "part").agg(F.count("*").alias("k"), *(F.min_by(at, h).alias(f"c{i}") for i, h in enumerate(drawn)), *(F.min(h).alias(f"h{i}") for i, h in enumerate(drawn)))
@@ -315,9 +319,9 @@ def _joined_in_rounds(lists: DataFrame, contents: DataFrame, light: int) -> tupl
         ends = pairs.join(new, ["a", "b"]).select(F.explode(F.array(F.struct("part", "other"), F.struct(F.col("other").alias("part"), F.col("part").alias("other")))).alias("e")).select("e.*")
         names = sized(written(ends.where("other < part").groupBy("part").agg(F.min("other").alias("name"))))
         for _ in range(2):
-            names = sized(written(names.join(names.select(F.col("part").alias("name"), F.col("name").alias("least")), "name", "left").select("part", F.coalesce("least", "name").alias("name"))))
-        lists = lists.join(names, "part", "left").select("key", *MEMBER, F.coalesce("name", "part").alias("part"))
-        lists = written(_mixed(written(lists)))
+            names = names.join(names.select(F.col("part").alias("name"), F.col("name").alias("least")), "name", "left").select("part", F.coalesce("least", "name").alias("name"))
+        lists = lists.join(sized(written(names)), "part", "left").select("key", *MEMBER, F.coalesce("name", "part").alias("part"))
+        lists = written(_mixed(lists))
     empty = lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     return functools.reduce(DataFrame.unionByName, found, empty), lists
 
