@@ -13,6 +13,7 @@ from .media import as_media, tiles
 from .packing import pack, word_count
 from .phrase_index import benchmark_hits
 from .quality import score_quality
+from .treap import ranked
 
 END_ID = 2
 
@@ -88,3 +89,25 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
     return scored.select("doc_id", (id_fold(F.col("doc_id"), LABEL_FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
+),
+q AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS t FROM benchmark
+),
+totals AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, m, t, count(*) AS tf FROM (SELECT doc_id, 50 + ((50 * len(w) * n) // l) AS m, unnest(w) AS t FROM d, totals WHERE len(w) > 0) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS wt FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), totals),
+scores AS (
+  SELECT item_id, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN tf USING (t) JOIN weight USING (t) GROUP BY item_id, doc_id
+),
+numbered AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM numbered WHERE rank <= 50
+"""
