@@ -19,7 +19,7 @@ from .direct_codes import Codes, pack
 from .phrase_index import item_blocks, words_of
 
 #: Postings of one segment at least (but for a task's last); words of items searched at once; document ranges expanded at once.
-SEGMENT_POSTINGS, BLOCK_WORDS, WAVE = 1_000_000, 50_000, 32
+SEGMENT_POSTINGS, BLOCK_WORDS, WAVE = 1_000_000, 50_000, 256
 #: Parts into which an item's candidates are ranked before they meet.
 SALTS = 32
 SCALE = 1_000_000_000
@@ -82,60 +82,69 @@ def build(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, height: int
 
 
 class Treap:
-    """One segment's quadtree, opened level by level."""
+    """One segment's quadtree, all levels opened into one array of cells. ranks: each column's place among equal scores."""
 
-    def __init__(self, masks: list[bytes], drops: list[bytes], top: int):
-        self.child: list[np.ndarray] = []
-        self.most = [np.array([top], np.int32)]
+    def __init__(self, masks: list[bytes], drops: list[bytes], top: int, ranks: np.ndarray):
+        self.height, self.ranks = len(masks), ranks
+        most, child, upto = [np.array([top], np.int32)], [], 1
         for mask, drop in zip(masks, drops):
-            cells = len(self.most[-1])
             packed = np.frombuffer(mask, np.uint8)
+            cells = len(most[-1])
             bits = np.unpackbits(np.stack([packed & 15, packed >> 4], 1).reshape(-1, 1)[:cells], axis=1, bitorder="little", count=4).astype(bool)
-            place = np.cumsum(bits.ravel(), dtype=np.int64) - 1
-            # one more cell, the empty one: its children are empty
-            child = np.full((cells + 1, 4), -1, np.int32)
-            child[:cells][bits] = place[bits.ravel()]
-            self.child.append(child)
-            self.most.append(np.repeat(self.most[-1], bits.sum(1)) - Codes(drop).all().astype(np.int32))
-        # the empty cell stands last, so that -1 names it
-        self.most = [np.append(m, np.int32(0)) for m in self.most]
-
-    def best(self, rows: np.ndarray, weights: np.ndarray, columns: int, limit: int, least: int) -> Iterator[tuple[int, int]]:
-        """(column, score) of the `limit` columns with the greatest sums of weight * value over the rows, the first of equal ones, and of others that were met; none below `least` or 1.
+            place = np.zeros((cells, 4), np.int32)
+            place[bits] = np.arange(upto, upto + int(bits.sum()), dtype=np.int32)
+            child.append(place)
+            most.append(np.repeat(most[-1], bits.sum(1)) - Codes(drop).all().astype(np.int32))
+            upto += len(most[-1])
+        # cell 0 is the empty one: its maximum is 0 and its children are empty; the root is cell 1
+        self.most = np.concatenate([np.zeros(1, np.int32), *most])
+        self.child = np.concatenate([np.zeros((1, 4), np.int32), *(c + (c > 0) for c in child)])
+
+    def best(self, rows: np.ndarray, weights: np.ndarray, limit: int, least: int) -> Iterator[tuple[int, int]]:
+        """(column, score) of the `limit` columns with the greatest sums of weight * value over the rows, the first by rank of equal ones, and of others that were met; none below `least` or 1.
 
         The rows' paths descend together: a state is a range of columns with each row's cell over it, and its bound the
         weighted sum of the cells' maxima. The ranges with the highest bounds are halved, WAVE of them at once, until
         no range left can hold a column that comes before the `limit`-th found.
         """
-        height = len(self.child)
-        heap = [(-int(weights.sum() * int(self.most[0][0])), 0, 0, 0, np.zeros(len(rows), np.int64))]
-        serial, found = count(1), []
-        least = (max(least, 1), -columns)
-        while heap and (-heap[0][0], -heap[0][1]) >= least:
-            wave: dict[int, list] = {}
+        height, columns = self.height, len(self.ranks)
+        cells, level, start = np.ones((1, len(rows)), np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        heap, found, least = [(-int(weights.sum() * int(self.most[1])), 0)], [], (max(least, 1), -columns)
+        used, steps = 1, np.arange(height + 1)
+        # the half of the rows in which each row's path goes on below each level
+        sides = (rows[None, :] >> np.maximum(height - 1 - steps, 0)[:, None] & 1) * 2
+        while heap and -heap[0][0] >= least[0]:
+            some = []
             for _ in range(min(WAVE, len(heap))):
-                # of equal bounds the range that begins first
-                state = heapq.heappop(heap)
-                if (-state[0], -state[1]) < least:
+                bound, i = heapq.heappop(heap)
+                if -bound < least[0]:
                     break
-                wave.setdefault(state[3], []).append(state)
-            for level, some in wave.items():
-                if level == height:
-                    for bound, column, *_ in some:
-                        if column < columns:
-                            yield column, -bound
-                            heapq.heappush(found, (-bound, -column))
-                            if len(found) > limit:
-                                heapq.heappop(found)
-                    least = max(least, found[0]) if len(found) == limit else least
+                first, deep = int(start[i]), int(level[i])
+                if -bound == least[0] and len(found) == limit and -int(self.ranks[first : first + (1 << (height - deep))].min()) <= least[1]:
                     continue
-                at = np.stack([s[4] for s in some])
-                side = (rows >> (height - 1 - level) & 1) * 2
-                for half in (0, 1):
-                    cells = self.child[level][at, side + half]
-                    bounds = self.most[level + 1][cells].astype(np.int64) @ weights
-                    for k in np.flatnonzero(bounds >= least[0]).tolist():
-                        heapq.heappush(heap, (-int(bounds[k]), some[k][1] + (half << (height - 1 - level)), next(serial), level + 1, cells[k]))
+                if deep < height:
+                    some.append(i)
+                    continue
+                yield first, -bound
+                heapq.heappush(found, (-bound, -int(self.ranks[first])))
+                if len(found) > limit:
+                    heapq.heappop(found)
+                least = max(least, found[0]) if len(found) == limit else least
+            if not some:
+                continue
+            deep = level[some]
+            both = self.child[cells[some][:, None, :], sides[deep][:, None, :] + np.array([0, 1])[:, None]]
+            bounds = self.most[both].astype(np.int64) @ weights
+            begins = start[some][:, None] + (np.array([0, 1]) << (height - 1 - deep)[:, None])
+            keep = (bounds >= least[0]) & (begins < columns)
+            new = int(keep.sum())
+            while used + new > len(level):
+                cells, level, start = np.concatenate([cells, np.empty_like(cells)]), np.tile(level, 2), np.tile(start, 2)
+            to = slice(used, used + new)
+            cells[to], start[to], level[to] = both[keep], begins[keep], np.broadcast_to(deep[:, None] + 1, keep.shape)[keep]
+            for i, bound in enumerate(bounds[keep].tolist(), used):
+                heapq.heappush(heap, (-bound, i))
+            used += new
 
 
 def impact(tf: np.ndarray, n: np.ndarray, documents: int, terms: int) -> np.ndarray:
@@ -154,10 +163,10 @@ def build_treaps(docs: DataFrame, documents: int, terms: int) -> DataFrame:
 
         def segment() -> pa.RecordBatch:
             term, tf = np.concatenate(held), np.concatenate(tfs).astype(np.int64)
-            # columns by doc_id, so that the first of equal scores comes first
-            by_id = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0))
+            # documents of like length have like impacts: side by side, their maxima are tight
+            by_size = np.argsort(np.array(sizes), kind="stable")
             column = np.empty(len(keys), np.int64)
-            column[by_id] = np.arange(len(keys))
+            column[by_size] = np.arange(len(keys))
             each = np.array([len(h) for h in held])
             df = np.bincount(term, minlength=len(number))
             order = np.argsort(-df, kind="stable")
@@ -166,7 +175,7 @@ def build_treaps(docs: DataFrame, documents: int, terms: int) -> DataFrame:
             height = max(1, int(max(len(order), len(keys)) - 1).bit_length())
             masks, drops, top = build(row[term], np.repeat(column, each), impact(tf, np.repeat(np.array(sizes, np.int64), each), documents, terms), height)
             words = list(number)
-            values = (next(serial), b"\n".join(words[i] for i in order), df[order].astype("<i4").tobytes(), height, masks, drops, top, [keys[i] for i in by_id])
+            values = (next(serial), b"\n".join(words[i] for i in order), df[order].astype("<i4").tobytes(), height, masks, drops, top, [keys[i] for i in by_size])
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, INDEX_ARROW)], schema=INDEX_ARROW)
 
         for batch in batches:
@@ -224,14 +233,16 @@ def search(index: DataFrame, items: list[list[tuple[bytes, int]]], limit: int) -
             for k in range(batch.num_rows):
                 terms, masks, drops, top, keys = (batch.column(c)[k].as_py() for c in ("terms", "masks", "drops", "top", "doc_ids"))
                 row = {w: i for i, w in enumerate(terms.split(b"\n")) if w in asked}
-                treap = Treap(masks, drops, top)
+                ranks = np.empty(len(keys), np.int64)
+                ranks[sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0))] = np.arange(len(keys))
+                treap = Treap(masks, drops, top, ranks)
                 for i, item in enumerate(items):
                     here = [(row[w], weight) for w, weight in item if w in row and weight > 0]
                     if not here:
                         continue
                     least = kept[i][-1][0] if len(kept[i]) == limit else 1
                     rows, weights = (np.array(x, np.int64) for x in zip(*here))
-                    new = [(score, keys[c]) for c, score in treap.best(rows, weights, len(keys), limit, least)]
+                    new = [(score, keys[c]) for c, score in treap.best(rows, weights, limit, least)]
                     kept[i] = sorted(kept[i] + new, key=lambda x: (-x[0], x[1] is not None, x[1] or 0))[:limit]
         columns = list(zip(*((i, d, s) for i, best in enumerate(kept) for s, d in best))) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=HITS.names)
