@@ -29,10 +29,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": python.op8_quality_classifier,
         "op9_sharding": native.op9_sharding,
         "op10_secret_scans": native.op10_secret_scans,
+        "op11_prefix_trie": python.op11_prefix_trie,
         "op13_ranked_search": python.op13_ranked_search,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": models.OP3_SQL, "op5_line_dedup": native.OP5_SQL, "op6_decontamination": python.OP6_SQL, "op9_sharding": native.OP9_SQL, "op10_secret_scans": native.OP10_SQL, "op13_ranked_search": python.OP13_SQL}
+    return {"op3_jaccard_join": models.OP3_SQL, "op5_line_dedup": native.OP5_SQL, "op6_decontamination": python.OP6_SQL, "op9_sharding": native.OP9_SQL, "op10_secret_scans": native.OP10_SQL, "op11_prefix_trie": python.OP11_SQL, "op13_ranked_search": python.OP13_SQL}

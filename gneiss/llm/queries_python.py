@@ -12,6 +12,7 @@ from .direct_codes import read_codes, word_encoder, write_codes
 from .media import as_media, tiles
 from .packing import pack, word_count
 from .phrase_index import benchmark_hits
+from .prefix_trie import hashed_turns, prefix_nodes, rebuilt
 from .quality import score_quality
 from .treap import ranked
 
@@ -111,3 +112,46 @@ scores AS (
 numbered AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
 SELECT * FROM numbered WHERE rank <= 50
 """
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_nodes(rebuilt(hashed_turns(table(spark, sf_dir, "conversations"))))
+
+
+OP11_SQL = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce([i] || range(1, 9), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce([4294967295] || list_transform(range(octet_length(encode(conv_id::VARCHAR))), lambda k: ('0x' || hex(encode(conv_id::VARCHAR))[2 * k + 1 : 2 * k + 2])::BIGINT),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc_table
+),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (
+  SELECT i.conv_id, pos AS p, 0 AS part, t, words FROM ids i JOIN turns ON turns.conv_id = base AND pos <= h
+  UNION ALL SELECT i.conv_id, pos, 1, t, words FROM ids i JOIN turns ON turns.conv_id = i.conv_id AND pos > h
+),
+ordered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS d, sha256(t) AS t, words FROM placed),
+paths AS (
+  SELECT conv_id, d, sha256(string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node, words FROM ordered
+  UNION ALL SELECT conv_id, 0, 'root', 0 FROM ids
+),
+lengths AS (SELECT conv_id, max(d) AS n FROM paths GROUP BY conv_id),
+nodes AS (SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM paths GROUP BY d, node),
+up AS (SELECT c.d, c.node, p.node AS parent FROM nodes c JOIN paths p ON p.conv_id = c.conv_id AND p.d = c.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM up GROUP BY ALL),
+ends AS (SELECT d, node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS e FROM paths JOIN lengths USING (conv_id) WHERE d = n GROUP BY d, node),
+below AS (
+  SELECT p.d, p.node, sum((u.n_convs - 1) * u.words)::BIGINT AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM nodes u JOIN paths p ON p.conv_id = u.conv_id AND p.d <= u.d LEFT JOIN kids k ON k.d = u.d AND k.node = u.node GROUP BY p.d, p.node
+)
+SELECT n.conv_id, n.d AS depth, pn.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM nodes n JOIN below USING (d, node) LEFT JOIN kids USING (d, node) LEFT JOIN ends USING (d, node) LEFT JOIN up USING (d, node)
+LEFT JOIN nodes pn ON pn.d = n.d - 1 AND pn.node = up.parent
+"""
