@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": native.op9_sharding,
         "op10_secret_scans": native.op10_secret_scans,
         "op11_prefix_trie": python.op11_prefix_trie,
+        "op12_personal_data": python.op12_personal_data,
         "op13_ranked_search": python.op13_ranked_search,
         "pipeline": pipeline,
     }

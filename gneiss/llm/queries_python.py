@@ -12,8 +12,10 @@ from .direct_codes import read_codes, word_encoder, write_codes
 from .media import as_media, tiles
 from .packing import pack, word_count
 from .phrase_index import benchmark_hits
+from .personal import learn, personal_spans
 from .prefix_trie import hashed_turns, prefix_nodes, rebuilt
 from .quality import score_quality
+from .tagger import KINDS
 from .treap import ranked
 
 END_ID = 2
@@ -155,3 +157,11 @@ SELECT n.conv_id, n.d AS depth, pn.conv_id AS parent_conv_id, n.n_convs, coalesc
 FROM nodes n JOIN below USING (d, node) LEFT JOIN kids USING (d, node) LEFT JOIN ends USING (d, node) LEFT JOIN up USING (d, node)
 LEFT JOIN nodes pn ON pn.d = n.d - 1 AND pn.node = up.parent
 """
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = personal_spans(docs, learn(docs))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *map(n, KINDS), F.sha2(shown(F.col("base")).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
