@@ -16,16 +16,16 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def numbered(docs: DataFrame, name: str = "__row") -> DataFrame:
-    """docs with an own long for each row: its doc_id where no other row has it; rows with null and repeated ids are written with numbers from -2**62 on."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, rest: see folded) with `row`, an own long for each row: its doc_id where no other row has it; rows with null and repeated ids are written with numbers from -2**62 on."""
     again = written(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"))
-    own = F.col("doc_id").cast("long").alias(name)
+    own = F.col("doc_id").cast("long").alias("row")
     if again.isEmpty():
-        return docs.select(*docs.columns, own)
+        return docs.select("*", own)
     ids = sized(again.where("doc_id IS NOT NULL"))
-    alone = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").select(*docs.columns, own)
-    rest = docs.where("doc_id IS NULL").unionByName(docs.join(ids, "doc_id", "left_semi").select(*docs.columns))
-    return alone.unionByName(written(rest.withColumn(name, F.monotonically_increasing_id() - 2**62)))
+    alone = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").select("*", own)
+    rest = docs.where("doc_id IS NULL").unionByName(docs.join(ids, "doc_id", "left_semi"))
+    return alone.unionByName(written(rest.withColumn("row", F.monotonically_increasing_id() - 2**62)))
 
 
 def components(edges: DataFrame) -> DataFrame:

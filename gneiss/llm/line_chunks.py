@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import folded, unfolded, written
 from .components import numbered
 
 #: One boundary in so many lines; a chunk of fewer lines than this goes only as part of a passage.
@@ -98,7 +98,7 @@ def _later_passages(lines: DataFrame) -> DataFrame:
 
 
 def remove_repeated_chunks(docs: DataFrame, spacing: int = SPACING, least: int = LEAST_LINES) -> DataFrame:
-    """Return docs with `text` rewritten and a column `chunks_removed`, all other columns as they were.
+    """Return docs with `text` rewritten and a column `chunks_removed`, all other columns as they were, whatever their names.
 
     Of each chunk of at least `least` lines (not all blank) that occurs more than once, by bytes, in the
     corpus, the occurrence in the smallest (doc_id, position) stays and the others go. So do, wherever chunks
@@ -112,7 +112,7 @@ def remove_repeated_chunks(docs: DataFrame, spacing: int = SPACING, least: int =
     null doc_id or repeated ids, and repeated rows, are handled by row (each row gets an own key, and of a null id the first row stays whole). Blank chunks stay.
     """
     docs = docs.drop("chunks_removed")
-    keyed = numbered(docs, "__key")
+    keyed = numbered(folded(docs, "doc_id", "text")).withColumnRenamed("row", "__key")
     none = F.lit(None).cast("int")
     parts = F.concat(
         F.transform(
@@ -161,11 +161,9 @@ def remove_repeated_chunks(docs: DataFrame, spacing: int = SPACING, least: int =
         ))
 
     edited = edited.withColumn("__new", F.when(F.col("__edits").isNotNull(), _parsed(spacing, result)))
-    edited = edited.select(
-        *(F.when(F.col("__new").isNotNull(), F.col("__new.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.coalesce("__new.chunks_removed", F.lit(0)).alias("chunks_removed"),
-    )
-    return keyed.join(touched, "__key", "left_anti").drop("__key").withColumn("chunks_removed", F.lit(0)).unionByName(edited)
+    shown = lambda df, text, gone: unfolded(df, docs.columns, {"doc_id": F.col("doc_id"), "text": text}, {"chunks_removed": gone})
+    whole = shown(keyed.join(touched, "__key", "left_anti"), F.col("text"), F.lit(0))
+    return whole.unionByName(shown(edited, F.when(F.col("__new").isNotNull(), F.col("__new.text")).otherwise(F.col("text")), F.coalesce("__new.chunks_removed", F.lit(0))))
 
 
 def _sized(keys: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from array import array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import folded, unfolded, written
 
 BUCKETS, BUDGET = 16, 65_536
 #: Rows of one (bucket, salt) group, about.
@@ -75,10 +75,10 @@ def pack(rows: DataFrame, length: str = "n_tokens", key: str = "doc_id", buckets
     """
     added = ("bucket", "bucket_tokens", "batch", "batch_slot", "padding")
     rows = rows.drop(*added)
-    own = [c for c in rows.columns if c != length]
+    plain = folded(rows, key, length).select(F.col(key).alias("key"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("len"), "rest")
     # a row's number is fixed by writing it
-    known = written(rows.select(*(F.col(f"`{c}`") for c in own), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias(length)).withColumn("__row", F.monotonically_increasing_id()))
-    hist = written(known.groupBy(F.col(length).alias("len")).count())
+    known = written(plain.withColumn("row", F.monotonically_increasing_id()))
+    hist = written(known.groupBy("len").count())
     at = hist.toArrow().sort_by("len")
     counts = at.column("count").to_pylist()
     bounds = best_bounds(at.column("len").to_pylist(), counts, buckets) or [0]
@@ -86,16 +86,14 @@ def pack(rows: DataFrame, length: str = "n_tokens", key: str = "doc_id", buckets
     groups = max(1, -(-total // GROUP_ROWS))
 
     limits = F.array(*(F.lit(b).cast("long") for b in bounds))
-    bucket = F.size(F.filter(limits, lambda b: b < F.col(length)))
-    salted = known.withColumn("bucket", bucket).withColumn("bucket_tokens", F.get(limits, F.col("bucket"))).withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(groups)))
+    bucket = F.size(F.filter(limits, lambda b: b < F.col("len")))
+    salted = known.withColumn("bucket", bucket).withColumn("bound", F.get(limits, F.col("bucket"))).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(groups)))
     # one row per bucket and salt: the salts grow with the rows, by GROUP_ROWS of them
-    before = Window.partitionBy("bucket").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy("bucket", "__salt").count().select("bucket", "__salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("bucket", "__salt").orderBy(key, "__row")
-    nth = salted.withColumn("__nth", F.row_number().over(inside) - 1).join(offsets, ["bucket", "__salt"]).withColumn("__nth", F.col("__nth") + F.col("__before"))
-    size = F.greatest(F.lit(1), F.expr(f"{budget} div greatest(1, bucket_tokens)"))
-    return nth.select(
-        *(F.col(f"`{c}`") for c in rows.columns), "bucket", "bucket_tokens",
-        F.expr(f"__nth div greatest(1, {budget} div greatest(1, bucket_tokens))").alias("batch"), F.pmod(F.col("__nth"), size).alias("batch_slot"),
-        (F.col("bucket_tokens") - F.col(length)).alias("padding"),
-    )
+    before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = salted.groupBy("bucket", "salt").count().select("bucket", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("bucket", "salt").orderBy("key", "row")
+    nth = salted.withColumn("nth", F.row_number().over(inside) - 1).join(offsets, ["bucket", "salt"]).withColumn("nth", F.col("nth") + F.col("before"))
+    size = F.greatest(F.lit(1), F.expr(f"{budget} div greatest(1, bound)"))
+    batch = F.expr(f"nth div greatest(1, {budget} div greatest(1, bound))")
+    more = {"bucket": F.col("bucket"), "bucket_tokens": F.col("bound"), "batch": batch, "batch_slot": F.pmod(F.col("nth"), size), "padding": F.col("bound") - F.col("len")}
+    return unfolded(nth, rows.columns, {key: F.col("key"), length: F.col("len")}, more)

@@ -90,7 +90,7 @@ OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line, len(l) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 ),
-hashed AS (SELECT *, ('0x' || md5(line)[1:15])::BIGINT % 1000003 AS h FROM lines),
+hashed AS (SELECT *, ('0x' || md5(line)[1:15])::BIGINT % 1000003 AS h, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS words FROM lines),
 ended AS (
   SELECT *, i = n - 1 OR (i > 0 AND (lag(h) OVER w * 31 + h) % 4 = 0) AS last FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ),
@@ -98,8 +98,26 @@ numbered AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER B
 chunks AS (SELECT doc_id, c, min(i) AS pos, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, c),
 judged AS (
   SELECT *, lines >= 2 AND regexp_matches(chunk, '\S') AND row_number() OVER (PARTITION BY chunk, lines >= 2 ORDER BY doc_id, pos) > 1 AS goes FROM chunks
+),
+said AS (SELECT doc_id, i, line, words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS idx FROM hashed WHERE words > 0),
+again AS (SELECT * FROM said WHERE line IN (SELECT line FROM said GROUP BY line HAVING count(*) > 1)),
+near AS (
+  SELECT *, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS run, sum(words) OVER (PARTITION BY doc_id ORDER BY idx) AS upto, sum(words) OVER (PARTITION BY doc_id ORDER BY idx) - words AS before FROM again
+),
+runs AS (
+  SELECT doc_id, min(idx) OVER f AS idx, max(idx) OVER f AS stop_idx, min(i) OVER f AS start, max(i) OVER f AS stop, sum(words) OVER f AS w, list(line) OVER f AS said
+  FROM near WINDOW f AS (PARTITION BY doc_id, run ORDER BY before RANGE BETWEEN CURRENT ROW AND 50 FOLLOWING)
+  UNION SELECT doc_id, min(idx) OVER b, max(idx) OVER b, min(i) OVER b, max(i) OVER b, sum(words) OVER b, list(line) OVER b
+  FROM near WINDOW b AS (PARTITION BY doc_id, run ORDER BY upto RANGE BETWEEN 50 PRECEDING AND CURRENT ROW)
+),
+places AS (
+  SELECT *, first_value(doc_id) OVER o AS first_doc, first_value(stop_idx) OVER o AS first_stop FROM runs WHERE w > 50 WINDOW o AS (PARTITION BY said ORDER BY doc_id, idx, stop_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS i FROM places WHERE doc_id <> first_doc OR idx > first_stop
+  UNION SELECT doc_id, unnest(range(pos, pos + lines)) FROM judged WHERE goes
 )
-SELECT doc_id, sha256(coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS text_sha256,
-       length(coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS n_chars, count(*) FILTER (goes) AS chunks_removed
-FROM judged GROUP BY doc_id
+SELECT l.doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS text_sha256,
+       length(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS n_chars, count(DISTINCT c) FILTER (g.i IS NOT NULL) AS chunks_removed
+FROM numbered l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
 """
