@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import table, written
+from gneiss.llm.common import folded, table, unfolded, written
 from gneiss.llm.components import numbered, sized
 from gneiss.llm.line_chunks import remove_repeated_chunks
 from gneiss.llm.packing import pack, word_count
@@ -23,45 +23,46 @@ from gneiss.storage import shared_folder
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with an own number __row for each row, and the same as doc_id (that number) and text."""
-    rows = numbered(docs)
-    return rows, rows.select(F.col("__row").alias("doc_id"), "text")
+    """docs folded to doc_id, text, rest with an own number `row` for each row, and the same as doc_id (that number) and text."""
+    rows = numbered(folded(docs, "doc_id", "text"))
+    return rows, rows.select(F.col("row").alias("doc_id"), "text")
 
 
-def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Numbered rows without those whose numbers are the doc_ids of `rejected`, and without the number."""
-    gone = sized(written(rejected.select(F.col("doc_id").alias("__row"))))
-    return rows.join(gone, "__row", "left_anti").drop("__row")
+def _without(rows: DataFrame, rejected: DataFrame, columns: list[str]) -> DataFrame:
+    """Numbered rows without those whose numbers are the doc_ids of `rejected`, with their old columns."""
+    gone = sized(written(rejected.select(F.col("doc_id").alias("row"))))
+    return unfolded(rows.join(gone, "row", "left_anti"), columns, {"doc_id": F.col("doc_id"), "text": F.col("text")})
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier rejects go."""
     rows, texts = _numbered(docs)
-    positives = rows.select("doc_id", "__row").join(trusted(spark, sf_dir), "doc_id", "left_semi").select(F.col("__row").alias("doc_id"))
-    return _without(rows, score_quality(texts, positives).where(F.col("score") < THRESHOLD))
+    positives = rows.select("doc_id", "row").join(trusted(spark, sf_dir), "doc_id", "left_semi").select(F.col("row").alias("doc_id"))
+    return _without(rows, score_quality(texts, positives).where(F.col("score") < THRESHOLD), docs.columns)
 
 
 def unique_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go from all but their first document; n_chars follows the text. A document that had only such chunks goes."""
+    """Repeated multi-line chunks go from all but their first document; n_chars follows the text. A document that had only such chunks goes. A column chunks_removed of docs is not kept."""
     cleaned = remove_repeated_chunks(docs).where((F.col("chunks_removed") == 0) | F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\S")))
-    new = {"n_chars": F.when(F.col("chunks_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return cleaned.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("chunks_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cleaned.drop("chunks_removed")
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents one row with the smallest doc_id stays; a null doc_id is the largest."""
     rows, texts = _numbered(docs)
-    of = written(similar_components(texts).select(F.col("doc_id").alias("__row"), "component_id"))
+    of = written(similar_components(texts).select(F.col("doc_id").alias("row"), "component_id"))
     shared = of.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    members = written(of.join(sized(written(shared)), "component_id", "left_semi").join(rows.select("doc_id", "__row"), "__row"))
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row")).select("__row")
-    return _without(rows, members.join(first, "__row", "left_anti").select(F.col("__row").alias("doc_id")))
+    members = written(of.join(sized(written(shared)), "component_id", "left_semi").join(rows.select("doc_id", "row"), "row"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")).select("row")
+    return _without(rows, members.join(first, "row", "left_anti").select(F.col("row").alias("doc_id")), docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     rows, texts = _numbered(docs)
-    return _without(rows, benchmark_hits(texts, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0))
+    return _without(rows, benchmark_hits(texts, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
