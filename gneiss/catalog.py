@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.plans import relations, retrieval, state, text
+from gneiss.plans import extraction, relations, retrieval, state, text
 
 NAMES = {
     text: "sentence_split chunk_packing parent_chunks conversation_sections turn_context document_frequency extractive_summary child_summaries lexical_top hash_embedding content_ids html_text",
@@ -14,7 +14,8 @@ NAMES = {
     state: "dense_lane section_children diverse_hits entity_degree one_hop eligible_facts competing_facts admission_classes "
     "projection_states missing_projections census heartbeats order_state outbox_stream windowed_stream quality_metrics",
     relations: "line_entities surface_candidates fact_provenance authorized_facts retired_residue graph_seeds graph_facts canonical_registry registry_decisions corpus_entities grounded_turns "
-    "event_funnel run_gaps run_artifacts fact_changes source_plan lane_metrics common_tokens order_predicates excerpts plain_sources compiled_facts document_forms document_regions",
+    "event_funnel run_gaps run_artifacts fact_changes source_plan lane_metrics common_tokens order_predicates excerpts plain_sources document_forms document_regions",
+    extraction: "trigger_spans bound_candidates compiled_facts pack_problems",
 }
 
 

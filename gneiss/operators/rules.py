@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.text import content_id
 from gneiss.functions.values import first_year
+from gneiss.operators.spans import modality
 
 #: A past participle between an auxiliary and "by".
 PASSIVE = r"(?i)\b(?:is|are|was|were|been|being)\s+(?:\w+\s+)?\w+(?:ed|en)\s+by\b"
@@ -16,44 +17,65 @@ def passive(sentence: Column) -> Column:
     return F.rlike(F.coalesce(sentence, F.lit("")), F.lit(PASSIVE))
 
 
+def validate_pack(rules: DataFrame) -> DataFrame:
+    """predicate, problem, detail: what is wrong with a pack of rules (see compiled), a row each; none if it is sound.
+
+    EMPTY: a rule without predicate, class, trigger or type; OVERLAP: a class, trigger and signature of several predicates, which can only be ambiguous; ASYMMETRIC: a symmetric predicate
+    with a signature whose inverse it lacks; MIXED: a predicate that is symmetric in some rows only.
+    """
+    keys = ["evidence_class", "trigger", "subject_type", "object_type"]
+    r = rules.distinct()
+    row = lambda df, problem, detail: df.select("predicate", F.lit(problem).alias("problem"), detail.alias("detail"))
+    named = F.concat_ws("|", *keys)
+    empty = F.exists(F.array("predicate", *keys), lambda c: F.coalesce(c, F.lit("")) == "")
+    several = r.groupBy(*keys).agg(F.array_sort(F.collect_set("predicate")).alias("ps")).where(F.size("ps") > 1)
+    overlap = several.select(F.explode("ps").alias("predicate"), *keys)
+    back = r.select("predicate", "evidence_class", "trigger", F.col("object_type").alias("subject_type"), F.col("subject_type").alias("object_type"))
+    lone = r.where("symmetric").join(back, ["predicate", *keys], "left_anti")
+    mixed = r.groupBy("predicate").agg(F.count_distinct(F.coalesce("symmetric", F.lit(False))).alias("n")).where("n > 1")
+    return row(r.where(empty), "EMPTY", named).unionByName(row(overlap, "OVERLAP", named)).unionByName(row(lone, "ASYMMETRIC", named)).unionByName(row(mixed, "MIXED", F.lit(""))).distinct()
+
+
 def compiled(candidates: DataFrame, rules: DataFrame) -> DataFrame:
-    """candidates to candidate, decision, reason, predicate, subject, object, certainty, year, fact_id: one row each.
+    """candidates to candidate, decision, reason, predicate, subject, object, qualifiers, year, fact_id: one row each.
 
-    candidates: candidate, trigger, subject, subject_type, object, object_type, modality (of spans.modality), passive, sentence, and null or admission classes
-    subject_class, object_class. rules: predicate, trigger, subject_type, object_type, symmetric; a rule pack is small, it is broadcast if it is.
+    candidates: candidate, evidence_class, trigger, predicate (null if the trigger belongs to no rule in particular), subject, subject_type, object, object_type, scope (of spans.scope), passive,
+    sentence, and null or admission classes subject_class, object_class. rules: predicate, evidence_class, trigger, subject_type, object_type, symmetric.
 
-    Gates: modality; a trigger that some rule has; endpoints that may be in a graph; a rule for the types. A passive sentence turns the pair round first; types that only fit the other way round do
-    too; both are tried in this order, then rules by predicate. A symmetric predicate has its ends in order of their names.
+    In order: scope (REJECT); an endpoint that is missing or a mere mention (REJECT); a trigger that no rule of the class has (UNSUPPORTED); a passive
+    sentence turns the pair round, then no rule accepts the types (REJECT), or several predicates do (AMBIGUOUS); a fact about itself (REJECT). The rest are facts: ACCEPT, or QUALIFY with
+    qualifiers from the scope. A symmetric predicate has its ends in order of their names. Rules join by equality; Spark broadcasts them if they are small.
     """
-    known = rules.select("trigger").distinct().withColumn("known", F.lit(True))
-    by_trigger = candidates.join(F.broadcast(known), "trigger", "left")
+    pack = rules.groupBy("evidence_class", "trigger", "subject_type", "object_type", "predicate").agg(F.coalesce(F.bool_or("symmetric"), F.lit(False)).alias("symmetric"))
+    signed = pack.groupBy("evidence_class", "trigger", F.col("subject_type").alias("__a"), F.col("object_type").alias("__b")).agg(F.array_sort(F.collect_set(F.struct("predicate", "symmetric"))).alias("__rules"))
+    known = pack.groupBy("evidence_class", "trigger").agg(F.collect_set("predicate").alias("__known"))
     turned = F.coalesce("passive", F.lit(False))
-    first = F.struct(F.when(turned, F.col("object_type")).otherwise(F.col("subject_type")).alias("a"), F.when(turned, F.col("subject_type")).otherwise(F.col("object_type")).alias("b"))
-    typed = by_trigger.withColumn("__first", first)
-    pack = rules.groupBy("trigger", "subject_type", "object_type").agg(F.min(F.struct("predicate", "symmetric")).alias("rule"))
-    straight = pack.select("trigger", F.col("subject_type").alias("__a"), F.col("object_type").alias("__b"), F.col("rule").alias("straight"))
-    back = pack.select("trigger", F.col("subject_type").alias("__b2"), F.col("object_type").alias("__a2"), F.col("rule").alias("back"))
-    typed = typed.withColumn("__a", F.col("__first.a")).withColumn("__b", F.col("__first.b")).join(F.broadcast(straight), ["trigger", "__a", "__b"], "left")
-    typed = typed.withColumn("__a2", F.col("__a")).withColumn("__b2", F.col("__b")).join(F.broadcast(back), ["trigger", "__a2", "__b2"], "left")
-    mention = (F.col("subject_class") == "MENTION_ONLY") | (F.col("object_class") == "MENTION_ONLY")
+    turn = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
+    met = candidates.withColumn("__a", turn("subject_type", "object_type")).withColumn("__b", turn("object_type", "subject_type")).join(known, ["evidence_class", "trigger"], "left").join(signed, ["evidence_class", "trigger", "__a", "__b"], "left")
+    fits = F.coalesce(F.filter("__rules", lambda r: F.col("predicate").isNull() | (r["predicate"] == F.col("predicate"))), F.array().cast(signed.schema["__rules"].dataType))
+    gate = modality(F.col("scope"))
+    mention = F.coalesce((F.col("subject_class") == "MENTION_ONLY") | (F.col("object_class") == "MENTION_ONLY"), F.lit(False))
+    has = F.coalesce(F.when(F.col("predicate").isNull(), F.size("__known") > 0).otherwise(F.array_contains("__known", F.col("predicate"))), F.lit(False))
+    held = met.select(
+        "candidate", "scope", "sentence", gate.alias("gate"), mention.alias("mention"), has.alias("has"), fits.alias("fits"), turned.alias("turned"), (F.col("subject").isNull() | F.col("object").isNull()).alias("gone"),
+        turn("subject", "object").alias("a"), turn("object", "subject").alias("b"),
+    )
     reason = (
-        F.when(F.startswith("modality", F.lit("REJECT")), F.col("modality")).when(F.col("known").isNull(), "TRIGGER_UNKNOWN").when(F.col("subject").isNull() | F.col("object").isNull(), "ENDPOINT_UNAVAILABLE")
-        .when(F.coalesce(mention, F.lit(False)), "ENDPOINT_MENTION_ONLY").when(F.col("straight").isNull() & F.col("back").isNull(), "SIGNATURE_MISMATCH")
+        F.when(F.startswith("gate", F.lit("REJECT")), F.col("gate")).when(F.col("gone"), "ENDPOINT_UNAVAILABLE").when(F.col("mention"), "ENDPOINT_MENTION_ONLY").when(~F.col("has"), "TRIGGER_UNKNOWN")
+        .when(F.size("fits") == 0, "SIGNATURE_MISMATCH").when(F.size("fits") > 1, "SEVERAL_PREDICATES").when(F.col("a") == F.col("b"), "SELF_EDGE").otherwise("ACCEPTED")
     )
-    rule = F.coalesce("straight", "back")
-    swap = turned != F.col("straight").isNull()
-    a, b = F.when(swap, F.col("object")).otherwise(F.col("subject")), F.when(swap, F.col("subject")).otherwise(F.col("object"))
-    held = typed.select("candidate", "modality", "sentence", reason.alias("reason"), F.when(reason.isNull(), rule["predicate"]).alias("predicate"), F.coalesce(rule["symmetric"], F.lit(False)).alias("symmetric"), a.alias("a"), b.alias("b"))
-    ordered = lambda f, plain: F.when(F.col("symmetric"), f("a", "b")).otherwise(F.col(plain))
-    ok = F.col("reason").isNull()
-    subject, object_ = ordered(F.least, "a"), ordered(F.greatest, "b")
-    certainty = F.when(F.col("modality") == "ASSERTED", "asserted").otherwise(F.lower("modality"))
-    done = held.select(
-        "candidate", F.when(ok, "FACT").otherwise("REJECT").alias("decision"), F.coalesce("reason", F.lit("ACCEPTED")).alias("reason"), "predicate",
-        F.when(ok, subject).alias("subject"), F.when(ok, object_).alias("object"), F.when(ok, certainty).alias("certainty"), F.when(ok, first_year(F.col("sentence"))).alias("year"),
+    decision = F.when(F.col("reason") == "ACCEPTED", F.col("gate")).when(F.col("reason") == "TRIGGER_UNKNOWN", "UNSUPPORTED").when(F.col("reason") == "SEVERAL_PREDICATES", "AMBIGUOUS").otherwise("REJECT")
+    ok, rule = F.col("reason") == "ACCEPTED", F.get("fits", F.lit(0))
+    judged = held.withColumn("reason", reason).withColumn("decision", decision).withColumn("swap", F.coalesce(rule["symmetric"] & (F.col("a") > F.col("b")), F.lit(False)))
+    s = F.col("scope")
+    certainty = F.when(s["hypothetical"], "hypothetical").when(s["speculative"], "speculative")
+    qualifiers = F.when(ok, F.struct(certainty.alias("certainty"), F.when(s["attributed"], s["attribution_source"]).alias("attribution_source"), s["attributed"].alias("attributed"), ((F.col("gate") == "QUALIFY") & s["comparison"]).alias("comparison")))
+    done = judged.select(
+        "candidate", "decision", "reason", F.when(ok, rule["predicate"]).alias("predicate"), F.when(ok, F.when(F.col("swap"), F.col("b")).otherwise(F.col("a"))).alias("subject"), F.when(ok, F.when(F.col("swap"), F.col("a")).otherwise(F.col("b"))).alias("object"),
+        qualifiers.alias("qualifiers"), F.when(ok, first_year(F.col("sentence"))).alias("year"),
     )
-    fact_id = content_id("fact_", o=F.col("object"), p=F.col("predicate"), q=F.col("certainty"), s=F.col("subject"))
-    return done.withColumn("fact_id", F.when(F.col("decision") == "FACT", fact_id))
+    q = F.to_json(F.col("qualifiers"))
+    return done.withColumn("fact_id", F.when(F.col("decision").isin("ACCEPT", "QUALIFY"), content_id("fact_", o=F.col("object"), p=F.col("predicate"), q=q, s=F.col("subject"))))
 
 
 def losses(decisions: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ NEGATION = ["not", "no", "never", "n't", "neither", "nor", "without", "fails to"
 HEDGE = ["may", "might", "could", "can", "possibly", "perhaps", "likely", "probably", "suggest", "suggests", "hypothesize", "appears to", "seems to", "reportedly"]
 CONDITIONAL = ["if", "unless", "provided that", "whenever", "in case", "would", "should"]
 ATTRIBUTION = ["said", "says", "according to", "reported", "reports", "claims", "claimed", "stated", "stated that", "noted", "argues", "wrote", "per", "as noted by"]
+#: What may open a new part of a sentence.
+COORDINATOR = r"(?:\b(?:and|but|or|while)\b|;)[ \t\n\f\r]*"
 HYPOTHETICAL, COMPARISON = ["would", "plans to", "intends to"], ["unlike", "compared to", "in contrast"]
 
 
@@ -47,19 +49,33 @@ def inside(spans: DataFrame, frames: DataFrame) -> DataFrame:
     return found.select("doc_id", "f.frame", "s.*")
 
 
-def sides(triggers: DataFrame, entities: DataFrame) -> DataFrame:
-    """triggers and entities (doc_id, frame, start, end, mark) to one row a trigger: doc_id, frame, start, end, mark, left, right.
+def nearby(triggers: DataFrame, entities: DataFrame, left: bool, by: tuple[str, ...] = (), most: int = LIST) -> DataFrame:
+    """t, a trigger as a struct, and near: at most `most` entities of its document, frame and columns `by` that end before it begins (left) or begin after it ends, the nearest first.
 
-    left and right are the frame's entities that end before the trigger begins and begin after it ends, the nearest first. A frame's entities meet in one array.
+    One ordered pass counts the entities before each trigger; these counts are the ranks of its neighbours, which are fetched by
+    equality. A trigger in several rows that differ in `by` alone gets the nearest of all of them.
     """
-    held = entities.groupBy("doc_id", "frame").agg(F.array_sort(F.collect_list(F.struct("start", "end", "mark"))).alias("all"))
-    met = triggers.join(held, ["doc_id", "frame"], "left")
-    near_left = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda e: F.struct((-e["end"]).alias("a"), (-e["start"]).alias("b"), e.alias("e")))), lambda x: x["e"])
-    every = F.coalesce("all", F.expr("cast(array() as array<struct<start: bigint, end: bigint, mark: string>>)"))
-    return met.select(
-        "doc_id", "frame", "start", "end", "mark",
-        near_left(F.filter(every, lambda e: e["end"] <= F.col("start"))).alias("left"), F.filter(every, lambda e: e["start"] >= F.col("end")).alias("right"),
-    )
+    keys = ["doc_id", "frame", *by]
+    place = ["end", "start", "mark"] if left else ["start", "end", "mark"]
+    ranks = entities.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*place)))
+    t = F.struct(*(c for c in triggers.columns if c not in by))
+    # on the left an entity that ends where the trigger begins counts; on the right one that begins where it ends is the first
+    events = ranks.select(*keys, F.col(place[0]).alias("at"), F.lit(1).alias("side"), F.lit(1).alias("one"), F.lit(None).cast(triggers.select(t.alias("t")).schema["t"].dataType).alias("t"))
+    events = events.unionByName(triggers.select(*keys, F.col("start" if left else "end").alias("at"), F.lit(2 if left else 0).alias("side"), F.lit(0).alias("one"), t.alias("t")))
+    upto = Window.partitionBy(*keys).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    counted = events.withColumn("c", F.sum("one").over(upto)).where("t IS NOT NULL")
+    wanted = F.sequence(F.greatest(F.col("c") - (most - 1), F.lit(1)), F.greatest(F.col("c"), F.lit(1))) if left else F.sequence(F.col("c") + 1, F.col("c") + most)
+    met = counted.select(*keys, "t", F.explode(wanted).alias("n")).join(ranks.select(*keys, "n", F.struct(*(c for c in entities.columns if c not in keys), *by).alias("e")), [*keys, "n"], "left")
+    fits = (F.col("e.end") <= F.col("t.start")) if left else (F.col("e.start") >= F.col("t.end"))
+    order = [-F.col("e.end"), -F.col("e.start")] if left else [F.col("e.start"), F.col("e.end")]
+    near = F.array_sort(F.collect_list(F.when(fits, F.struct(order[0].alias("a"), order[1].alias("b"), "e"))))
+    return met.groupBy("t").agg(F.slice(F.transform(near, lambda x: x["e"]), 1, most).alias("near"))
+
+
+def sides(triggers: DataFrame, entities: DataFrame) -> DataFrame:
+    """triggers and entities (doc_id, frame, start, end, mark) to one row a trigger: doc_id, frame, start, end, mark, left, right: of the frame's entities the LIST nearest on either side."""
+    left = nearby(triggers, entities, True).withColumnRenamed("near", "left")
+    return left.join(nearby(triggers, entities, False).withColumnRenamed("near", "right"), "t").select("t.*", "left", "right")
 
 
 def candidates(triggers: DataFrame, entities: DataFrame) -> DataFrame:
@@ -71,11 +87,63 @@ def candidates(triggers: DataFrame, entities: DataFrame) -> DataFrame:
     near = sides(triggers, entities)
     n, m = F.size("left"), F.size("right")
     outcome = F.when(n == 0, "SUBJECT_UNAVAILABLE").when(m == 0, "OBJECT_UNAVAILABLE").when((n > 1) & (m > 1), "AMBIGUOUS").otherwise("PAIR")
-    pairs = F.flatten(F.transform(F.slice("left", 1, LIST), lambda a: F.transform(F.slice("right", 1, LIST), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.struct(a.alias("a"), b.alias("b")))))
     rows = near.withColumn("outcome", outcome).withColumn("pair", F.explode_outer(F.when(F.col("outcome") == "PAIR", F.filter(pairs, lambda p: p["a"]["mark"] != p["b"]["mark"]))))
     return rows.select("doc_id", "frame", "start", "mark", "outcome", F.col("pair.a.mark").alias("subject"), F.col("pair.b.mark").alias("object"), F.col("pair.a.start").alias("subject_start"), F.col("pair.b.start").alias("object_start"))
 
 
+def regions_of(triggers: DataFrame, docs: DataFrame, frames: DataFrame) -> DataFrame:
+    """triggers (doc_id, frame, start, end, ...) with `low` and `high`, the bounds of their part of the frame.
+
+    A part ends where a coordinator (COORDINATOR) is followed at once by another trigger; null bounds are those of the frame.
+    """
+    joints = inside(marks(docs, COORDINATOR).drop("k"), frames).select("doc_id", "frame", (F.col("start") + F.length(F.regexp_replace("mark", r"\s+\z", ""))).alias("joint"), F.col("end").alias("next"))
+    opens = triggers.select("doc_id", "frame", F.col("start").alias("next")).distinct()
+    cuts = joints.join(opens, ["doc_id", "frame", "next"]).select("doc_id", "frame", "joint").distinct()
+    t = F.struct(*triggers.columns)
+    kind = triggers.select(t.alias("t")).schema["t"].dataType
+
+    def bound(df: DataFrame, low: bool) -> DataFrame:
+        """The last cut at or before the trigger, or the first at or after its end."""
+        at = F.col("start" if low else "end")
+        rows = df.select("doc_id", "frame", at.alias("at"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("joint"), t.alias("t"))
+        cut = cuts.select("doc_id", "frame", F.col("joint").alias("at"), F.lit(0 if low else 2).alias("side"), F.col("joint").cast("int").alias("joint"), F.lit(None).cast(kind).alias("t"))
+        order = Window.partitionBy("doc_id", "frame").orderBy("at", "side")
+        frame = order.rowsBetween(Window.unboundedPreceding, 0) if low else order.rowsBetween(0, Window.unboundedFollowing)
+        value = (F.last if low else F.first)("joint", ignorenulls=True).over(frame)
+        return rows.unionByName(cut).withColumn("bound", value).where("t IS NOT NULL").select("t.*", F.col("bound").alias("low" if low else "high"))
+
+    return bound(triggers, True).join(bound(triggers, False), triggers.columns)
+
+
+def typed_candidates(triggers: DataFrame, entities: DataFrame, signatures: DataFrame) -> DataFrame:
+    """A trigger's pairs of entities that some rule of its class may join, or why it has none: the trigger's columns, outcome, subject, object (structs of start, end, mark, type).
+
+    triggers: doc_id, frame, start, end, mark, evidence_class, low, high (see regions_of) and more; entities: doc_id, frame, start, end, mark, type; signatures: evidence_class,
+    subject_type, object_type. On each side only entities of a type that some signature of the class has there count, and only those
+    within the trigger's part of the frame: a nearer entity of another type doesn't stand in the way. One on one side and up to LIST on the other make
+    pairs; several on both are ambiguous. A pair of one text and type is no pair; one that no signature accepts is OBJECT_TYPE_INCOMPATIBLE.
+    """
+    t = F.struct(*triggers.columns)
+
+    def side(left: bool) -> DataFrame:
+        types = signatures.select("evidence_class", F.col("subject_type" if left else "object_type").alias("type")).distinct()
+        met = nearby(triggers.join(types, "evidence_class").select(*triggers.columns, "type"), entities, left, ("type",))
+        here = (lambda e: e["start"] >= F.coalesce("t.low", F.lit(0))) if left else (lambda e: F.coalesce(e["start"] <= F.col("t.high"), F.lit(True)))
+        return met.select("t", F.filter("near", here).alias("left" if left else "right"))
+
+    rows = triggers.select(t.alias("t")).join(side(True), "t", "left").join(side(False), "t", "left")
+    n, m = F.coalesce(F.size("left"), F.lit(0)), F.coalesce(F.size("right"), F.lit(0))
+    outcome = F.when(n <= 0, "SUBJECT_ENDPOINT_UNAVAILABLE").when(m <= 0, "OBJECT_ENDPOINT_UNAVAILABLE").when((n > 1) & (m > 1), "ARGUMENT_BINDING_AMBIGUOUS").otherwise("PAIR")
+    pairs = F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    other = lambda p: (p["a"]["mark"] != p["b"]["mark"]) | (p["a"]["type"] != p["b"]["type"])
+    found = rows.withColumn("outcome", outcome).withColumn("p", F.explode_outer(F.when(F.col("outcome") == "PAIR", F.filter(pairs, other)))).select("t.*", F.when((F.col("outcome") == "PAIR") & F.col("p").isNull(), "SELF_PAIR").otherwise(F.col("outcome")).alias("outcome"), F.col("p.a").alias("subject"), F.col("p.b").alias("object"))
+    known = signatures.select("evidence_class", "subject_type", "object_type").distinct().withColumn("known", F.lit(True))
+    typed = found.withColumn("subject_type", F.col("subject.type")).withColumn("object_type", F.col("object.type")).join(known, ["evidence_class", "subject_type", "object_type"], "left")
+    named = F.when(F.col("outcome") != "PAIR", F.col("outcome")).when(F.col("known"), "CANDIDATE_CREATED").otherwise("OBJECT_TYPE_INCOMPATIBLE")
+    return typed.select(*triggers.columns, named.alias("outcome"), "subject", "object")
+
+
 def overlapping(tokens: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
     """tokens (doc_id, start, end, mark) with the best of the spans (doc_id, start, end, name) that overlap it: doc_id, start, end, mark, name, tier.
 
@@ -104,17 +172,25 @@ def _near(text: Column, cues: list[str]) -> Column:
 
 
 def scope(sentence: Column, start: Column, end: Column, reach: int = 200) -> Column:
-    """A trigger's scope in its sentence: question, negated, speculative, conditional, hypothetical, attributed, comparison."""
+    """A trigger's scope in its sentence: question, negated, speculative, conditional, hypothetical, attributed, comparison, and attribution_source.
+
+    The source is the word before the longest attributing cue that stands before the trigger, without commas and full stops at its end; null if nothing stands there.
+    """
     low = F.lower(sentence)
     span = F.substring(low, F.greatest(F.lit(0), start - reach) + 1, end + reach - F.greatest(F.lit(0), start - reach))
     before = F.substring(low, F.lit(1), start)
     has = lambda text, cues: F.exists(F.array(*map(F.lit, cues)), lambda c: F.contains(text, c))
+    cue = F.coalesce(*(F.when(F.contains(before, F.lit(c)), F.lit(c)) for c in sorted(ATTRIBUTION, key=lambda c: (-len(c), c))))
+    source = F.regexp_replace(F.regexp_extract(F.substring(sentence, F.lit(1), F.position(cue, low) - 1), r"(\S+)\s*\z", 1), r"[,.]+\z", "")
     return F.struct(
         F.rlike(sentence, F.lit("[?？]")).alias("question"), _near(span, NEGATION).alias("negated"), _near(span, HEDGE).alias("speculative"), _near(span, CONDITIONAL).alias("conditional"),
-        has(before, HYPOTHETICAL).alias("hypothetical"), has(before, ATTRIBUTION).alias("attributed"), has(low, COMPARISON).alias("comparison"),
+        has(before, HYPOTHETICAL).alias("hypothetical"), cue.isNotNull().alias("attributed"), has(low, COMPARISON).alias("comparison"), F.nullif(source, F.lit("")).alias("attribution_source"),
     )
 
 
 def modality(flags: Column) -> Column:
-    """What becomes of a candidate by its scope: questions and negations are no facts, the rest are facts with their certainty."""
-    return F.when(flags["question"], "REJECT_QUESTION").when(flags["negated"], "REJECT_NEGATED").when(flags["hypothetical"], "HYPOTHETICAL").when(flags["conditional"], "CONDITIONAL").when(flags["speculative"], "SPECULATIVE").otherwise("ASSERTED")
+    """What becomes of a candidate by its scope: REJECT_ and why for questions, negations and conditions, QUALIFY for what is speculative, hypothetical or said by someone, else ACCEPT."""
+    return (
+        F.when(flags["question"], "REJECT_QUESTION").when(flags["negated"], "REJECT_NEGATED").when(flags["conditional"], "REJECT_CONDITIONAL")
+        .when(flags["speculative"] | flags["hypothetical"] | flags["attributed"], "QUALIFY").otherwise("ACCEPT")
+    )

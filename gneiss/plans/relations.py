@@ -11,7 +11,6 @@ from gneiss.operators import evidence as E
 from gneiss.operators import graph as G
 from gneiss.operators import spans as S
 from gneiss.functions.values import first_year, lookup_form, uuid5
-from gneiss.operators.rules import compiled
 from gneiss.operators.structure import regions
 from gneiss.operators.admission import corpus_scope, group_decisions, registry
 from gneiss.plans.state import FACTS_CTE, dense_lane, facts
@@ -59,21 +58,23 @@ triggers AS (SELECT doc_id, frame, m.a, m.b, mark FROM ({_marks_sql(TRIGGER)}) m
 LINE_ENTITIES = f"WITH {SPANS_CTE} SELECT doc_id, frame, a::BIGINT AS span_start, b::BIGINT AS span_end, mark FROM entities"
 SURFACE_CANDIDATES = f"""
 WITH {SPANS_CTE},
-near AS (
-  SELECT t.doc_id, t.frame, t.a, t.mark, e.mark AS m, e.a AS ea, e.b <= t.a AS is_left,
-         row_number() OVER (PARTITION BY t.doc_id, t.a, e.b <= t.a ORDER BY CASE WHEN e.b <= t.a THEN -e.b ELSE e.a END, CASE WHEN e.b <= t.a THEN -e.a ELSE e.b END) AS r
-  FROM triggers t JOIN entities e ON e.doc_id = t.doc_id AND e.frame = t.frame AND (e.b <= t.a OR e.a >= t.b)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, frame ORDER BY a) AS n FROM entities),
+firsts AS (
+  SELECT t.doc_id, t.frame, t.a, t.mark, l.n AS ln, r.n AS rn
+  FROM triggers t ASOF LEFT JOIN ranked l ON l.doc_id = t.doc_id AND l.frame = t.frame AND t.a >= l.b ASOF LEFT JOIN ranked r ON r.doc_id = t.doc_id AND r.frame = t.frame AND t.b <= r.a
 ),
-sized AS (
-  SELECT t.doc_id, t.frame, t.a, t.mark, count(*) FILTER (is_left) AS n, count(*) FILTER (NOT is_left) AS m FROM triggers t LEFT JOIN near x ON x.doc_id = t.doc_id AND x.a = t.a GROUP BY ALL
+total AS (SELECT doc_id, frame, count(*) AS all_n FROM entities GROUP BY ALL),
+judged AS (
+  SELECT f.*, CASE WHEN ln IS NULL THEN 'SUBJECT_UNAVAILABLE' WHEN rn IS NULL THEN 'OBJECT_UNAVAILABLE' WHEN ln > 1 AND all_n - rn + 1 > 1 THEN 'AMBIGUOUS' ELSE 'PAIR' END AS outcome
+  FROM firsts f LEFT JOIN total USING (doc_id, frame)
 ),
-judged AS (SELECT *, CASE WHEN n = 0 THEN 'SUBJECT_UNAVAILABLE' WHEN m = 0 THEN 'OBJECT_UNAVAILABLE' WHEN n > 1 AND m > 1 THEN 'AMBIGUOUS' ELSE 'PAIR' END AS outcome FROM sized),
 pairs AS (
-  SELECT l.doc_id, l.a, l.m AS subject, r.m AS object, l.ea AS subject_start, r.ea AS object_start FROM near l JOIN near r ON r.doc_id = l.doc_id AND r.a = l.a
-  WHERE l.is_left AND NOT r.is_left AND l.r <= 3 AND r.r <= 3 AND l.m <> r.m
+  SELECT j.doc_id, j.a, l.mark AS subject, r.mark AS object, l.a AS subject_start, r.a AS object_start
+  FROM judged j JOIN ranked l ON l.doc_id = j.doc_id AND l.frame = j.frame AND l.n BETWEEN j.ln - 2 AND j.ln JOIN ranked r ON r.doc_id = j.doc_id AND r.frame = j.frame AND r.n BETWEEN j.rn AND j.rn + 2
+  WHERE outcome = 'PAIR' AND l.mark <> r.mark
 )
 SELECT j.doc_id, j.frame, j.a::BIGINT AS trigger_start, j.mark, outcome, subject, object, subject_start::BIGINT AS subject_start, object_start::BIGINT AS object_start
-FROM judged j LEFT JOIN pairs p ON p.doc_id = j.doc_id AND p.a = j.a AND outcome = 'PAIR'
+FROM judged j LEFT JOIN pairs p ON p.doc_id = j.doc_id AND p.a = j.a
 """
 
 # provenance of facts: lines are their evidence, orders the documents, customers the runs
@@ -397,47 +398,6 @@ FROM f
 """
 
 
-# rules: candidates of lines, their types by initials, under a small pack
-
-PACK = [("precedes", "and", "Early", "Late", False), ("meets", "and", "Early", "Early", True), ("serves", "for", "Early", "Late", False), ("serves", "for", "Late", "Late", False), ("joins", "with", "Late", "Early", True)]
-
-
-def compiled_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate of a line with the rule that it meets, or why it is no fact."""
-    found = S.candidates(*_spans(spark, sf_dir))
-    kind = lambda c: F.when(F.col(c).isNotNull(), F.when(F.upper(F.substring(c, 1, 1)) <= "L", "Early").otherwise("Late"))
-    rows = found.select(
-        F.concat_ws(":", "doc_id", "start", F.coalesce("object_start", F.lit(-1)), F.coalesce("subject_start", F.lit(-1))).alias("candidate"), F.trim("mark").alias("trigger"), "subject", kind("subject").alias("subject_type"), "object",
-        kind("object").alias("object_type"), F.lit("ASSERTED").alias("modality"), (F.trim("mark") == "for").alias("passive"), F.lit(None).cast("string").alias("sentence"),
-        F.when(F.length("subject") < 4, "MENTION_ONLY").alias("subject_class"), F.lit(None).cast("string").alias("object_class"),
-    )
-    rules = spark.createDataFrame(PACK, "predicate string, trigger string, subject_type string, object_type string, symmetric boolean")
-    return compiled(rows, rules).drop("year")
-
-
-COMPILED_FACTS = f"""
-WITH candidates AS ({SURFACE_CANDIDATES}),
-c AS (
-  SELECT doc_id || ':' || trigger_start || ':' || coalesce(object_start, -1) || ':' || coalesce(subject_start, -1) AS candidate, trim(mark) AS trigger, subject, object,
-         CASE WHEN subject IS NOT NULL THEN CASE WHEN subject[1] <= 'L' THEN 'Early' ELSE 'Late' END END AS st, CASE WHEN object IS NOT NULL THEN CASE WHEN object[1] <= 'L' THEN 'Early' ELSE 'Late' END END AS ot
-  FROM candidates
-),
-rules AS (SELECT * FROM (VALUES {", ".join(str(r) for r in PACK)}) r(predicate, trigger, a, b, sym)),
-t AS (SELECT *, trigger = 'for' AS passive, CASE WHEN trigger = 'for' THEN ot ELSE st END AS x, CASE WHEN trigger = 'for' THEN st ELSE ot END AS y FROM c),
-m AS (
-  SELECT t.*, r.predicate AS p1, r.sym AS s1, q.predicate AS p2, q.sym AS s2 FROM t LEFT JOIN rules r ON r.trigger = t.trigger AND r.a = x AND r.b = y LEFT JOIN rules q ON q.trigger = t.trigger AND q.a = y AND q.b = x
-),
-j AS (
-  SELECT *, CASE WHEN trigger NOT IN (SELECT trigger FROM rules) THEN 'TRIGGER_UNKNOWN' WHEN subject IS NULL OR object IS NULL THEN 'ENDPOINT_UNAVAILABLE' WHEN length(subject) < 4 THEN 'ENDPOINT_MENTION_ONLY'
-    WHEN p1 IS NULL AND p2 IS NULL THEN 'SIGNATURE_MISMATCH' ELSE 'ACCEPTED' END AS reason, passive <> (p1 IS NULL) AS swap, coalesce(s1, s2) AS sym FROM m
-),
-o AS (SELECT *, CASE WHEN swap THEN object ELSE subject END AS a, CASE WHEN swap THEN subject ELSE object END AS b, reason = 'ACCEPTED' AS ok FROM j),
-d AS (SELECT candidate, CASE WHEN ok THEN 'FACT' ELSE 'REJECT' END AS decision, reason, CASE WHEN ok THEN coalesce(p1, p2) END AS predicate, CASE WHEN ok THEN CASE WHEN sym THEN least(a, b) ELSE a END END AS subject,
-      CASE WHEN ok THEN CASE WHEN sym THEN greatest(a, b) ELSE b END END AS object, CASE WHEN ok THEN 'asserted' END AS certainty FROM o)
-SELECT *, CASE WHEN decision = 'FACT' THEN 'fact_' || sha256('{{"o":"' || object || '","p":"' || predicate || '","q":"asserted","s":"' || subject || '"}}') END AS fact_id FROM d
-"""
-
-
 def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document a name-based id, its first year and the lookup form of its first line."""
     text = F.coalesce("text", F.lit(""))

@@ -23,7 +23,7 @@ from gneiss.operators.lexical import lexical_hits
 from gneiss.operators.nearest import array_vectors, hashed, nearest
 from gneiss.operators.ranking import fuse_first, fuse_hits, mmr, top_per
 from gneiss.functions import values as V
-from gneiss.operators.rules import compiled, passive
+from gneiss.operators.rules import compiled, passive, validate_pack
 from gneiss.operators.structure import headings, projected, regions
 from gneiss.plans import state
 from gneiss.sources.files import materialized, read_files
@@ -269,11 +269,15 @@ def test_overlaps_have_three_tiers(spark):
 
 
 def test_scope_of_a_trigger(spark):
-    cases = {"Acme does not use Envoy.": "REJECT_NEGATED", "Does Acme use Envoy?": "REJECT_QUESTION", "Acme may use Envoy.": "SPECULATIVE", "If needed, Acme does use Envoy.": "CONDITIONAL", "Acme would use Envoy.": "HYPOTHETICAL", "Acme, a knot maker, does use Envoy.": "ASSERTED"}
-    df = spark.createDataFrame([(s, s.find("use")) for s in cases], "s string, at int")
-    got = {r.s: r.m for r in df.select("s", S.modality(S.scope(F.col("s"), F.col("at"), F.col("at") + 3)).alias("m")).collect()}
-    assert got == cases
-    assert spark.range(1).select(S.scope(F.lit("According to Ann, A has B, unlike C."), F.lit(20), F.lit(23)).alias("x")).select("x.attributed", "x.comparison").first() == (True, True)
+    cases = {
+        "Acme does not use Envoy.": "REJECT_NEGATED", "Does Acme use Envoy?": "REJECT_QUESTION", "Acme may use Envoy.": "QUALIFY", "If needed, Acme does use Envoy.": "REJECT_CONDITIONAL", "Acme would use Envoy.": "REJECT_CONDITIONAL",
+        "Acme plans to use Envoy.": "QUALIFY", "Acme, a knot maker, does use Envoy.": "ACCEPT", "If the plant closes, Acme would use Borg": "REJECT_CONDITIONAL", "Acme should use Borg.": "REJECT_CONDITIONAL", "Reuters, said Acme does use Borg.": "QUALIFY",
+    }
+    df = spark.createDataFrame([(s, s.find("use")) for s in cases], "s string, at int").withColumn("x", S.scope(F.col("s"), F.col("at"), F.col("at") + 3))
+    got = {r.s: (r.m, r.x) for r in df.select("s", S.modality(F.col("x")).alias("m"), "x").collect()}
+    assert {k: m for k, (m, _) in got.items()} == cases
+    assert got["Reuters, said Acme does use Borg."][1].attribution_source == "Reuters" and got["Acme plans to use Envoy."][1].hypothetical
+    assert spark.range(1).select(S.scope(F.lit("According to Ann, A has B, unlike C."), F.lit(20), F.lit(23)).alias("x")).select("x.attributed", "x.comparison", "x.attribution_source").first() == (True, True, None)
 
 
 def test_excerpts_equal_a_plain_version(spark):
@@ -350,20 +354,31 @@ def test_value_forms(spark):
 
 
 def test_rules_gate_in_order(spark):
-    pack = spark.createDataFrame([("uses", "use", "Org", "Tech", False), ("near", "near", "Org", "Org", True)], "predicate string, trigger string, subject_type string, object_type string, symmetric boolean")
+    kinds = "predicate string, evidence_class string, trigger string, subject_type string, object_type string, symmetric boolean"
+    pack = spark.createDataFrame([("uses", "k", "use", "Org", "Tech", False), ("near", "k", "near", "Org", "Org", True), ("owns", "k", "hold", "Org", "Tech", False), ("stores", "k", "hold", "Org", "Tech", False)], kinds)
+    plain = (False,) * 4
     cases = [
-        ("a", "use", "Acme", "Org", "Envoy", "Tech", "ASSERTED", False, "since 1999", None, None), ("b", "use", "Envoy", "Tech", "Acme", "Org", "ASSERTED", True, "", None, None),
-        ("c", "use", "Envoy", "Tech", "Acme", "Org", "SPECULATIVE", False, None, None, None), ("d", "near", "Zeta", "Org", "Acme", "Org", "ASSERTED", False, "", None, None),
-        ("e", "use", "Acme", "Org", "Zeta", "Org", "ASSERTED", False, "", None, None), ("f", "use", "Acme", "Org", "Envoy", "Tech", "REJECT_NEGATED", False, "", None, None),
-        ("g", "sell", "Acme", "Org", "Envoy", "Tech", "ASSERTED", False, "", None, None), ("h", "use", None, None, "Envoy", "Tech", "ASSERTED", False, "", None, None),
-        ("i", "use", "it", "Org", "Envoy", "Tech", "ASSERTED", False, "", "MENTION_ONLY", None),
+        ("a", "use", None, "Acme", "Org", "Envoy", "Tech", plain, False, "since 1999", None), ("b", "use", None, "Envoy", "Tech", "Acme", "Org", plain, True, "", None), ("c", "use", None, "Acme", "Org", "Envoy", "Tech", (False, False, True, False), False, None, None),
+        ("d", "near", None, "Zeta", "Org", "Acme", "Org", plain, False, "", None), ("e", "use", None, "Envoy", "Tech", "Acme", "Org", plain, False, "", None), ("f", "use", None, "Acme", "Org", "Envoy", "Tech", (False, True, False, False), False, "", None),
+        ("g", "sell", None, "Acme", "Org", "Envoy", "Tech", plain, False, "", None), ("h", "use", None, None, None, "Envoy", "Tech", plain, False, "", None), ("i", "use", None, "it", "Org", "Envoy", "Tech", plain, False, "", "MENTION_ONLY"),
+        ("j", "hold", None, "Acme", "Org", "Envoy", "Tech", plain, False, "", None), ("k", "hold", "owns", "Acme", "Org", "Envoy", "Tech", plain, False, "", None), ("l", "use", "owns", "Acme", "Org", "Envoy", "Tech", plain, False, "", None),
+        ("m", "near", None, "Acme", "Org", "Acme", "Org", plain, False, "", None), ("n", "use", None, "Acme", "Org", "Envoy", "Tech", (True, False, False, False), False, "", None),
     ]
-    df = spark.createDataFrame(cases, "candidate string, trigger string, subject string, subject_type string, object string, object_type string, modality string, passive boolean, sentence string, subject_class string, object_class string")
+    flags = lambda f: {"question": f[0], "negated": f[1], "speculative": f[2], "conditional": f[3], "hypothetical": False, "attributed": False, "comparison": False, "attribution_source": None}
+    shape = "struct<question:boolean,negated:boolean,speculative:boolean,conditional:boolean,hypothetical:boolean,attributed:boolean,comparison:boolean,attribution_source:string>"
+    rows_ = [(c, "k", t, p, s, st, o, ot, flags(f), v, x, k, None) for c, t, p, s, st, o, ot, f, v, x, k in cases]
+    df = spark.createDataFrame(rows_, f"candidate string, evidence_class string, trigger string, predicate string, subject string, subject_type string, object string, object_type string, scope {shape}, passive boolean, sentence string, subject_class string, object_class string")
     got = {r.candidate: r for r in compiled(df, pack).collect()}
-    assert len(got) == 9 and {k: r.reason for k, r in got.items()} == {"a": "ACCEPTED", "b": "ACCEPTED", "c": "ACCEPTED", "d": "ACCEPTED", "e": "SIGNATURE_MISMATCH", "f": "REJECT_NEGATED", "g": "TRIGGER_UNKNOWN", "h": "ENDPOINT_UNAVAILABLE", "i": "ENDPOINT_MENTION_ONLY"}
-    assert [(got[k].subject, got[k].object) for k in "abcd"] == [("Acme", "Envoy")] * 3 + [("Acme", "Zeta")]
-    assert got["a"].fact_id == got["b"].fact_id != got["c"].fact_id and got["a"].year == 1999 and got["c"].certainty == "speculative" and got["e"].fact_id is None
+    assert {k: (r.decision, r.reason) for k, r in got.items()} == {
+        "a": ("ACCEPT", "ACCEPTED"), "b": ("ACCEPT", "ACCEPTED"), "c": ("QUALIFY", "ACCEPTED"), "d": ("ACCEPT", "ACCEPTED"), "e": ("REJECT", "SIGNATURE_MISMATCH"), "f": ("REJECT", "REJECT_NEGATED"), "g": ("UNSUPPORTED", "TRIGGER_UNKNOWN"),
+        "h": ("REJECT", "ENDPOINT_UNAVAILABLE"), "i": ("REJECT", "ENDPOINT_MENTION_ONLY"), "j": ("AMBIGUOUS", "SEVERAL_PREDICATES"), "k": ("ACCEPT", "ACCEPTED"), "l": ("UNSUPPORTED", "TRIGGER_UNKNOWN"), "m": ("REJECT", "SELF_EDGE"), "n": ("REJECT", "REJECT_QUESTION"),
+    }
+    assert [(got[k].subject, got[k].object) for k in "abcdk"] == [("Acme", "Envoy")] * 3 + [("Acme", "Zeta"), ("Acme", "Envoy")]
+    assert got["a"].fact_id == got["b"].fact_id != got["c"].fact_id and got["a"].year == 1999 and got["c"].qualifiers.certainty == "speculative" and got["e"].fact_id is None and got["k"].predicate == "owns"
     assert spark.createDataFrame([("It is widely used by Acme",), ("Acme uses it",)], "s string").where(passive(F.col("s"))).count() == 1
+    bad = spark.createDataFrame([("p", "k", "t", "A", "B", True), ("p", "k", "t", "A", "A", True), ("q", "k", "t", "A", "B", False), ("q", "k", "", "A", "B", True)], kinds)
+    assert rows(validate_pack(bad)) == [("p", "ASYMMETRIC", "k|t|A|B"), ("p", "OVERLAP", "k|t|A|B"), ("q", "ASYMMETRIC", "k||A|B"), ("q", "EMPTY", "k||A|B"), ("q", "MIXED", ""), ("q", "OVERLAP", "k|t|A|B")]
+    assert rows(validate_pack(pack)) == [("owns", "OVERLAP", "k|hold|Org|Tech"), ("stores", "OVERLAP", "k|hold|Org|Tech")] and validate_pack(pack.limit(0)).count() == 0
 
 
 def test_files_of_all_formats(spark, tmp_path):
