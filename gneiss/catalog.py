@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.plans import concepts, extraction, relations, retrieval, state, text
+from gneiss.plans import concepts, discourse, extraction, relations, retrieval, state, text
 
 NAMES = {
     text: "sentence_split chunk_packing parent_chunks conversation_sections turn_context document_frequency extractive_summary child_summaries lexical_top hash_embedding content_ids html_text",
@@ -16,6 +16,7 @@ NAMES = {
     relations: "line_entities surface_candidates fact_provenance authorized_facts retired_residue graph_seeds graph_facts canonical_registry registry_decisions corpus_entities grounded_turns "
     "event_funnel run_gaps run_artifacts fact_changes source_plan lane_metrics common_tokens order_predicates excerpts plain_sources document_forms document_regions",
     concepts: "document_concepts section_concepts corpus_concepts enriched_documents",
+    discourse: "document_antecedents conversation_antecedents",
     extraction: "trigger_spans bound_candidates compiled_facts pack_problems",
 }
 
