@@ -28,4 +28,15 @@ def written(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and return what was written."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `written` returned and that nothing reads any more; other tables are left alone."""
+    for t in tables:
+        path = t.__dict__.get("written_to")
+        if path:
+            files = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            files.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(files, True)
