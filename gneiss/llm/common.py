@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.session import table
-from gneiss.storage import shared_folder, written
+from gneiss.storage import forget, shared_folder, written
 
-__all__ = ["folded", "id_fold", "raw_texts", "shared_folder", "table", "total_bytes", "unfolded", "written"]
+__all__ = ["folded", "forget", "id_fold", "raw_texts", "shared_folder", "table", "total_bytes", "unfolded", "written"]
 
 
 def id_fold(doc_id: Column, folds: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 #: A table of at most so many short rows may be broadcast: 40 MB.
 BROADCAST_ROWS = 300_000
@@ -38,11 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sized(written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
-        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = sized(written(large.groupBy("u").agg(F.min("v").alias("m"))))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = written(small)
+        near = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = written(both.join(sized(near), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(sized(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        before, e = e, written(small)
+        forget(before, near, large, least)
         mark = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark == seen:
             break

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw_texts, total_bytes, written
+from .common import forget, raw_texts, total_bytes, written
 from .components import components, sized
 
 #: Words of a shingle; the threshold as a fraction; sets of more than this are never enumerated.
@@ -320,8 +320,10 @@ def _joined_in_rounds(lists: DataFrame, contents: DataFrame, light: int) -> tupl
         names = sized(written(ends.where("other < part").groupBy("part").agg(F.min("other").alias("name"))))
         for _ in range(2):
             names = names.join(names.select(F.col("part").alias("name"), F.col("name").alias("least")), "name", "left").select("part", F.coalesce("least", "name").alias("name"))
-        lists = lists.join(sized(written(names)), "part", "left").select("key", *MEMBER, F.coalesce("name", "part").alias("part"))
+        names = written(names)
+        before, lists = lists, lists.join(sized(names), "part", "left").select("key", *MEMBER, F.coalesce("name", "part").alias("part"))
         lists = written(_mixed(lists))
+        forget(before, names)
     empty = lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     return functools.reduce(DataFrame.unionByName, found, empty), lists
 
