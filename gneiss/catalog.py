@@ -10,7 +10,7 @@ from gneiss.plans import concepts, discourse, extraction, relations, retrieval,
 
 NAMES = {
     text: "sentence_split chunk_packing parent_chunks conversation_sections turn_context document_frequency extractive_summary child_summaries lexical_top hash_embedding content_ids html_text",
-    retrieval: "fast_lanes fused_documents fused_sections fast_evidence hybrid_evidence legacy_documents legacy_children section_addresses document_addresses concept_terms reach_evidence",
+    retrieval: "fast_lanes cached_evidence fused_documents fused_sections fast_evidence hybrid_evidence legacy_documents legacy_children section_addresses document_addresses concept_terms reach_evidence",
     state: "dense_lane section_children diverse_hits entity_degree one_hop eligible_facts competing_facts admission_classes "
     "projection_states missing_projections census heartbeats order_state outbox_stream windowed_stream quality_metrics",
     relations: "line_entities surface_candidates fact_provenance authorized_facts retired_residue graph_seeds graph_facts canonical_registry registry_decisions corpus_entities grounded_turns "

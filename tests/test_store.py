@@ -149,3 +149,21 @@ def test_antecedents_equal_a_plain_walk(spark):
         else:
             want.append((d, p, mark, head, "UNIQUE_HEAD", len(same), same[0] if len(same) == 1 else None))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(d, p, m, h, rule, n, a) for d, p, m, h, rule, n, a in want], key=str)
+
+
+def test_each_distinct_text_is_encoded_once(spark, tmp_path):
+    from gneiss.operators.nearest import hashed
+    from gneiss.operators.vector_cache import with_vectors
+
+    s = V.Store(spark, f"file://{tmp_path}/s", buckets=2)
+    texts = spark.createDataFrame([(1, "abc def"), (2, "abc def"), (3, None), (4, ""), (5, "xyz")], "i int, text string")
+    got = {r.i: (r.text, bytes(r.vector)) for r in with_vectors(texts, s).collect()}
+    assert got == {r.i: (r.text, hashed(r.text).astype("<f4").tobytes()) for r in texts.collect()}
+    more = texts.unionByName(spark.createDataFrame([(6, "new one")], "i int, text string"))
+    assert with_vectors(texts, s).count() == 5 and with_vectors(more, s).count() == 6 and with_vectors(more, s, "other").count() == 6
+
+    def never(texts):
+        raise AssertionError("encoded again")
+
+    assert with_vectors(more, s, encode=never).count() == 6 and with_vectors(texts.limit(0), s).count() == 0
+    assert [r.receipt.split('"texts": ')[1] for r in s.receipts().collect()] == ["3}", "1}", "4}"]
