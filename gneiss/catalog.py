@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.plans import concepts, discourse, extraction, relations, retrieval, sinks, state, text
+from gneiss.plans import concepts, discourse, extraction, relations, retrieval, sinks, state, text, trees
 
 NAMES = {
     text: "sentence_split chunk_packing parent_chunks conversation_sections turn_context document_frequency extractive_summary child_summaries lexical_top hash_embedding content_ids html_text",
@@ -17,6 +17,7 @@ NAMES = {
     "event_funnel run_gaps run_artifacts fact_changes source_plan lane_metrics common_tokens order_predicates excerpts plain_sources document_forms document_regions",
     concepts: "document_concepts section_concepts corpus_concepts enriched_documents",
     discourse: "document_antecedents conversation_antecedents",
+    trees: "page_elements",
     sinks: "order_upserts registry_versions event_commits projection_claims",
     extraction: "trigger_spans bound_candidates compiled_facts pack_problems",
 }
