@@ -15,7 +15,7 @@ NAMES = {
     "projection_states missing_projections census heartbeats order_state outbox_stream windowed_stream quality_metrics",
     relations: "line_entities surface_candidates fact_provenance authorized_facts retired_residue graph_seeds graph_facts canonical_registry registry_decisions corpus_entities grounded_turns "
     "event_funnel run_gaps run_artifacts fact_changes source_plan lane_metrics common_tokens order_predicates excerpts plain_sources document_forms document_regions",
-    concepts: "document_concepts section_concepts corpus_concepts enriched_documents",
+    concepts: "document_concepts section_concepts corpus_concepts enriched_documents phrase_contractions",
     discourse: "document_antecedents conversation_antecedents",
     trees: "page_elements",
     sinks: "order_upserts registry_versions event_commits projection_claims",

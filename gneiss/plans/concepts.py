@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.operators import concepts as C
 from gneiss.operators.admission import GENERIC
 from gneiss.operators.chunking import pack_sentences
+from gneiss.operators.contractions import resolved
 from gneiss.plans.text import CHUNKS_CTE
 from gneiss.session import table
 
@@ -120,3 +121,27 @@ lines AS (SELECT doc_id, string_agg('- ' || surface, chr(10) ORDER BY rank) AS l
 texts AS (SELECT doc_id, summary, '[DOCUMENT SUMMARY]' || chr(10) || summary || chr(10) || chr(10) || '[KEY CONCEPTS]' || coalesce(chr(10) || l, '') AS t FROM summary LEFT JOIN lines USING (doc_id))
 SELECT doc_id, CASE WHEN length(t) > length(summary) + 240 THEN regexp_replace(substring(t, 1, length(summary) + 240), '[ \t\n\x0B\f\r]+$', '') ELSE t END AS text FROM texts
 """
+
+
+def phrase_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of up to four words that a document repeats, with the longer one that each shortens."""
+    names = C.merged(C.candidate_phrases(_chunks(spark, sf_dir), 4), "doc_id").where("occurrences > 1").select("doc_id", F.col("concept").alias("surface"), F.lit("Phrase").alias("type"))
+    return resolved(names).withColumn("candidates", F.array_join("candidates", "|"))
+
+
+PHRASE_CONTRACTIONS = f"""
+WITH RECURSIVE {PHRASES_CTE},
+names AS (
+  SELECT doc_id, concept AS surface, regexp_extract_all(concept, '[a-z0-9][a-z0-9-]*') AS t
+  FROM (SELECT doc_id, concept, count(DISTINCT (chunk_index, sentence, place, n_tokens)) AS n FROM named WHERE n_tokens <= 4 GROUP BY ALL) WHERE n > 1
+),
+pairs AS (
+  SELECT a.doc_id, a.surface, b.surface AS longer, b.t[1:len(a.t)] = a.t AS starts
+  FROM names a JOIN names b ON a.doc_id = b.doc_id AND len(a.t) > 0 AND len(a.t) < len(b.t) AND a.t[1] = b.t[1]
+  WHERE b.t[1:len(a.t)] = a.t OR (len(a.t) >= 2 AND a.t[-1] = b.t[-1] AND regexp_matches(' ' || array_to_string(b.t, ' ') || ' ', '^ ' || array_to_string(a.t, ' (?:[^ ]+ )*') || ' $'))
+),
+best AS (SELECT doc_id, surface, string_agg(longer, '|' ORDER BY longer) AS candidates, count(*) AS n, bool_or(starts) AS starts FROM pairs GROUP BY ALL)
+SELECT doc_id, surface, 'Phrase' AS type, CASE WHEN n = 1 THEN 'SAME_ENTITY' ELSE 'ABSTAIN' END AS decision, CASE WHEN n = 1 THEN candidates END AS resolved_to,
+       CASE WHEN n = 1 THEN CASE WHEN starts THEN 'anchor-prefix' ELSE 'head-preserving elision' END END AS shape, coalesce(candidates, '') AS candidates
+FROM names LEFT JOIN best USING (doc_id, surface)
+"""

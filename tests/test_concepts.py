@@ -97,3 +97,34 @@ def test_phrases_and_inventory_equal_a_plain_version(spark):
     for concept in list(both)[:50]:
         held = [p for p in plain_phrases(chunks, 5) if p[6] == concept]
         assert both[concept] == (len(held), len({p[:2] for p in held}))
+
+
+def test_contractions_equal_a_plain_version(spark, monkeypatch):
+    from gneiss.operators import contractions as X
+
+    r = random.Random(5)
+    words = ["red", "Gate", "north", "co-op", "x1"]
+    names = [(d, " ".join(r.choice(words) for _ in range(r.randint(1, 5))), r.choice(["A", "B"])) for d in range(12) for _ in range(14)] + [(50, None, "A"), (50, "?!", "A"), (51, "a b c d e f g h i j k l", "A"), (51, "a d l", "A"), (51, "a b", "A"), (51, "l a", "A")]
+    df = spark.createDataFrame(names, "doc_id long, surface string, type string")
+
+    def tokens(s):
+        return re.findall(r"[a-z0-9][a-z0-9\-]*", (s or "").lower())
+
+    def plain(d, s, kind):
+        st, found = tokens(s), {}
+        for e, other, k in {(e, o or "", k) for e, o, k in names}:
+            lt = tokens(other)
+            if e != d or k != kind or not st or len(st) >= len(lt):
+                continue
+            it = iter(lt)
+            if lt[: len(st)] == st:
+                found[other] = X.PREFIX
+            elif len(st) >= 2 and st[0] == lt[0] and st[-1] == lt[-1] and all(w in it for w in st):
+                found[other] = X.ELISION
+        one = len(found) == 1
+        return (d, s, kind, "SAME_ENTITY" if one else "ABSTAIN", *(next(iter(found.items())) if one else (None, None)), sorted(found))
+
+    want = sorted((plain(d, s, k) for d, s, k in {(d, s or "", k) for d, s, k in names}), key=str)
+    for inner in (8, 1):
+        monkeypatch.setattr(X, "INNER", inner)
+        assert sorted(map(tuple, X.resolved(df).collect()), key=str) == want
