@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.plans import concepts, discourse, extraction, intake, relations, retrieval, sinks, state, text, trees
+from gneiss.plans import concepts, discourse, extraction, intake, relations, reprocess, retrieval, sinks, state, text, trees
 
 NAMES = {
     text: "sentence_split chunk_packing parent_chunks conversation_sections turn_context document_frequency extractive_summary child_summaries lexical_top hash_embedding content_ids html_text",
@@ -18,6 +18,7 @@ NAMES = {
     concepts: "document_concepts section_concepts corpus_concepts enriched_documents phrase_contractions",
     discourse: "document_antecedents conversation_antecedents",
     trees: "page_elements",
+    reprocess: "reprocessed_facts reprocessed_counts",
     intake: "manifest_actions manifest_report run_census",
     sinks: "order_upserts registry_versions event_commits projection_claims",
     extraction: "trigger_spans bound_candidates compiled_facts pack_problems",
