@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.operators import spans as S
 from gneiss.operators.rules import compiled, passive, validate_pack
-from gneiss.operators.triggers import IRREGULAR, trigger_spans as found_triggers
+from gneiss.operators.triggers import IRREGULAR, bound_triggers, trigger_spans as found_triggers
 from gneiss.session import table
 
 #: A sentence and its end marks; entities are capitalised words and long ones.
@@ -36,6 +36,12 @@ def _type(mark: str) -> Column:
     return F.when(first <= KINDS[0][1], KINDS[0][0]).when(first <= KINDS[1][1], KINDS[1][0]).otherwise(KINDS[2][0])
 
 
+def type_of(mark: str) -> str:
+    """The same in Python."""
+    first = mark[0].upper()
+    return next((name for name, last in KINDS[:2] if first <= last), KINDS[2][0])
+
+
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """predicate, evidence_class, trigger (a lemma), subject_type, object_type, symmetric."""
     sides = F.array(*(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in s)) for s in SIGNATURES))
@@ -44,20 +50,29 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("predicate", "evidence_class", "trigger", F.col("s.a").alias("subject_type"), F.col("s.b").alias("object_type"), (F.col("rule") % 3 == 1).alias("symmetric"))
 
 
-def _bound(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates of sentences, and the sentences."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of sentences, with `begin` and `sentence`."""
+    docs, pack = table(spark, sf_dir, "documents").select("doc_id", "text"), _pack(spark, sf_dir)
+    signatures = _rules(spark, sf_dir).select("evidence_class", "subject_type", "object_type").distinct()
+    types = signatures.groupBy("evidence_class").agg(F.sort_array(F.collect_set("subject_type")).alias("a"), F.sort_array(F.collect_set("object_type")).alias("b")).collect()
+    met = bound_triggers(docs, pack, SENTENCE, ENTITY, S.joints_in, type_of, {r.evidence_class: (tuple(r.a), tuple(r.b)) for r in types}, S.LIST)
+    if met is not None:
+        each = met.select("doc_id", "frame", "begin", "sentence", F.explode("triggers").alias("f"))
+        own = ("start", "end", "mark", "kind", "lemma", "predicate", "evidence_class", "low", "high")
+        t = F.struct("doc_id", "frame", *(F.col(f"f.{c}").alias(c) for c in own), "begin", "sentence")
+        return S.paired(each.select(t.alias("t"), F.col("f.left").alias("left"), F.col("f.right").alias("right")), signatures)
     sentences = S.marks(docs, SENTENCE).withColumnRenamed("k", "frame")
     frames = sentences.select("doc_id", "frame", "start", "end")
-    found = found_triggers(docs, _pack(spark, sf_dir)).where("NOT covered").select("doc_id", F.col("span_start").cast("long").alias("start"), F.col("span_end").cast("long").alias("end"), "mark", "kind", "lemma", "predicate", "evidence_class")
+    found = found_triggers(docs, pack).where("NOT covered").select("doc_id", F.col("span_start").cast("long").alias("start"), F.col("span_end").cast("long").alias("end"), "mark", "kind", "lemma", "predicate", "evidence_class")
     entities = S.inside(S.marks(docs, ENTITY).drop("k"), frames).withColumn("type", _type("mark"))
     triggers = S.regions_of(S.inside(found, frames), docs, frames)
-    return S.typed_candidates(triggers, entities, _rules(spark, sf_dir).select("evidence_class", "subject_type", "object_type").distinct()), sentences
+    text = sentences.select("doc_id", "frame", F.col("start").alias("begin"), F.col("mark").alias("sentence"))
+    return S.typed_candidates(triggers, entities, signatures).join(text, ["doc_id", "frame"])
 
 
 def bound_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of typed entities around each trigger of a sentence that no longer one covers, or why there are none."""
-    return _bound(spark, sf_dir)[0].select(
+    return _bound(spark, sf_dir).select(
         "doc_id", "frame", F.col("start").alias("trigger_start"), F.col("end").alias("trigger_end"), "kind", "lemma", "predicate", "low", "high", "outcome",
         F.col("subject.mark").alias("subject"), F.col("subject.start").alias("subject_start"), F.col("object.mark").alias("object"), F.col("object.start").alias("object_start"),
     )
@@ -65,9 +80,7 @@ def bound_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compiled_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate with the fact that its predicate's rules make of it, or why they make none."""
-    found, sentences = _bound(spark, sf_dir)
-    text = sentences.select("doc_id", "frame", F.col("start").alias("begin"), F.col("mark").alias("sentence"))
-    rows = found.where("outcome = 'CANDIDATE_CREATED'").join(text, ["doc_id", "frame"])
+    rows = _bound(spark, sf_dir).where("outcome = 'CANDIDATE_CREATED'")
     scope = S.scope(F.col("sentence"), (F.col("start") - F.col("begin")).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
     ready = rows.select(
         F.concat_ws(":", "doc_id", "start", "predicate", "kind", "lemma", F.col("subject.start"), F.col("object.start")).alias("candidate"), "evidence_class", F.col("lemma").alias("trigger"), "predicate",
