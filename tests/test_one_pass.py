@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gneiss.operators import chunking as C
 from gneiss.operators import lexical as L
 from gneiss.operators import nearest as N
+from gneiss.plans.text import hash_embedding
 
 WORDS = "River river's banks, The the of. Zeta-9 café! it's 42. harbour_master x (Then) KELVIN".split()
 
@@ -58,3 +59,10 @@ def test_nearest_holds_few_scores_at_once(spark, monkeypatch):
     want = best()
     monkeypatch.setattr(N, "CELLS", 60)
     assert best() == want
+
+
+def test_hashed_dimensions_are_counted_in_rows(spark, tmp_path):
+    texts(spark, 4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = hash_embedding(spark, str(tmp_path))
+    assert exchanges(got) == 0 and {x.doc_id for x in got.collect()} == set(range(30)) - {2, 3}
+    assert all(abs(x.s - 1) < 1e-6 for x in got.groupBy("doc_id").agg(F.sum(F.col("value") * F.col("value")).alias("s")).collect())
