@@ -71,20 +71,29 @@ def _acts(word: Column, verbs: list[str]) -> Column:
     return word.isin(verbs) | ends("ed") | ends("es") | ends("s")
 
 
-def merged(phrases: DataFrame, *keys: str) -> DataFrame:
-    """keys, concept, n_tokens, occurrences, chunks, surface (the first): candidates as they occur in each group of the keys, or with none in the corpus."""
+def merged(phrases: DataFrame, *keys: str, apart: bool = False) -> DataFrame:
+    """keys, concept, n_tokens, occurrences, chunks, surface (the first): candidates as they occur in each group of the keys, or with none in the corpus.
+
+    apart: no chunk stands in several rows and none lacks its ids, so that each row is an occurrence; a chunk's occurrences are then counted first and no row is repeated for a distinct count.
+    """
     place = F.struct("doc_id", "chunk_index", "sentence", "place", "n_tokens")
-    return phrases.groupBy(*keys, "concept").agg(F.min("n_tokens").alias("n_tokens"), F.count_distinct(place).alias("occurrences"), F.count_distinct("doc_id", "chunk_index").alias("chunks"), F.min_by("surface", place).alias("surface"), F.bool_or(F.rlike("surface", F.lit("^[A-Za-z0-9'’]+(-[A-Za-z0-9'’]+)+$"))).alias("hyphens"))
+    hyphens = F.rlike("surface", F.lit("^[A-Za-z0-9'’]+(-[A-Za-z0-9'’]+)+$"))
+    if apart:
+        first = F.min(F.struct(place.alias("at"), "surface")).alias("f")
+        own = list(dict.fromkeys([*keys, "concept", "doc_id", "chunk_index"]))
+        each = phrases.groupBy(*own).agg(F.min("n_tokens").alias("n_tokens"), F.count("*").alias("occurrences"), first, F.bool_or(hyphens).alias("hyphens"))
+        return each.groupBy(*keys, "concept").agg(F.min("n_tokens").alias("n_tokens"), F.sum("occurrences").alias("occurrences"), F.count("*").alias("chunks"), F.min("f")["surface"].alias("surface"), F.bool_or("hyphens").alias("hyphens"))
+    return phrases.groupBy(*keys, "concept").agg(F.min("n_tokens").alias("n_tokens"), F.count_distinct(place).alias("occurrences"), F.count_distinct("doc_id", "chunk_index").alias("chunks"), F.min_by("surface", place).alias("surface"), F.bool_or(hyphens).alias("hyphens"))
 
 
-def inventory(chunks: DataFrame, summaries: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",), budget: int = BUDGET, verbs: list[str] = VERBS) -> DataFrame:
+def inventory(chunks: DataFrame, summaries: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",), budget: int = BUDGET, verbs: list[str] = VERBS, apart: bool = False) -> DataFrame:
     """keys, rank (from 0), concept_id, concept, surface, n_tokens, occurrences, chunks: the `budget` best concepts of each group of chunks (doc_id, chunk_index, text, the keys).
 
     Candidates of over LONGEST tokens, with a head that names nothing, a weak first word or (unless hyphenated) an act go first. A pair that occurs only inside the first of the longer
     candidates that have it goes to that one (longest useful span); concepts of acts go last. What is left is ranked by occurrences, chunks, share of telling words,
     tokens, occurrence in the group's summary (keys, summary), few weak words, and id.
 
-    Null and empty texts have none; everything is counted over all chunks, by joins on (keys, concept): no group is held in one place.
+    Null and empty texts have none; everything is counted over all chunks, by joins on (keys, concept): no group is held in one place. apart: see merged.
     """
     keyed = list(keys)
     own = chunks.select("doc_id", "chunk_index", *(k for k in keyed if k != "doc_id"), "text")
@@ -98,7 +107,7 @@ def inventory(chunks: DataFrame, summaries: DataFrame | None = None, keys: tuple
     gerund = F.regexp_extract(F.get(words, F.lit(0)), "^(.{3,})ing$", 1)
     clause = (F.size(words) >= 3) & (gerund != "") & (gerund.isin(verbs) | F.concat(gerund, F.lit("e")).isin(verbs))
     fragment = ~F.col("hyphens") & ((F.exists(words, act) & ~compound) | clause)
-    known = written(merged(phrases, *keyed).where(~last.isin(GENERIC) & ~F.get(words, F.lit(0)).isin(WEAK) & ~fragment))
+    known = written(merged(phrases, *keyed, apart=apart).where(~last.isin(GENERIC) & ~F.get(words, F.lit(0)).isin(WEAK) & ~fragment))
 
     longer = phrases.where("parts IS NOT NULL").join(known.select(*keyed, "concept"), [*keyed, "concept"], "left_semi")
     held = longer.select(*keyed, "doc_id", "chunk_index", "sentence", F.col("concept").alias("by"), "place", F.posexplode("parts").alias("k", "part")) if "doc_id" not in keyed else longer.select(*keyed, "chunk_index", "sentence", F.col("concept").alias("by"), "place", F.posexplode("parts").alias("k", "part"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.functions.values import told_apart
 from gneiss.operators import concepts as C
 from gneiss.operators.admission import GENERIC
 from gneiss.operators.chunking import pack_sentences
@@ -17,19 +18,24 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sentences(table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "parent_index", "text")
 
 
+def _apart(spark: SparkSession, sf_dir: str) -> bool:
+    """Does every document, and so every chunk, have an id of its own."""
+    return told_apart(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def document_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best concepts of every document."""
-    return C.inventory(_chunks(spark, sf_dir))
+    return C.inventory(_chunks(spark, sf_dir), apart=_apart(spark, sf_dir))
 
 
 def section_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six best concepts of every section."""
-    return C.inventory(_chunks(spark, sf_dir), keys=("doc_id", "parent_index"), budget=6)
+    return C.inventory(_chunks(spark, sf_dir), keys=("doc_id", "parent_index"), budget=6, apart=_apart(spark, sf_dir))
 
 
 def corpus_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of two to five tokens with its counts over the corpus."""
-    counts = C.merged(C.candidate_phrases(_chunks(spark, sf_dir)).where("doc_id IS NOT NULL"))
+    counts = C.merged(C.candidate_phrases(_chunks(spark, sf_dir)).where("doc_id IS NOT NULL"), apart=_apart(spark, sf_dir))
     return counts.select("concept", "n_tokens", "occurrences", "chunks", "surface")
 
 
@@ -37,7 +43,7 @@ def enriched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sentence of every document with its concepts, and these ranked by whether that sentence has them."""
     chunks = _chunks(spark, sf_dir)
     first = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.get(C.short_sentences(F.col("text")), F.lit(0)), F.lit("")).alias("summary"))
-    return C.enriched(first, C.inventory(chunks, first)).select("doc_id", "text")
+    return C.enriched(first, C.inventory(chunks, first, apart=_apart(spark, sf_dir))).select("doc_id", "text")
 
 
 def _listed(words: list[str]) -> str:
@@ -125,7 +131,7 @@ SELECT doc_id, CASE WHEN length(t) > length(summary) + 240 THEN regexp_replace(s
 
 def phrase_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The phrases of up to four words that a document repeats, with the longer one that each shortens."""
-    names = C.merged(C.candidate_phrases(_chunks(spark, sf_dir), 4), "doc_id").where("occurrences > 1").select("doc_id", F.col("concept").alias("surface"), F.lit("Phrase").alias("type"))
+    names = C.merged(C.candidate_phrases(_chunks(spark, sf_dir), 4), "doc_id", apart=_apart(spark, sf_dir)).where("occurrences > 1").select("doc_id", F.col("concept").alias("surface"), F.lit("Phrase").alias("type"))
     return resolved(names).withColumn("candidates", F.array_join("candidates", "|"))
 
 

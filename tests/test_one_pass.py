@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from gneiss.operators import chunking as C
+from gneiss.operators import concepts as K
 from gneiss.operators import lexical as L
 from gneiss.operators import nearest as N
 from gneiss.plans.text import hash_embedding
@@ -66,3 +67,14 @@ def test_hashed_dimensions_are_counted_in_rows(spark, tmp_path):
     got = hash_embedding(spark, str(tmp_path))
     assert exchanges(got) == 0 and {x.doc_id for x in got.collect()} == set(range(30)) - {2, 3}
     assert all(abs(x.s - 1) < 1e-6 for x in got.groupBy("doc_id").agg(F.sum(F.col("value") * F.col("value")).alias("s")).collect())
+
+
+def test_counts_by_chunk_equal_distinct_counts(spark):
+    chunks = texts(spark, 5).select("doc_id", F.lit(0).alias("chunk_index"), "text")
+    phrases = K.candidate_phrases(chunks.unionByName(chunks.withColumn("chunk_index", F.lit(1)))).localCheckpoint()
+    for keys in ([], ["doc_id"]):
+        got = K.merged(phrases, *keys, apart=True)
+        assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = K.merged(phrases, *keys)
+        rows = lambda df: sorted(map(tuple, df.select(*want.columns).collect()))
+        assert rows(got) == rows(want) and want.count() > 20
