@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,8 +22,9 @@ def fact_delta(before: DataFrame, after: DataFrame, moves: DataFrame) -> DataFra
     old = old.select(F.col("fact").alias("old_fact"), F.col("predicate"), F.col("to_subject").alias("s"), F.col("to_object").alias("o"), (F.col("new_subject").isNotNull() | F.col("new_object").isNotNull()).alias("moved"))
     new = after.select(F.col("fact").alias("new_fact"), F.col("predicate").alias("p"), F.col("subject").alias("ns"), F.col("object").alias("no")).distinct()
     met = old.join(new, F.col("predicate").eqNullSafe(F.col("p")) & F.col("s").eqNullSafe(F.col("ns")) & F.col("o").eqNullSafe(F.col("no")), "full")
-    sources = met.where("new_fact IS NOT NULL").groupBy("new_fact").agg(F.count_distinct("old_fact").alias("n"))
-    rows = met.join(sources, "new_fact", "left")
+    # old facts that come to none are spread by their ids, not gathered under null
+    own = Window.partitionBy("new_fact", F.when(F.col("new_fact").isNull(), F.col("old_fact")))
+    rows = met.withColumn("n", F.max(F.when(F.col("new_fact").isNotNull() & F.col("old_fact").isNotNull(), F.dense_rank().over(own.orderBy(F.desc_nulls_last("old_fact"))))).over(own))
     change = (
         F.when(F.col("old_fact").isNull(), "GAINED").when(F.col("new_fact").isNull(), "LOST").when(F.col("moved") & (F.col("n") > 1), "MERGED").when(F.col("moved"), "MOVED").otherwise("KEPT")
     )

@@ -27,3 +27,15 @@ def test_provenance_counts_documents_and_segments_without_expanding(spark, tmp_p
     got = relations.fact_provenance(spark, str(tmp_path))
     assert "Expand" not in plan(got)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.sql(relations.FACT_PROVENANCE).fetchall()))
+
+
+def test_lost_facts_are_not_gathered_in_one_task(spark):
+    facts = lambda ids: spark.createDataFrame([(f"f{i}", "p", f"s{i}", "o") for i in ids], "fact string, predicate string, subject string, object string")
+    moves = spark.createDataFrame([("x", "y")], "old string, new string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        delta = R.fact_delta(facts(range(200)), facts(range(150, 160)), moves).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len({r.task for r in delta if r.change == "LOST"}) > 1
+    assert sum(r.change == "LOST" for r in delta) == 190 and sum(r.change == "KEPT" and r.sources == 1 for r in delta) == 10
