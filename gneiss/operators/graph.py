@@ -29,10 +29,15 @@ def conflicts(facts: DataFrame) -> DataFrame:
 
     The sizes of what each competes with, not all pairs.
     """
-    same_object = facts.groupBy("predicate", "object").agg(F.countDistinct("subject").alias("subjects"))
-    same_pair = facts.groupBy("subject", "object").agg(F.countDistinct("predicate").alias("predicates"))
-    joined = facts.join(same_object, ["predicate", "object"]).join(same_pair, ["subject", "object"])
-    return joined.where("subjects > 1 or predicates > 1")
+    whole = facts.where("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL")
+    return _varied(_varied(whole, ["predicate", "object"], "subject", "subjects"), ["subject", "object"], "predicate", "predicates").where("subjects > 1 or predicates > 1")
+
+
+def _varied(rows: DataFrame, keys: list[str], of: str, name: str) -> DataFrame:
+    """rows with the number of distinct values of a column among those of equal keys, in one ordered pass: the last rank without gaps."""
+    by = Window.partitionBy(*keys)
+    ranked = rows.withColumn(name, F.dense_rank().over(by.orderBy(of)))
+    return ranked.withColumn(name, F.last(name).over(by.orderBy(of).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("long"))
 
 
 def surface_seeds(queries: DataFrame, entities: DataFrame, most_terms: int = 12, most: int = 8) -> DataFrame:

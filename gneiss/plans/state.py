@@ -111,7 +111,7 @@ WHERE subject IN (SELECT 'part:' || p_partkey FROM part WHERE p_size >= 5 OR p_s
 
 
 def competing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflicts(facts(spark, sf_dir)).select("fact", "subjects", "predicates")
+    return conflicts(facts(spark, sf_dir).select("fact", "subject", "predicate", "object")).select("fact", "subjects", "predicates")
 
 
 COMPETING_FACTS = f"""

@@ -39,3 +39,10 @@ def test_lost_facts_are_not_gathered_in_one_task(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len({r.task for r in delta if r.change == "LOST"}) > 1
     assert sum(r.change == "LOST" for r in delta) == 190 and sum(r.change == "KEPT" and r.sources == 1 for r in delta) == 10
+
+
+def test_conflicts_are_counted_in_ordered_passes(spark):
+    rows = [("f1", "a", "p", "x"), ("f2", "b", "p", "x"), ("f2", "b", "p", "x"), ("f3", "a", "q", "x"), ("f4", "c", "r", "y"), (None, None, "p", "x"), ("f5", "d", None, "x"), ("f6", "e", "r", None)]
+    got = G.conflicts(spark.createDataFrame(rows, "fact string, subject string, predicate string, object string"))
+    assert "Join" not in plan(got)
+    assert sorted(map(tuple, got.select("fact", "subjects", "predicates").collect())) == [("f1", 2, 2), ("f2", 2, 1), ("f2", 2, 1), ("f3", 1, 2)]
