@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.storage import written
+
 
 def endpoints(facts: DataFrame) -> DataFrame:
     """One row for each end of a fact (an OR-join as an equi-join); a loop has one."""
@@ -77,8 +79,9 @@ def expansion(seeds: DataFrame, facts: DataFrame, most: int = 20) -> DataFrame:
 
 def residue(facts: DataFrame, evidence: DataFrame, retired: DataFrame) -> DataFrame:
     """What goes with retired documents (doc_id), as kind and id: facts all of whose evidence (fact, doc_id) is in them, and entities all of whose facts go. A dry run."""
-    left = evidence.join(retired, "doc_id", "left_anti").select("fact").distinct()
-    gone = facts.join(evidence.select("fact").distinct(), "fact", "left_semi").join(left, "fact", "left_anti")
-    kept = endpoints(facts.join(gone.select("fact"), "fact", "left_anti")).select("entity").distinct()
-    lost = endpoints(gone).select("entity").distinct().join(kept, "entity", "left_anti")
-    return gone.select(F.lit("fact").alias("kind"), F.col("fact").alias("id")).unionByName(lost.select(F.lit("entity").alias("kind"), F.col("entity").alias("id")))
+    marked = evidence.select("fact", "doc_id").join(retired.select("doc_id").distinct().withColumn("retired", F.lit(True)), "doc_id", "left")
+    ends = marked.groupBy("fact").agg(F.bool_and(F.coalesce("retired", F.lit(False))).alias("gone"))
+    judged = written(facts.select("fact", "subject", "object").join(ends, "fact", "left").withColumn("gone", F.coalesce("gone", F.lit(False))))
+    lost = endpoints(judged).where("entity IS NOT NULL").groupBy("entity").agg(F.bool_and("gone").alias("gone"))
+    named = lambda df, kind: df.where("gone").select(F.lit(kind).alias("kind"), F.col(kind).alias("id"))
+    return named(judged, "fact").unionByName(named(lost, "entity"))

@@ -41,6 +41,14 @@ def test_lost_facts_are_not_gathered_in_one_task(spark):
     assert sum(r.change == "LOST" for r in delta) == 190 and sum(r.change == "KEPT" and r.sources == 1 for r in delta) == 10
 
 
+def test_residue_judges_each_fact_once(spark):
+    facts = spark.createDataFrame([("f1", "a", "b"), ("f2", "b", "c"), ("f3", "c", "d"), ("f4", "e", "e")], "fact string, subject string, object string")
+    evidence = spark.createDataFrame([("f1", 1), ("f1", 1), ("f2", 1), ("f2", 2), ("f4", 3), ("f4", 1)], "fact string, doc_id long")
+    got = G.residue(facts, evidence, spark.createDataFrame([(1,), (1,), (3,)], "doc_id long"))
+    assert "Join" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [("entity", "a"), ("entity", "e"), ("fact", "f1"), ("fact", "f4")]
+
+
 def test_conflicts_are_counted_in_ordered_passes(spark):
     rows = [("f1", "a", "p", "x"), ("f2", "b", "p", "x"), ("f2", "b", "p", "x"), ("f3", "a", "q", "x"), ("f4", "c", "r", "y"), (None, None, "p", "x"), ("f5", "d", None, "x"), ("f6", "e", "r", None)]
     got = G.conflicts(spark.createDataFrame(rows, "fact string, subject string, predicate string, object string"))
