@@ -44,15 +44,15 @@ def inherited(nodes: DataFrame, group: str, node: str, parent: str, value: str)
     """nodes with `value` from the nearest ancestor that has one where they have none.
 
     Pointers double: each round a node without a value takes its pointer's value, or else that one's pointer, so the rounds are the
-    logarithm of the depth. A pointer to nothing ends the search.
+    logarithm of the depth. A pointer to nothing ends the search. Files of such numbers are far smaller than their rows, so their size must not choose a broadcast.
     """
     at = written(nodes.select(group, node, F.col(parent).alias("up"), value))
     while not at.where(f"`{value}` IS NULL AND up IS NOT NULL").isEmpty():
         higher = at.select(group, F.col(node).alias("up"), F.col("up").alias("higher"), F.col(value).alias("theirs"), F.lit(True).alias("there"))
-        step = at.join(higher, [group, "up"], "left").select(group, node, F.when(F.col(value).isNull() & F.col("theirs").isNull() & F.col("there"), F.col("higher")).alias("up"), F.coalesce(value, "theirs").alias(value))
+        step = at.join(higher.hint("merge"), [group, "up"], "left").select(group, node, F.when(F.col(value).isNull() & F.col("theirs").isNull() & F.col("there"), F.col("higher")).alias("up"), F.coalesce(value, "theirs").alias(value))
         before, at = at, written(step)
         forget(before)
-    return nodes.drop(value).join(at.select(group, node, value), [group, node])
+    return nodes.drop(value).join(at.select(group, node, value).hint("merge"), [group, node])
 
 
 def element_trees(pages: DataFrame) -> DataFrame:

@@ -41,6 +41,12 @@ def test_lost_facts_are_not_gathered_in_one_task(spark):
     assert sum(r.change == "LOST" for r in delta) == 190 and sum(r.change == "KEPT" and r.sources == 1 for r in delta) == 10
 
 
+def test_inherited_values_are_not_broadcast_by_the_size_of_files(spark):
+    nodes = spark.createDataFrame([(g, n, n - 1 if n else None, "v" if n == 0 else None) for g in range(3) for n in range(9)], "g int, n int, up int, v string")
+    got = T.inherited(nodes, "g", "n", "up", "v")
+    assert "Broadcast" not in plan(got) and got.where("v = 'v'").count() == 27
+
+
 def test_residue_judges_each_fact_once(spark):
     facts = spark.createDataFrame([("f1", "a", "b"), ("f2", "b", "c"), ("f3", "c", "d"), ("f4", "e", "e")], "fact string, subject string, object string")
     evidence = spark.createDataFrame([("f1", 1), ("f1", 1), ("f2", 1), ("f2", 2), ("f4", 3), ("f4", 1)], "fact string, doc_id long")
