@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gneiss.functions.text import content_tokens
 
@@ -13,10 +17,25 @@ WIDTH = 240
 
 def excerpt(passage: Column, terms: Column, width: int = WIDTH) -> Column:
     """A window of about `width` characters around the first place of the rarest of the terms (longest, then first, among equals), whole words; without one the head."""
-    low = F.lower(F.coalesce(passage, F.lit("")))
-    uses = lambda t: (F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)
-    ranked = F.array_sort(F.transform(F.filter(terms, lambda t: F.length(t) > 3), lambda t: F.struct(uses(t).alias("uses"), (-F.length(t)).alias("length"), t.alias("t"))))
-    at = F.coalesce(F.instr(low, F.coalesce(F.get(ranked, F.lit(0))["t"], F.lit("\u0000"))), F.lit(0)) - 1
+    return _once(_rarest_at(F.lower(F.coalesce(passage, F.lit(""))), terms), lambda at: _window(passage, at, width))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+@F.pandas_udf(T.IntegerType())
+def _rarest_at(low: pd.Series, terms: pd.Series) -> pd.Series:
+    """Where the first place of the rarest of the terms of over three characters begins, from 0, or -1."""
+    out = []
+    for text, own in zip(low, terms):
+        long = [t for t in (own if own is not None else ()) if t is not None and len(t) > 3]
+        out.append(text.find(min(long, key=lambda t: (text.count(t), -len(t), t))) if long else -1)
+    return pd.Series(out, dtype="int32")
+
+
+def _window(passage: Column, at: Column, width: int) -> Column:
     n = F.length(passage)
     last = F.least(n, F.greatest(F.lit(0), at - width // 2) + width)
     first = F.greatest(F.lit(0), last - width)

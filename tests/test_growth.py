@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from gneiss.operators import evidence as E
 from gneiss.operators import graph as G
 from gneiss.operators import reprocess as R
 from gneiss.operators import trees as T
@@ -60,3 +61,10 @@ def test_conflicts_are_counted_in_ordered_passes(spark):
     got = G.conflicts(spark.createDataFrame(rows, "fact string, subject string, predicate string, object string"))
     assert "Join" not in plan(got)
     assert sorted(map(tuple, got.select("fact", "subjects", "predicates").collect())) == [("f1", 2, 2), ("f2", 2, 1), ("f2", 2, 1), ("f3", 1, 2)]
+
+
+def test_excerpts_rank_their_terms_once(spark):
+    df = spark.createDataFrame([(1, "\u0130zmir has alpha, longest and alpha again", ["alpha", "longest", None, "abc"]), (2, "plain\0text", []), (3, None, ["alpha"]), (4, "some text", None)], "i int, p string, t array<string>")
+    got = df.select("i", E.excerpt(F.col("p"), F.col("t"), 12).alias("e"))
+    assert got._jdf.queryExecution().analyzed().toString().count("_rarest_at(") == 1
+    assert dict(map(tuple, got.collect())) == {1: "alpha, longest", 2: "plain\0text", 3: None, 4: "some text"}
