@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import unicodedata
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,10 @@ ENDINGS = {".txt": "text", ".md": "markdown", ".markdown": "markdown", ".pdf": "
 WORD, CONTAINER, PACKAGE = (
     "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", "{urn:oasis:names:tc:opendocument:xmlns:container}", "{http://www.idpf.org/2007/opf}",
 )
+NAMES = ("path", "format", "source_hash", "size", "doc_id", "text", "parts", "error")
+ARROW_PARTS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("location", pa.string()), ("label", pa.string())]))
+#: Bytes of files that a task reads at once.
+SLICE = 1 << 20
 PART = "array<struct<start: int, end: int, kind: string, location: string, label: string>>"
 
 
@@ -93,21 +98,37 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", F.lit(None).cast("string").alias("media_type"))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of SLICE bytes of content, and of one row at least."""
+    at, held = 0, 0
+    for i, size in enumerate(batch.column("size").to_pylist()):
+        if held and held + size > SLICE:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += size
+    if batch.num_rows > at:
+        yield batch.slice(at)
+
+
 def materialized(files: DataFrame) -> DataFrame:
     """files (path, content, media_type) to path, format, doc_id, source_hash, text, content_hash, parts, status and error.
 
     doc_id is by the plain bytes, source_hash by the bytes as they are. Status: OK, EMPTY, LOW_YIELD (archives only) or FAILED with an error. Null contents are empty files.
     """
-    known = files.select("path", F.coalesce("content", F.lit(b"")).alias("content"), format_of(F.col("media_type"), F.col("path")).alias("format"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            read = [read_bytes(k, bytes(c)) for k, c in zip(rows["format"], rows["content"])]
-            plain = [plain_bytes(bytes(c)) for c in rows["content"]]
-            yield pd.DataFrame({"path": rows["path"], "format": rows["format"], "plain": plain, "content": rows["content"], "text": [r[0] for r in read], "parts": [r[1] for r in read], "error": [r[2] for r in read]})
-
-    rows = known.mapInPandas(run, f"path string, format string, plain binary, content binary, text string, parts {PART}, error string")
+    content = F.coalesce("content", F.lit(b""))
+    known = files.select("path", format_of(F.col("media_type"), F.col("path")).alias("format"), F.sha2(content, 256).alias("source_hash"), F.octet_length(content).alias("size"), content.alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _slices(batch):
+                raw = rows.column("content").to_pylist()
+                read = [read_bytes(k, c) for k, c in zip(rows.column("format").to_pylist(), raw)]
+                hashes = pa.array(["doc_" + hashlib.sha256(plain_bytes(c)).hexdigest() for c in raw], pa.string())
+                kept = [rows.column(n) for n in ("path", "format", "source_hash", "size")]
+                yield pa.RecordBatch.from_arrays([*kept, hashes, *(pa.array([r[i] for r in read], t) for i, t in enumerate((pa.string(), ARROW_PARTS, pa.string())))], [*NAMES])
+
+    rows = known.mapInArrow(run, f"path string, format string, source_hash string, size int, doc_id string, text string, parts {PART}, error string")
     blank = ~F.rlike("text", F.lit(r"\S"))
     archive = F.col("format").isin("epub", "docx")
-    state = F.when(F.col("error").isNotNull(), "FAILED").when(blank, "EMPTY").when(archive, status(F.col("text"), F.octet_length("content"))).otherwise("OK")
-    return rows.select("path", "format", F.concat(F.lit("doc_"), F.sha2("plain", 256)).alias("doc_id"), F.sha2("content", 256).alias("source_hash"), "text", F.sha2("text", 256).alias("content_hash"), "parts", state.alias("status"), "error")
+    state = F.when(F.col("error").isNotNull(), "FAILED").when(blank, "EMPTY").when(archive, status(F.col("text"), F.col("size"))).otherwise("OK")
+    return rows.select("path", "format", "doc_id", "source_hash", "text", F.sha2("text", 256).alias("content_hash"), "parts", state.alias("status"), "error")

@@ -1,6 +1,7 @@
 """Steps whose time, memory or shuffled rows grew faster than the tables."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gneiss.operators import evidence as E
@@ -8,6 +9,7 @@ from gneiss.operators import graph as G
 from gneiss.operators import reprocess as R
 from gneiss.operators import trees as T
 from gneiss.plans import relations
+from gneiss.sources import files
 
 
 def plan(df):
@@ -68,3 +70,18 @@ def test_excerpts_rank_their_terms_once(spark):
     got = df.select("i", E.excerpt(F.col("p"), F.col("t"), 12).alias("e"))
     assert got._jdf.queryExecution().analyzed().toString().count("_rarest_at(") == 1
     assert dict(map(tuple, got.collect())) == {1: "alpha, longest", 2: "plain\0text", 3: None, 4: "some text"}
+
+
+def test_files_are_read_in_small_runs_of_rows():
+    sizes = [10, files.SLICE, 5, 5, 3 * files.SLICE, 0, 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(sizes)], ["i", "size"])
+    assert [r.column("i").to_pylist() for r in files._slices(batch)] == [[0], [1], [2, 3], [4], [5, 6]]
+    assert list(files._slices(batch.slice(0, 0))) == []
+
+
+def test_contents_of_files_do_not_come_back_from_python(spark):
+    df = spark.createDataFrame([("a.txt", b"\xef\xbb\xbfa\r\nb", None), ("b.bin", None, None), ("c.md", b"\xff", None)], "path string, content binary, media_type string")
+    got = files.materialized(df)
+    assert "MapInPandas" not in plan(got)
+    rows = {r.path: (r.status, r.text, r.error) for r in got.collect()}
+    assert rows == {"a.txt": ("OK", "a\nb", None), "b.bin": ("FAILED", None, "UNSUPPORTED_FORMAT"), "c.md": ("FAILED", None, "CORRUPTED: UnicodeDecodeError")}
