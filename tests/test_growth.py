@@ -1,5 +1,7 @@
 """Steps whose time, memory or shuffled rows grew faster than the tables."""
 
+import random
+
 import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from gneiss.operators import evidence as E
 from gneiss.operators import graph as G
 from gneiss.operators import reprocess as R
+from gneiss.operators import spans as S
 from gneiss.operators import trees as T
 from gneiss.plans import relations
 from gneiss.sources import files
@@ -85,3 +88,19 @@ def test_contents_of_files_do_not_come_back_from_python(spark):
     assert "MapInPandas" not in plan(got)
     rows = {r.path: (r.status, r.text, r.error) for r in got.collect()}
     assert rows == {"a.txt": ("OK", "a\nb", None), "b.bin": ("FAILED", None, "UNSUPPORTED_FORMAT"), "c.md": ("FAILED", None, "CORRUPTED: UnicodeDecodeError")}
+
+
+def test_line_candidates_are_made_in_rows_and_equal_the_ordered_passes(spark):
+    r = random.Random(4)
+    words = ["Ada", "Bob", "cat", " ", "Cat", "and", "the", "\n", "\n\n", "\u00c4rger Eva", "Dan with Dan", "\u2028", "\t\n"]
+    rows = [(d, None if d == 3 else " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    trigger, entity = relations.TRIGGER, relations.ENTITY
+    got = S.line_candidates(docs, trigger, entity)
+    assert "Exchange" not in plan(got) and "Window" not in plan(got)
+    lines = S.pieces(docs, r"\n")
+    want = S.candidates(*(S.inside(S.marks(docs, p).drop("k"), lines) for p in (trigger, entity)))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    twice = docs.unionByName(docs.where("doc_id = 1"))
+    assert "Window" in plan(S.line_candidates(twice, trigger, entity))
