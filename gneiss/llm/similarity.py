@@ -16,7 +16,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +31,8 @@ COUNTED, LOCAL, FREQUENT, MOST_FREQUENT = 3_000_000, 6, 24, 1_000_000
 #: List entries that linked sets share at least, and the part of the smaller set that they are; text bytes per bucket of inverted lists, and the most buckets of that size; one in so many keys
 #: serves to find each set's first comparison.
 SHARED, PART, BUCKET_BYTES, MOST_BUCKETS, FIRST_KEYS = 5, 16, 1 << 20, 200_000, 8
-#: Rounds of joining at most; sets that a list offers in a round; which part of the links of the best round is few; how many pairs a member are few; members of a long list's pieces. Text bytes per bucket where there would be more than MOST_BUCKETS.
-MOST_ROUNDS, CENTRES, FEW, FEW_PAIRS, LIST_PIECE, LARGE_BUCKET = 12, 4, 32, 4, 400, 1 << 24
+#: Rounds of joining at most; sets that a list offers in a round; which part of the links of the best round, or of a list's members, is few; how many pairs a member are few; members of a long list, and of the pieces of the longest. Text bytes per bucket where there would be more than MOST_BUCKETS. Pairs of members looked at, and held, at once.
+MOST_ROUNDS, CENTRES, FEW, FEW_PAIRS, LONG_LIST, LIST_PIECE, LARGE_BUCKET, PAIRS_AT_ONCE, HELD_PAIRS = 12, 4, 32, 4, 400, 16_000, 1 << 24, 250_000, 1_000_000
 #: 64-bit words of a set's parity sketch; at most so many rows with one are broadcast (20 MB).
 SKETCH, BROADCAST_SKETCHES = 8, 150_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -269,63 +269,181 @@ def _shared_sizes(contents: DataFrame) -> DataFrame:
 MEMBER = ("id", "n", "shared", "sketch")
 
 
-def _differing(x: Column, y: Column) -> Column:
-    """In how many bits two members' sketches differ: they differ in at least as many shingles."""
-    return sum((F.bit_count(F.get(x["sketch"], F.lit(i)).bitwiseXOR(F.get(y["sketch"], F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-
-
-def _possible(x: Column, y: Column, light: int) -> Column:
-    """May two members be linked, by their sizes, by what each shares with any other set, and by their sketches?"""
-    n, m, bits = x["n"], y["n"], _differing(x, y)
-    by_size = (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (F.greatest(n, m) > light)
-    return by_size & (F.least(x["shared"], y["shared"]) * (NUM + DEN) >= (n + m) * NUM) & ((n + m - bits) * (NUM + DEN) >= (n + m) * 2 * NUM)
-
-
 def _mixed(placed: DataFrame) -> DataFrame:
     """The lists whose members are of several parts."""
     several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     return placed.join(sized(written(several)), "key", "left_semi")
 
 
-def _joined_in_rounds(lists: DataFrame, contents: DataFrame, light: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that join parts of the lists (key, id, n, part, shared, sketch), and the lists with the parts that are left.
+def _may_link(x: np.ndarray, y: np.ndarray, of: dict[str, np.ndarray], light: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the members x and y may be linked, by their parts, their sizes, what each shares with any other set, and their sketches; and in how many bits the sketches of these differ."""
+    n, m = of["n"][x], of["n"][y]
+    small, large = np.minimum(n, m), np.maximum(n, m)
+    apart = (of["part"][x] != of["part"][y]) & ((of["cross"][x] == 0) | (of["piece"][x] != of["piece"][y]))
+    able = np.nonzero(apart & (small * DEN >= large * NUM) & (large > light) & (np.minimum(of["shared"][x], of["shared"][y]) * (NUM + DEN) >= (n + m) * NUM))[0]
+    bits = np.bitwise_count(of["sketch"][x[able]] ^ of["sketch"][y[able]]).sum(axis=1, dtype=np.int64)
+    both = (n + m)[able]
+    near = (both - bits) * (NUM + DEN) >= both * 2 * NUM
+    return able[near], bits[near]
+
+
+def _pairs_of(starts: np.ndarray, ends: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within the lists [start, end), whose members ascend by n, that are near enough in size; at most about PAIRS_AT_ONCE of them at a time."""
+    lengths = ends - starts
+    x = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    stop = np.repeat(ends, lengths)
+    if len(lengths) and lengths.max() > 64:
+        long = np.nonzero(lengths > 64)[0]
+        for i, at in zip(long, (np.cumsum(lengths) - lengths)[long]):
+            own = n[starts[i] : ends[i]]
+            stop[at : at + len(own)] = starts[i] + np.searchsorted(own, own * DEN // NUM, side="right")
+    each = stop - x - 1
+    upto, low = np.cumsum(each), 0
+    while low < len(x):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS_AT_ONCE, side="right")))
+        k = each[low:high]
+        left = np.repeat(x[low:high], k)
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+        low = high
+
+
+MET = T.StructType(
+    [
+        # a list that stays open; else a pair, how many lists of one bucket hold it and how many of all must; else a member, a centre, the distance of their sketches, and their parts
+        T.StructField("key", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("k", T.LongType()), T.StructField("enough", T.LongType()),
+        T.StructField("far", T.DoubleType()), T.StructField("part", T.LongType()), T.StructField("other", T.LongType()),
+    ]
+)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pair (a, b) first stands, and how often it is there."""
+    order = np.lexsort((b, a))
+    first = np.nonzero((np.diff(a[order], prepend=0) != 0) | (np.diff(b[order], prepend=0) != 0) | (np.arange(len(a)) == 0))[0]
+    return order[first], np.diff(np.append(first, len(a)))
+
+
+def _blocks(lists: DataFrame, piece: int) -> DataFrame:
+    """The lists with block, piece and cross: a list of more than `piece` members is split, and each two of its pieces meet in a block (cross), each piece in one of its own."""
+    sizes = written(lists.groupBy("key").count().where(F.col("count") > piece).select("key", F.ceil(F.col("count") / F.lit(piece)).cast("int").alias("pieces")))
+    if sizes.isEmpty():
+        return lists.select("*", F.lit(0).alias("block"), F.lit(0).alias("piece"), F.lit(False).alias("cross"))
+    split = lists.join(sized(sizes), "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    block = F.least("piece", "other") * F.col("pieces") + F.greatest("piece", "other")
+    return split.select(*lists.columns, block.alias("block"), "piece", (F.col("piece") != F.col("other")).alias("cross"))
 
-    In each round every list offers a few centres, one of its largest part and others drawn anew, to its members of other parts. A
-    member is compared with the offered set whose sketch is nearest to its own: as many comparisons as there are members, however
-    long the lists. Rounds end when the lists' pairs across parts are few for their members, or when one finds few links; they spare comparisons and decide nothing.
+
+def _met(lists: DataFrame, light: int, buckets: int, number: int, last: bool, long_list: int, piece: int) -> DataFrame:
+    """What the members of the lists (key, id, n, part, shared, sketch) may be linked with, as rows of MET; lists of one part are dropped.
+
+    A list gives all its pairs across parts that may be linked. One with many such pairs for its members stays open instead, unless this is the last
+    round, and offers a few centres, one of its largest part and others drawn anew, to its members of other parts. Lists of more than
+    `long_list` members meet their centres first, and all their pairs are only looked at if few members may be linked with one.
     """
-    member, found, tried, most = F.struct(*MEMBER), [], None, 0
-    for number in range(MOST_ROUNDS):
-        sizes = lists.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"))
-        work = sizes.agg(F.sum("n").alias("members"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
-        if not work.members or work.pairs <= FEW_PAIRS * work.members:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        of = {c: table.column(c).to_numpy().astype(np.int64) for c in ("key", "block", "id", "n", "part", "shared", "piece", "cross")}
+        order = np.lexsort((of["id"], of["n"], of["block"], of["key"]))
+        of = {c: v[order] for c, v in of.items()}
+        of["sketch"] = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)[order]
+        starts = np.nonzero((np.diff(of["key"], prepend=0) != 0) | (np.diff(of["block"], prepend=0) != 0) | (np.arange(len(order)) == 0))[0]
+        several = np.minimum.reduceat(of["part"], starts) != np.maximum.reduceat(of["part"], starts)
+        starts, ends = starts[several], np.append(starts[1:], len(order))[several]
+        opened = np.zeros(len(starts), bool)
+
+        def batch(**columns: np.ndarray) -> pa.RecordBatch:
+            size = len(next(iter(columns.values())))
+            types = [pa.float64() if c == "far" else pa.int64() for c in MET.names]
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(MET.names, types)], names=MET.names)
+
+        def offer(start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The list's members and centres that may be linked, and in how many bits their sketches differ."""
+            at = np.arange(start, end)
+            parts, sizes = np.unique(of["part"][at], return_counts=True)
+            drawn = [_mix((of["id"][at].astype(np.uint64) + np.uint64(number * CENTRES + i + 1)) * _FACTORS[0]) for i in range(CENTRES)]
+            main = np.nonzero(of["part"][at] == parts[sizes.argmax()])[0]
+            centres = np.unique([main[drawn[0][main].argmin()], *(h.argmin() for h in drawn[1:])]) + start
+            x, y = np.repeat(at, len(centres)), np.tile(centres, len(at))
+            got, bits = _may_link(x, y, of, light)
+            return x[got], y[got], bits
+
+        def closed(held: list[tuple]) -> pa.RecordBatch:
+            x, y, at = (np.concatenate(h) for h in zip(*held))
+            x, y = x[~opened[at]], y[~opened[at]]
+            a, b = np.maximum(of["id"][x], of["id"][y]), np.minimum(of["id"][x], of["id"][y])
+            first, uses = _distinct(a, b)
+            n, m = of["n"][x[first]], of["n"][y[first]]
+            enough = np.minimum(np.maximum(SHARED, np.minimum(n, m) // PART), -(-(n + m) * NUM // (NUM + DEN)))
+            return batch(a=a[first], b=b[first], k=uses, enough=enough)
+
+        if not last:
+            for i in np.nonzero(ends - starts > long_list)[0]:
+                opened[i] = len(np.unique(offer(starts[i], ends[i])[0])) * FEW > ends[i] - starts[i]
+        here = np.nonzero(~opened)[0]
+        found, held, total = np.zeros(len(starts), np.int64), [], 0
+        for x, y in _pairs_of(starts[here], ends[here], of["n"]):
+            got, _ = _may_link(x, y, of, light)
+            x, y = x[got], y[got]
+            at = np.searchsorted(starts, x, side="right") - 1
+            found += np.bincount(at, minlength=len(starts))
+            if not last:
+                opened |= found > FEW_PAIRS * (ends - starts)
+            held.append((x, y, at))
+            total += len(x)
+            if total > HELD_PAIRS:
+                yield closed(held)
+                held, total = [], 0
+        if held:
+            yield closed(held)
+        if opened.any():
+            x, y, bits = (np.concatenate(o) for o in zip(*(offer(starts[i], ends[i]) for i in np.nonzero(opened)[0])))
+            first, _ = _distinct(of["id"][x], of["id"][y])
+            x, y, bits = x[first], y[first], bits[first]
+            yield batch(a=of["id"][x], b=of["id"][y], far=bits / (of["n"][x] + of["n"][y]), part=of["part"][x], other=of["part"][y])
+            yield batch(key=np.unique(of["key"][starts[opened]]))
+
+    return _blocks(lists, piece).groupBy(F.pmod(F.xxhash64("key", "block"), F.lit(buckets)).alias("bucket")).applyInArrow(run, MET)
+
+
+def _pairs_across(lists: DataFrame, contents: DataFrame, light: int, buckets: int, long_list: int = LONG_LIST, piece: int = LIST_PIECE) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join parts of the lists, and the pairs (a, b) across parts that are still to be compared.
+
+    Most lists give their pairs in the first pass. While some stay open there are rounds: a member of one is compared with the centre whose
+    sketch is nearest to its own, as many comparisons as there are members, however long the lists, and parts that are linked become one.
+    Rounds end when no list stays open, or when one finds few links; they spare comparisons and decide nothing.
+    """
+    found, rest, tried, most, last = [], [], None, 0, not MOST_ROUNDS
+    for number in range(MOST_ROUNDS + 1):
+        met = written(_met(lists, light, buckets, number, last, long_list, piece))
+        opened = written(met.where("key is not null").select("key").distinct())
+        closed = met.where("k is not null").groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("enough").alias("enough"))
+        if opened.isEmpty():
+            # all lists of these pairs are counted here, or have given them before
+            rest.append(closed.where("k >= enough").select("a", "b"))
             break
-        drawn = [F.xxhash64("id", F.lit(number * CENTRES + i)) for i in range(CENTRES)]
-        at = F.struct(member.alias("centre"), F.col("part").alias("other"))
-        by_part = lists.groupBy("key", "part").agg(F.count("*").alias("k"), *(F.min_by(at, h).alias(f"c{i}") for i, h in enumerate(drawn)), *(F.min(h).alias(f"h{i}") for i, h in enumerate(drawn)))
-        centres = by_part.groupBy("key").agg(F.array(F.max_by("c0", F.struct("k", "part")), *(F.min_by(f"c{i}", f"h{i}") for i in range(1, CENTRES))).alias("of"))
-        met = lists.join(centres.select("key", F.explode("of").alias("of")), "key").where((F.col("part") != F.col("of.other")) & _possible(member, F.col("of.centre"), light))
-        pairs = met.select(F.col("id").alias("a"), F.col("of.centre.id").alias("b"), "part", F.col("of.other").alias("other"), (_differing(member, F.col("of.centre")) / (F.col("n") + F.col("of.centre.n"))).alias("far"))
-        pairs = pairs.dropDuplicates(["a", "b"]) if tried is None else pairs.dropDuplicates(["a", "b"]).join(tried, ["a", "b"], "left_anti")
+        rest.append(closed.select("a", "b"))
+        pairs = met.where("far is not null")
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs.groupBy("a").agg(F.min_by(F.struct("b", "part", "other"), F.struct("far", "b")).alias("of")).select("a", "of.*"))
         new = written(_linked(pairs.select("a", "b"), contents))
         found.append(new)
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         size = new.count()
         most = max(most, size)
-        if size * FEW <= most:
-            break
+        last = size * FEW <= most or number == MOST_ROUNDS - 1
         # a part takes the name of the least part it is linked to: equal names stay in one component, and the next rounds join what this leaves apart
         ends = pairs.join(new, ["a", "b"]).select(F.explode(F.array(F.struct("part", "other"), F.struct(F.col("other").alias("part"), F.col("part").alias("other")))).alias("e")).select("e.*")
         names = sized(written(ends.where("other < part").groupBy("part").agg(F.min("other").alias("name"))))
         for _ in range(2):
             names = names.join(names.select(F.col("part").alias("name"), F.col("name").alias("least")), "name", "left").select("part", F.coalesce("least", "name").alias("name"))
         names = written(names)
-        before, lists = lists, lists.join(sized(names), "part", "left").select("key", *MEMBER, F.coalesce("name", "part").alias("part"))
-        lists = written(_mixed(lists))
+        before, lists = lists, lists.join(sized(opened), "key", "left_semi").join(sized(names), "part", "left").select("key", *MEMBER, F.coalesce("name", "part").alias("part"))
+        lists = written(lists)
         forget(before, names)
     empty = lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return functools.reduce(DataFrame.unionByName, found, empty), lists
+    return functools.reduce(DataFrame.unionByName, found, empty), functools.reduce(DataFrame.unionByName, rest).distinct()
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -333,9 +451,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     1. Every whole text becomes a set; equal sets are one class, for which its smallest doc_id stands.
     2. Classes meet by shared subsets or list entries. First each meets one other, the one it shares most of some keys with, which joins groups
-       of near copies by as many comparisons as they have members; more such rounds, over lists that still hold more than one component,
-       join what is left of them. Last, in every list that holds several components even then, all pairs across components that share
-       enough entries are compared, so that no link between components is missed.
+       of near copies by as many comparisons as they have members. Then every list that holds several components gives all pairs across
+       them that may be linked, which are compared, so that no link between components is missed; lists with many such pairs are joined in
+       rounds of few comparisons before.
     3. Components of the links found are those of all links, since what isn't compared is in one component already.
 
     Texts without words have 0 shingles and are linked with nothing, a null text too; rows with a null doc_id come back with
@@ -385,22 +503,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
         able = written(_shared_sizes(contents).join(strong, "id").where(F.col("shared") >= most).select("id", "shared"))
         contents = contents.join(sized(able.select("id").distinct()), "id", "left_semi")
     able = written(able.join(contents.select("id", "sketch"), "id"))
-    open_lists = written(_mixed(open_lists.join(sized(able, BROADCAST_SKETCHES), "id")))
-    found, open_lists = _joined_in_rounds(open_lists, contents, light)
-
-    sizes = open_lists.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.ceil(F.sum("k") / F.lit(LIST_PIECE)).cast("int").alias("pieces"))
-    sized_lists = open_lists.join(sizes, "key")
-    # long lists are split: a piece of one side meets the whole of the other
-    x = sized_lists.where("part <> main").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).alias("x")
-    y = sized_lists.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    # pairs of two small parts are met from both sides
-    once = (F.col("y.part") == F.col("x.main")) | (F.col("x.id") < F.col("y.id"))
-    possible = _possible(*(F.struct(*(F.col(f"{side}.{c}") for c in MEMBER)) for side in "xy"), light)
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.piece") == F.col("y.piece")) & (F.col("x.part") != F.col("y.part")) & once & possible)
-    enough = F.least(entries(n), entries(m), F.ceil((n + m) * NUM / F.lit(NUM + DEN)))
-    counted = across.groupBy(F.least("x.id", "y.id").alias("b"), F.greatest("x.id", "y.id").alias("a"), enough.alias("enough")).agg(F.count("*").alias("k"))
-    rest = written(counted.where("k >= enough").select("a", "b").join(first_pairs, ["a", "b"], "left_anti"))
+    found, rest = _pairs_across(open_lists.join(sized(able, BROADCAST_SKETCHES), "id"), contents, light, buckets)
+    rest = written(rest.join(first_pairs, ["a", "b"], "left_anti"))
     joined = components(links.unionByName(found).unionByName(_linked(rest, contents))).withColumnRenamed("node", "root")
 
     named = classes.select("set", "root").join(sized(written(joined)), "root").select("set", F.col("component").alias("component_id"))
