@@ -10,6 +10,7 @@ from gneiss.operators import concepts as C
 from gneiss.operators.admission import GENERIC
 from gneiss.operators.chunking import pack_sentences
 from gneiss.operators.contractions import resolved
+from gneiss.operators.phrases import inventories
 from gneiss.plans.text import CHUNKS_CTE
 from gneiss.session import table
 
@@ -25,7 +26,7 @@ def _apart(spark: SparkSession, sf_dir: str) -> bool:
 
 def document_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best concepts of every document."""
-    return C.inventory(_chunks(spark, sf_dir), apart=_apart(spark, sf_dir))
+    return inventories(table(spark, sf_dir, "documents")) if _apart(spark, sf_dir) else C.inventory(_chunks(spark, sf_dir))
 
 
 def section_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
