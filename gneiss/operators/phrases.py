@@ -298,3 +298,19 @@ def inventories(docs: DataFrame, budget: int = C.BUDGET, sections: bool = False)
         return of
 
     return _made(docs, schema, ["text", *(c for c in ("said",) if c in docs.columns)], make)
+
+
+def enriched_texts(docs: DataFrame, budget: int = C.BUDGET, most: int = 240) -> DataFrame:
+    """doc_id, text: what concepts.enriched makes of docs (doc_id, text, summary, and its normal form as said) and their inventories."""
+
+    def make() -> Callable[..., list[tuple]]:
+        phrases = Phrases()
+
+        def of(text: str | None, summary: str, said: str) -> list[tuple]:
+            lines = [f"\n- {x[2]}" for x in inventory_of(chunks_of(text), said, budget, phrases)]
+            out, limit = f"[DOCUMENT SUMMARY]\n{summary.strip(SPACE)}\n\n[KEY CONCEPTS]{''.join(lines)}", len(summary) + most
+            return [(out[:limit].rstrip(SPACE) if len(out) > limit else out,)]
+
+        return of
+
+    return _made(docs, _schema(docs, "text string"), ["text", "summary", "said"], make)

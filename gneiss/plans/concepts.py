@@ -10,7 +10,7 @@ from gneiss.operators import concepts as C
 from gneiss.operators.admission import GENERIC
 from gneiss.operators.chunking import pack_sentences
 from gneiss.operators.contractions import resolved
-from gneiss.operators.phrases import inventories
+from gneiss.operators.phrases import enriched_texts, inventories
 from gneiss.plans.text import CHUNKS_CTE
 from gneiss.session import table
 
@@ -42,9 +42,11 @@ def corpus_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sentence of every document with its concepts, and these ranked by whether that sentence has them."""
-    chunks = _chunks(spark, sf_dir)
-    first = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.get(C.short_sentences(F.col("text")), F.lit(0)), F.lit("")).alias("summary"))
-    return C.enriched(first, C.inventory(chunks, first, apart=_apart(spark, sf_dir))).select("doc_id", "text")
+    first = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.get(C.short_sentences(F.col("text")), F.lit(0)), F.lit("")).alias("summary"))
+    if _apart(spark, sf_dir):
+        return enriched_texts(first.withColumn("said", C.normal_concept(F.col("summary"))))
+    first = first.drop("text")
+    return C.enriched(first, C.inventory(_chunks(spark, sf_dir), first)).select("doc_id", "text")
 
 
 def _listed(words: list[str]) -> str:

@@ -51,3 +51,10 @@ def test_document_concepts_are_made_in_rows_and_equal_the_joins(spark, docs, sf_
         assert rows(P.inventories(docs, budget)) == rows(C.inventory(own(docs), budget=budget))
     said = docs.withColumn("summary", F.lit("Working memory-load, river! new model of change"))
     assert rows(P.inventories(said.withColumn("said", C.normal_concept(F.col("summary"))))) == rows(C.inventory(own(docs), said.drop("text")))
+
+
+def test_enriched_documents_are_made_in_rows_and_equal_the_joins(spark, docs, sf_dir):
+    got = Q.enriched_documents(spark, sf_dir)
+    assert exchanges(got) == 0
+    first = docs.select("doc_id", F.coalesce(F.get(C.short_sentences(F.col("text")), F.lit(0)), F.lit("")).alias("summary"))
+    assert rows(got) == rows(C.enriched(first, C.inventory(own(docs), first)).select("doc_id", "text"))
