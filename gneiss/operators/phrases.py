@@ -314,3 +314,42 @@ def enriched_texts(docs: DataFrame, budget: int = C.BUDGET, most: int = 240) ->
         return of
 
     return _made(docs, _schema(docs, "text string"), ["text", "summary", "said"], make)
+
+
+def contractions_of(names: Collection[str]) -> Iterator[tuple[str, list[str], str]]:
+    """surface, candidates, shape if there is only one, of one group's names, as contractions.resolved has them."""
+    tokens = {x: tuple(WORD(x)) for x in names}
+    known = set(tokens.values())
+    longer: dict[tuple, dict[str, int]] = {}
+    for x, t in tokens.items():
+        forms = {t[:k]: 0 for k in range(1, len(t))}
+        if 2 < len(t) <= X.INNER + 2:
+            inner = t[1:-1]
+            for k in range(len(inner)):
+                for some in combinations(inner, k):
+                    forms.setdefault((t[0], *some, t[-1]), 1)
+        elif len(t) > 2:
+            for s in known:
+                if 1 < len(s) < len(t) and s[0] == t[0] and s[-1] == t[-1] and all(w in it for it in [iter(t)] for w in s):
+                    forms.setdefault(s, 1)
+        for s in forms.keys() & known:
+            longer.setdefault(s, {})[x] = forms[s]
+    for x, t in tokens.items():
+        found = longer.get(t, {})
+        yield x, sorted(found), X.ELISION if min(found.values(), default=0) else X.PREFIX
+
+
+def contractions(docs: DataFrame, most: int = 4) -> DataFrame:
+    """doc_id, surface, type, decision, resolved_to, shape, candidates (parted by |) of the phrases of up to `most` tokens that a document (doc_id, text) repeats, whose ids tell them apart."""
+
+    def make() -> Callable[..., list[tuple]]:
+        phrases = Phrases()
+
+        def of(text: str | None) -> list[tuple]:
+            found = phrases.of(chunks_of(text), most)
+            names = [x for x, n in found.counts().items() if n > 1] if found else []
+            return [(x, "Phrase", *(("SAME_ENTITY", c[0], shape) if len(c) == 1 else ("ABSTAIN", None, None)), "|".join(c)) for x, c, shape in contractions_of(names)]
+
+        return of
+
+    return _made(docs, _schema(docs, "surface string, type string, decision string, resolved_to string, shape string, candidates string"), ["text"], make)

@@ -10,7 +10,7 @@ from gneiss.operators import concepts as C
 from gneiss.operators.admission import GENERIC
 from gneiss.operators.chunking import pack_sentences
 from gneiss.operators.contractions import resolved
-from gneiss.operators.phrases import enriched_texts, inventories
+from gneiss.operators.phrases import contractions, enriched_texts, inventories
 from gneiss.plans.text import CHUNKS_CTE
 from gneiss.session import table
 
@@ -134,7 +134,9 @@ SELECT doc_id, CASE WHEN length(t) > length(summary) + 240 THEN regexp_replace(s
 
 def phrase_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The phrases of up to four words that a document repeats, with the longer one that each shortens."""
-    names = C.merged(C.candidate_phrases(_chunks(spark, sf_dir), 4), "doc_id", apart=_apart(spark, sf_dir)).where("occurrences > 1").select("doc_id", F.col("concept").alias("surface"), F.lit("Phrase").alias("type"))
+    if _apart(spark, sf_dir):
+        return contractions(table(spark, sf_dir, "documents"))
+    names = C.merged(C.candidate_phrases(_chunks(spark, sf_dir), 4), "doc_id").where("occurrences > 1").select("doc_id", F.col("concept").alias("surface"), F.lit("Phrase").alias("type"))
     return resolved(names).withColumn("candidates", F.array_join("candidates", "|"))
 
 

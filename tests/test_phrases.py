@@ -58,3 +58,16 @@ def test_enriched_documents_are_made_in_rows_and_equal_the_joins(spark, docs, sf
     assert exchanges(got) == 0
     first = docs.select("doc_id", F.coalesce(F.get(C.short_sentences(F.col("text")), F.lit(0)), F.lit("")).alias("summary"))
     assert rows(got) == rows(C.enriched(first, C.inventory(own(docs), first)).select("doc_id", "text"))
+
+
+def test_phrase_contractions_are_made_in_rows_and_equal_the_joins(spark, docs, sf_dir, monkeypatch):
+    got = Q.phrase_contractions(spark, sf_dir)
+    assert exchanges(got) == 0
+    names = C.merged(C.candidate_phrases(own(docs), 4), "doc_id").where("occurrences > 1").select("doc_id", F.col("concept").alias("surface"), F.lit("Phrase").alias("type"))
+    want = rows(X.resolved(names).withColumn("candidates", F.array_join("candidates", "|")))
+    assert rows(got) == want and any(x[3] == "SAME_ENTITY" for x in want)
+    monkeypatch.setattr(X, "INNER", 1)
+    surfaces = ["red gate", "red north gate", "red co-op x1 gate", "red x1 gate", "red", "gate red", "red co-op"]
+    df = spark.createDataFrame([(1, s, "A") for s in surfaces], "doc_id long, surface string, type string")
+    one = lambda x, c, shape: (1, x, "A", *(("SAME_ENTITY", c[0], shape) if len(c) == 1 else ("ABSTAIN", None, None)), c)
+    assert sorted((one(*x) for x in P.contractions_of(surfaces)), key=str) == rows(X.resolved(df))
