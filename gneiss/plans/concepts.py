@@ -31,7 +31,7 @@ def document_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def section_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six best concepts of every section."""
-    return C.inventory(_chunks(spark, sf_dir), keys=("doc_id", "parent_index"), budget=6, apart=_apart(spark, sf_dir))
+    return inventories(table(spark, sf_dir, "documents"), 6, sections=True) if _apart(spark, sf_dir) else C.inventory(_chunks(spark, sf_dir), keys=("doc_id", "parent_index"), budget=6)
 
 
 def corpus_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:

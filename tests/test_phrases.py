@@ -53,6 +53,13 @@ def test_document_concepts_are_made_in_rows_and_equal_the_joins(spark, docs, sf_
     assert rows(P.inventories(said.withColumn("said", C.normal_concept(F.col("summary"))))) == rows(C.inventory(own(docs), said.drop("text")))
 
 
+def test_section_concepts_are_made_in_rows_and_equal_the_joins(spark, docs, sf_dir):
+    got = Q.section_concepts(spark, sf_dir)
+    assert exchanges(got) == 0
+    want = rows(C.inventory(own(docs), keys=("doc_id", "parent_index"), budget=6))
+    assert rows(got) == want and len({x[:2] for x in want}) > len({x[0] for x in want})
+
+
 def test_enriched_documents_are_made_in_rows_and_equal_the_joins(spark, docs, sf_dir):
     got = Q.enriched_documents(spark, sf_dir)
     assert exchanges(got) == 0
