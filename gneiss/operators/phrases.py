@@ -353,3 +353,55 @@ def contractions(docs: DataFrame, most: int = 4) -> DataFrame:
         return of
 
     return _made(docs, _schema(docs, "surface string, type string, decision string, resolved_to string, shape string, candidates string"), ["text"], make)
+
+
+def corpus_counts(docs: DataFrame, most: int = C.MOST) -> DataFrame:
+    """concept, n_tokens, occurrences, chunks, surface (the first): what concepts.merged gives without keys for the packed chunks of docs (doc_id, text), whose ids tell them apart.
+
+    ROWS documents are counted together before their concepts are shuffled, once; a surface goes along only where it is not its concept.
+    """
+    id_type = docs.schema["doc_id"].dataType
+    schema = T.StructType(T._parse_datatype_string("concept string, n_tokens int, occurrences long, chunks long").fields + [T.StructField("doc_id", id_type), *T._parse_datatype_string("place int, surface string")])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases()
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
+            founds, concepts, at = [], [], []
+            for i in sorted(range(len(ids)), key=ids.__getitem__):
+                found = phrases.of(chunks_of(texts[i]), most)
+                if found is None:
+                    continue
+                parts = [(p, np.full(len(p), n), own) for n, (p, own) in enumerate(found.runs, start=2)]
+                if found.chains:
+                    p, n, own = zip(*found.chains)
+                    parts.append((np.array(p), np.array(n), list(own)))
+                place, size, own = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), [y for x in parts for y in x[2]]
+                order = np.lexsort((size, place))
+                concepts += [own[j] for j in order.tolist()]
+                at.append(np.stack([np.full(len(order), len(founds)), place[order], size[order], found.chunk[place[order]]]))
+                founds.append((i, found))
+            if not concepts:
+                continue
+            all_at = np.concatenate(at, axis=1)
+            counts = Counter(concepts)
+            first = dict(zip(reversed(concepts), range(len(concepts) - 1, -1, -1)))
+            held: dict[str, set] = {}
+            least: dict[str, int] = {}
+            for j, x in enumerate(concepts):
+                if counts[x] > 1:
+                    held.setdefault(x, set()).add((all_at[0, j], all_at[3, j]))
+                    least[x] = min(least.get(x, most), int(all_at[2, j]))
+            own, firsts = list(first), all_at[:, list(first.values())]
+            surfaces = [founds[d][1].surface(p, n) for d, p, n in zip(*firsts[:3].tolist())]
+            rows = [
+                pa.array(own, pa.string()), pa.array([least.get(x, n) for x, n in zip(own, firsts[2].tolist())], pa.int32()), pa.array([counts[x] for x in own], pa.int64()),
+                pa.array([len(held[x]) if x in held else 1 for x in own], pa.int64()), batch.column("doc_id").take(pa.array([founds[d][0] for d in firsts[0].tolist()])),
+                pa.array(firsts[1], pa.int32()), pa.array([None if s == x else s for s, x in zip(surfaces, own)], pa.string()),
+            ]
+            yield from pa.Table.from_arrays(rows, schema=arrow).to_batches(10_000)
+
+    each = docs.select("doc_id", "text").mapInArrow(run, schema).repartition("concept")
+    first = F.min(F.struct("doc_id", "place", F.coalesce("surface", "concept").alias("surface")))["surface"]
+    return each.groupBy("concept").agg(F.min("n_tokens").alias("n_tokens"), F.sum("occurrences").alias("occurrences"), F.sum("chunks").alias("chunks"), first.alias("surface"))

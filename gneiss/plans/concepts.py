@@ -10,7 +10,7 @@ from gneiss.operators import concepts as C
 from gneiss.operators.admission import GENERIC
 from gneiss.operators.chunking import pack_sentences
 from gneiss.operators.contractions import resolved
-from gneiss.operators.phrases import contractions, enriched_texts, inventories
+from gneiss.operators.phrases import contractions, corpus_counts, enriched_texts, inventories
 from gneiss.plans.text import CHUNKS_CTE
 from gneiss.session import table
 
@@ -36,7 +36,9 @@ def section_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of two to five tokens with its counts over the corpus."""
-    counts = C.merged(C.candidate_phrases(_chunks(spark, sf_dir)).where("doc_id IS NOT NULL"), apart=_apart(spark, sf_dir))
+    if _apart(spark, sf_dir):
+        return corpus_counts(table(spark, sf_dir, "documents"))
+    counts = C.merged(C.candidate_phrases(_chunks(spark, sf_dir)).where("doc_id IS NOT NULL"))
     return counts.select("concept", "n_tokens", "occurrences", "chunks", "surface")
 
 

@@ -78,3 +78,13 @@ def test_phrase_contractions_are_made_in_rows_and_equal_the_joins(spark, docs, s
     df = spark.createDataFrame([(1, s, "A") for s in surfaces], "doc_id long, surface string, type string")
     one = lambda x, c, shape: (1, x, "A", *(("SAME_ENTITY", c[0], shape) if len(c) == 1 else ("ABSTAIN", None, None)), c)
     assert sorted((one(*x) for x in P.contractions_of(surfaces)), key=str) == rows(X.resolved(df))
+
+
+def test_corpus_concepts_are_counted_before_one_shuffle_and_equal_the_joins(spark, docs, sf_dir, monkeypatch):
+    got = Q.corpus_concepts(spark, sf_dir)
+    assert exchanges(got) == 1
+    want = rows(C.merged(C.candidate_phrases(own(docs))).select("concept", "n_tokens", "occurrences", "chunks", "surface"))
+    assert rows(got) == want and any(x[2] > x[3] > 1 for x in want)
+    few = P.corpus_counts(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") - 1000)).repartition(7))
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") - 1000))
+    assert rows(few) == rows(C.merged(C.candidate_phrases(own(twice))).select("concept", "n_tokens", "occurrences", "chunks", "surface"))
