@@ -167,3 +167,18 @@ def test_each_distinct_text_is_encoded_once(spark, tmp_path):
 
     assert with_vectors(more, s, encode=never).count() == 6 and with_vectors(texts.limit(0), s).count() == 0
     assert [r.receipt.split('"texts": ')[1] for r in s.receipts().collect()] == ["3}", "1}", "4}"]
+
+
+def test_a_store_keeps_vectors_packed_and_finished_tables_go(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from gneiss.operators import vector_cache as W
+
+    v = np.array([[0.0, 1.0, -2.5, 3e-9], [7.0, 0.0, 0.0, np.inf]], "<f4")
+    assert W.unpacked(W.packed(v)) == [x.tobytes() for x in v]
+    gone, s = [], V.Store(spark, f"file://{tmp_path}/s", buckets=2)
+    monkeypatch.setattr(W, "forget", lambda *tables: gone.extend(tables))
+    texts = spark.createDataFrame([(i, f"river bank {i} and the long way to the harbour {i * i}") for i in range(50)], "i int, text string")
+    got = W.with_vectors(texts, s, keep=["i"])
+    assert got.columns == ["i", "vector"] and got.count() == 50 and gone[0].written_to
+    assert all(len(r.packed) < 512 for r in s.read(next(iter(s.manifest()["tables"]))).collect())
