@@ -116,3 +116,15 @@ def test_children_are_found_without_summaries(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(chunking, "summaries", lambda texts, keys, *a: made.append(keys) or real(texts, keys, *a))
     got = Q.legacy_children(spark, str(tmp_path)).collect()
     assert not made and {r.query_id for r in got} == {1, 2} and all(r.rank < 40 for r in got) and len(got) == 60
+
+
+def test_profiles_take_the_summaries_of_the_corpus(spark, tmp_path, monkeypatch):
+    from gneiss.operators import chunking
+    from gneiss.plans import retrieval as Q
+
+    spark.createDataFrame([(d, f"River bank {d}. The harbour of day {d % 3}. Zeta.", "web") for d in range(30)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "river 7"), (2, "harbour zeta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made, real = [], chunking.summaries
+    monkeypatch.setattr(chunking, "summaries", lambda texts, keys, *a: made.append(tuple(keys)) or real(texts, keys, *a))
+    got = Q.legacy_documents(spark, str(tmp_path)).collect()
+    assert made.count(("doc_id",)) == 1 and sorted((r.query_id, r["rank"]) for r in got) == [(q, n) for q in (1, 2) for n in range(10)]
